@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module and query of each operator.
 OPERATORS = {
+    "simhash": "op2_simhash",
     "quality_rules": "op4_quality_rules",
+    "token_files": "op5_token_files",
 }
 
 
