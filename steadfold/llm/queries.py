@@ -12,6 +12,7 @@ OPERATORS = {
     "simhash": "op2_simhash",
     "quality_rules": "op4_quality_rules",
     "token_files": "op5_token_files",
+    "mixing": "op6_mixing",
     "decontaminate": "op9_decontaminate",
 }
 
