@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module and query of each operator.
 OPERATORS = {
     "simhash": "op2_simhash",
+    "url_filter": "op3_url_filter",
     "quality_rules": "op4_quality_rules",
     "token_files": "op5_token_files",
     "mixing": "op6_mixing",
