@@ -14,6 +14,7 @@ OPERATORS = {
     "quality_rules": "op4_quality_rules",
     "token_files": "op5_token_files",
     "mixing": "op6_mixing",
+    "license_scan": "op7_license_scan",
     "decontaminate": "op9_decontaminate",
 }
 
