@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module and query of each operator.
 OPERATORS = {
+    "language_id": "op1_language_id",
     "simhash": "op2_simhash",
     "url_filter": "op3_url_filter",
     "quality_rules": "op4_quality_rules",
