@@ -16,6 +16,7 @@ OPERATORS = {
     "token_files": "op5_token_files",
     "mixing": "op6_mixing",
     "license_scan": "op7_license_scan",
+    "toxicity": "op8_toxicity",
     "decontaminate": "op9_decontaminate",
 }
 
