@@ -6,6 +6,7 @@ import functools
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,23 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.isnull(text))
 
 
+def bit_map(cells: DataFrame, size: int) -> np.ndarray:
+    """A map of 2^size bits, as bytes, with those set that the column ``cell`` names.
+
+    It is built by aggregation; one row for each 32 bits at most comes here, so
+    its size and the driver's part don't depend on the data.
+    """
+    words = cells.groupBy((F.col("cell") / 32).cast("long").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 32 as int)))").alias("bits"))
+    bits = np.zeros(1 << (size - 5), "<u4")
+    for part in words.toLocalIterator():
+        bits[part["at"]] = part["bits"]
+    return bits.view(np.uint8)
+
+
+def is_set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bits[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import LOWER, NOT_WORD, UPPER, materialize
+from steadfold.llm.common import LOWER, NOT_WORD, UPPER, bit_map, is_set, materialize
 
 ITEM = 10
 SHINGLE = 5
@@ -87,8 +87,7 @@ def _hits(bits: np.ndarray, sizes: list[int]):
                 words = words_of(text)
                 hashes, here = _hashes(words), []
                 for k in sizes:
-                    cells = _places(_shingle_hashes(hashes, k))
-                    found = np.flatnonzero(bits[cells >> 3] >> (cells & 7).astype(np.uint8) & 1)
+                    found = np.flatnonzero(is_set(bits, _places(_shingle_hashes(hashes, k))))
                     here += [{"pos": p, "k": k, "shingle": b" ".join(words[p : p + k]).decode()} for p in found.tolist()]
                 counts.append(len(words))
                 hits.append(here)
@@ -98,15 +97,6 @@ def _hits(bits: np.ndarray, sizes: list[int]):
     return run
 
 
-def _bit_map(windows: DataFrame) -> np.ndarray:
-    """2^MAP_BITS bits; one row for each 32 of them at most comes to the driver."""
-    words = windows.groupBy((F.col("cell") / 32).cast("long").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 32 as int)))").alias("bits"))
-    bits = np.zeros(1 << (MAP_BITS - 5), "<u4")
-    for at, found in words.toPandas().itertuples(index=False):
-        bits[at] = found
-    return bits.view(np.uint8)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, item: int = ITEM, shingle: int = SHINGLE) -> DataFrame:
     """Every row's doc_id, n_words, n_hit, n_items, and items: the sorted ids, as strings, of items with an occurring window.
 
@@ -121,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item: int = ITEM, shing
     owners = items.where("j = 0").select("win", "item").distinct()
     windows = items.select("win", "size", "j", "shingle", "k", "cell").distinct()
     sizes = sorted(r[0] for r in windows.select("k").distinct().collect())
-    bits = spark.sparkContext.broadcast(_bit_map(windows))
+    bits = spark.sparkContext.broadcast(bit_map(windows, MAP_BITS))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ OPERATORS = {
     "license_scan": "op7_license_scan",
     "toxicity": "op8_toxicity",
     "decontaminate": "op9_decontaminate",
+    "line_dedup": "op10_line_dedup",
 }
 
 
