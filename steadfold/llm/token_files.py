@@ -17,8 +17,11 @@ from __future__ import annotations
 import functools
 import os
 import re
+import string
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +35,12 @@ from steadfold.llm.common import materialize, new_path
 
 END_ID = 2
 #: Pieces whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 300_000
-_ODD = re.compile(r"\s |^ |  ")
+REMEMBERED = 1_200_000
+MARKS = string.punctuation.replace("'", "")
+_WHITE = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " "]
+#: White space before a space; the further kinds are looked for in texts that aren't plain ASCII.
+_ODD = [w + " " for w in _WHITE]
+_ODD_WIDE = [chr(c) + " " for c in range(128, 0x3001) if chr(c).isspace()]
 _BETWEEN = re.compile(r"(?<=\S)(?= )")
 
 
@@ -43,16 +50,72 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.cache
-def _encoder(tokenizer: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    loaded = Tokenizer.from_file(tokenizer)
-    loaded.encode_special_tokens = True
-    if loaded.get_vocab_size() > 1 << 16:
-        raise ValueError("ids of this vocabulary don't fit 16 bits")
-    return loaded, {}
+class _Encoder:
+    """A tokenizer with what it has encoded before."""
+
+    def __init__(self, tokenizer: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.loaded = Tokenizer.from_file(tokenizer)
+        self.loaded.encode_special_tokens = True
+        vocabulary = self.loaded.get_vocab()
+        if sys.byteorder != "little":
+            raise ValueError("ids are kept as they are in memory, little-endian")
+        if max(vocabulary.values()) >= 1 << 16:
+            raise ValueError("ids of this vocabulary don't fit 16 bits")
+        #: Bytes of each token: byte-level vocabularies write each byte as one character.
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.n_bytes[number] = len(token)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        #: How byte-level vocabularies write each byte.
+        self.written = {c: c for c in plain} | {c: 256 + n for n, c in enumerate(c for c in range(256) if c not in plain)}
+        self.known: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.loaded.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces, each after a space, as one text, and cut its ids at their ends."""
+        if not pieces:
+            return
+        ids = self._ids(" " + " ".join(pieces))
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        cuts = (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1).tolist()
+        flat = ids.tobytes()
+        self.known.update(zip(pieces, (flat[2 * a : 2 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+
+    def add(self, new: set[str]) -> None:
+        """Learn pieces; between a last letter and closing marks there is always a cut, so these are put together."""
+        marked = [(p, b) for p in new if (b := p.rstrip(MARKS)) is not p and b[-1:].isalpha()]
+        bases = new.difference(p for p, _ in marked).union(b for _, b in marked).difference(self.known)
+        words = [b for b in bases if b.isalpha()]  # each is cut as one, so it goes to the vocabulary at once
+        tokenize, written = self.loaded.model.tokenize, self.written
+        for word in words:
+            as_bytes = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(written)
+            self.known[word] = array("H", [x.id for x in tokenize(as_bytes)]).tobytes()
+        self.learn(list(bases.difference(words)))
+        for piece, base in marked:
+            mark = piece[len(base) :]
+            if mark not in self.marks:
+                self.marks[mark] = self._ids(mark).tobytes()
+            self.known[piece] = self.known[base] + self.marks[mark]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [_pieces(t) for t in texts]
+        new = set().union(*(rest for _, rest in cut)).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            self.marks.clear()
+            new = set().union(*(rest for _, rest in cut))
+        self.add(new)
+        firsts = [f.ids for f in self.loaded.encode_batch_fast([first for first, _ in cut], add_special_tokens=False)]
+        return [np.array(ids, "<u2").tobytes() + b"".join(map(self.known.__getitem__, rest)) for ids, (_, rest) in zip(firsts, cut, strict=True)]
+
+
+_encoder = functools.cache(_Encoder)
 
 
 def encode(texts: list[str], tokenizer: str) -> list[bytes]:
@@ -63,22 +126,16 @@ def encode(texts: list[str], tokenizer: str) -> list[bytes]:
     that was seen before needs no second encoding; the ids are those of the
     whole text.
     """
-    loaded, known = _encoder(tokenizer)
-    cut = [_BETWEEN.split(t) if _ODD.search(t) else _with_spaces(t) for t in texts]
-    new = list({p for pieces in cut for p in pieces if p not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        new = list({p for pieces in cut for p in pieces})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for piece, found in zip(part, loaded.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, "<u2").tobytes()
-    return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-
-
-def _with_spaces(text: str) -> list[str]:
+    return _encoder(tokenizer).encode(texts)
+
+
+def _pieces(text: str) -> tuple[str, list[str]]:
+    """The text up to the first cut, and the pieces after it without the space in front of each."""
+    if text[:1] == " " or text[-1:] == " " or any(x in text for x in _ODD) or not text.isascii() and any(x in text for x in _ODD_WIDE):
+        first, *rest = _BETWEEN.split(text)
+        return first, [x[1:] for x in rest]
     first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
+    return first, rest
 
 
 def _local(uri: str) -> str | None:
