@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import LOWER, NOT_WORD, UPPER, bit_map, is_set, materialize
+from steadfold.llm.common import LOWER, NOT_WORD, UPPER, bit_map, is_set, materialize, text_key
 
 ITEM = 10
 SHINGLE = 5
@@ -140,6 +140,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item: int = ITEM, shing
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, as they are, without a hit word.  Rows with the same text stay or go together."""
+    found = contamination(docs.select(text_key(F.col("text")).alias("doc_id"), "text"), benchmark)
+    bad = found.where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
+    return docs.join(bad, text_key(F.col("text")) == F.col("__key"), "left_anti")
+
+
 def digest(items: Column) -> Column:
     return F.sha2(F.concat_ws(",", items), 256)
 
