@@ -23,6 +23,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -104,15 +105,22 @@ class _Encoder:
             self.known[piece] = self.known[base] + self.marks[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_pieces(t) for t in texts]
-        new = set().union(*(rest for _, rest in cut)).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.marks.clear()
-            new = set().union(*(rest for _, rest in cut))
-        self.add(new)
-        firsts = [f.ids for f in self.loaded.encode_batch_fast([first for first, _ in cut], add_special_tokens=False)]
-        return [np.array(ids, "<u2").tobytes() + b"".join(map(self.known.__getitem__, rest)) for ids, (_, rest) in zip(firsts, cut, strict=True)]
+        out, known = [], self.known
+        for text in texts:
+            first, rest = _pieces(text)
+            if new := set(filterfalse(known.__contains__, rest)):
+                if len(known) + len(new) > REMEMBERED:
+                    known.clear()
+                    self.marks.clear()
+                    new = set(rest)
+                self.add(new)
+            out.append(self.first(first) + b"".join(map(known.__getitem__, rest)))
+        return out
+
+    def first(self, text: str) -> bytes:
+        if text.isascii() and text.isalpha():
+            return array("H", [x.id for x in self.loaded.model.tokenize(text)]).tobytes()
+        return self._ids(text).tobytes()
 
 
 _encoder = functools.cache(_Encoder)
