@@ -1 +1 @@
-"""Robust aggregation of vectors on Spark DataFrames."""
+"""Readers and writers of data sets and run logs."""
