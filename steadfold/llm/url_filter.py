@@ -5,7 +5,7 @@ changes become validity intervals, and a capture is judged by the entries that
 were on the list when it was fetched, whatever the list says today.
 
 An entry is a host, which also covers the hosts below it, or a host with the
-beginning of a path.  A capture's possible entries are its host and the hosts
+beginning of a path, whose case matters.  A capture's possible entries are its host and the hosts
 above it, each alone and with the beginnings of the path; they are looked up by
 equality.  The list side is one row an entry, with its intervals in order, so a
 host with very many captures meets one row; where the list is large the join is
@@ -70,7 +70,9 @@ def validity(changes: DataFrame) -> DataFrame:
     nothing, nulls in any column and other actions are left out.
     """
     known = changes.where("list IS NOT NULL AND entry IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
-    one = known.groupBy("list", F.translate("entry", UPPER, LOWER).alias("entry"), "at").agg(F.max(F.col("action") == "add").alias("on"))
+    host = F.translate(F.regexp_extract("entry", "^[^/]*", 0), UPPER, LOWER)
+    entry = F.concat(host, F.regexp_replace("entry", "^[^/]*", "")).alias("entry")
+    one = known.groupBy("list", entry, "at").agg(F.max(F.col("action") == "add").alias("on"))
     order = Window.partitionBy("list", "entry").orderBy("at")
     turned = one.withColumn("was", F.coalesce(F.lag("on").over(order), F.lit(False))).where("on <> was")
     return turned.withColumn("end", F.lead("at").over(order)).where("on").select("list", "entry", F.col("at").alias("start"), "end")
