@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from itertools import product
 
@@ -16,7 +15,7 @@ from steadfold.functions.vectors import clipped, flattened, l1_norm, norm, round
 from steadfold.operators import attacks, metrics, rules, training
 from steadfold.plans import data
 from steadfold.plans.data import PARAMS, cohorts, logs, samples, table
-from steadfold.sources import libsvm, runs
+from steadfold.sources import libsvm, runs, scratch
 from steadfold.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,16 +43,6 @@ def result(rows: DataFrame) -> DataFrame:
 RESULT = f"SELECT step, pos, {R('val')} AS val FROM result"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; a local one serves in local mode."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "local").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/steadfold-{uuid.uuid4().hex}"
-
-
 # Rules
 
 query("gar_average", f"WITH {data.attacked(None, 0)}, {data.rule('average', 0)} {RESULT}")(lambda s, d: result(rules.average(cohorts(s, d))))
@@ -299,13 +288,13 @@ query("study_cosines", f"{STUDY_WITH} SELECT step, {', '.join(f'{R(c)} AS {c}' f
 
 @query("study_sink_roundtrip", f"{STUDY_WITH} {STUDY_SELECT}")
 def study_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs.write(studied(spark, sf_dir), path := scratch(spark))
+    runs.write(studied(spark, sf_dir), path := scratch.folder(spark))
     return runs.read(spark, path, "step long, datapoints long, " + ", ".join(f"{c} double" for c in STUDY_COLUMNS))
 
 
 @query("checkpoint_roundtrip", f"WITH {data.attacked(None, 0)}, {data.rule('average', 0)} {RESULT}")
 def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result(rules.average(cohorts(spark, sf_dir))).write.mode("errorifexists").parquet(path := scratch(spark))
+    result(rules.average(cohorts(spark, sf_dir))).write.mode("errorifexists").parquet(path := scratch.folder(spark))
     return spark.read.parquet(path)
 
 
@@ -380,7 +369,7 @@ def libsvm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("libsvm_source", "SELECT label, count(*) AS n, sum(x) AS x FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label, l_partkey::DOUBLE AS x FROM lineitem) GROUP BY label")
 def libsvm_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "lineitem").select(F.expr(LIBSVM_TEXT)).write.text(path := scratch(spark))
+    table(spark, sf_dir, "lineitem").select(F.expr(LIBSVM_TEXT)).write.text(path := scratch.folder(spark))
     return libsvm.read(spark, path).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("x")[67]).alias("x"))
 
 

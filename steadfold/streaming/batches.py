@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,15 +10,7 @@ from pyspark.sql import functions as F
 
 from steadfold.operators import rules, training
 from steadfold.plans import data
-
-
-def _folder(spark: SparkSession) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "local").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+from steadfold.sources import scratch
 
 
 def stream_of(rows: DataFrame, folder: str, files: int) -> DataFrame:
@@ -35,7 +26,7 @@ def each_batch(stream: DataFrame, folder: str, act: Callable[[DataFrame, int], N
 
 def aggregated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median of each micro-batch of cohorts: (step, pos, val).  A step's rows come in one batch, since files are split by step."""
-    folder = _folder(spark)
+    folder = scratch.folder(spark)
     rows = data.cohorts(spark, sf_dir).select("step", "worker", "g")
     rows.repartition(8, "step").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
@@ -55,7 +46,7 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour", work
 
 
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark)
+    folder = scratch.folder(spark)
     events = data.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value").orderBy("ts")
     stream = windowed(stream_of(events, folder, 1))
     stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").format("parquet").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
@@ -64,7 +55,7 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training whose steps are micro-batches: (batch, loss)."""
-    folder, state, log = _folder(spark), {"params": np.zeros(5), "velocity": np.zeros(5)}, []
+    folder, state, log = scratch.folder(spark), {"params": np.zeros(5), "velocity": np.zeros(5)}, []
 
     def act(part: DataFrame, number: int) -> None:
         rows = part.withColumn("step", F.lit(0))
