@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import connected_components, materialize, text_key
+from steadfold.llm.common import connected_components, in_slices, materialize, text_key
 
 RADIUS = 3
 SHINGLE = 3
@@ -48,7 +48,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         found = [fingerprint(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_key", "fp"])
 
@@ -121,8 +121,10 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Every row's doc_id, text_key, fp, and component_id: the smallest doc_id that it is linked to.
+    """Every row's doc_id, text_key, fp, root, and component_id: the smallest doc_id that it is linked to.
 
+    ``root`` is the smallest fingerprint of the component, which tells
+    components apart where doc_ids repeat.
     Fingerprints link at ``radius`` or fewer differing bits, and links chain.
     Texts without words (null ones too) all have fingerprint zero.  Repeated
     rows each get their row.  A row whose doc_id is null takes part and gets
@@ -134,9 +136,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = materialize(connected_components(near_links(fps.select("fp"), radius)), "roots")
     members = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "low")
     least = members.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = members.join(least, "root").select("fp", "component_id")
-    each = fps.join(linked, "fp", "left").select("fp", F.when(F.col("component_id").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
-    return rows.join(each, "fp").select("doc_id", "text_key", "fp", "component_id")
+    linked = members.join(least, "root").select("fp", "root", "component_id", F.lit(True).alias("is_linked"))
+    # Written, so that the last join is of two sides only and Spark can split a fingerprint with very many copies.
+    each = fps.join(linked, "fp", "left").select("fp", F.when(F.col("is_linked"), F.col("root")).otherwise(F.col("fp")).alias("root"), F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
+    each = materialize(each, "components")
+    return rows.join(each, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -147,9 +151,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     one to keep.  All columns of ``docs`` are returned as they are.
     """
     rows = near_duplicates(docs, radius).where("doc_id = component_id OR component_id IS NULL")
-    keep = rows.groupBy("doc_id", "component_id", "fp").agg(F.min("text_key").alias("key"), F.count("*").alias("n"))
-    lowest = keep.groupBy("doc_id", "component_id").agg(F.min(F.struct("fp", "key")).alias("first"), F.sum("n").alias("n"))
-    lowest = materialize(lowest.select(F.col("doc_id").alias("__id"), F.col("first.key").alias("__key"), F.expr("component_id IS NOT NULL AND n > 1").alias("__more")), "kept")
+    named_one = rows.where("component_id IS NOT NULL").groupBy("doc_id", "root").agg(F.min("text_key").alias("key"), F.count("*").alias("n"))
+    nameless = rows.where("component_id IS NULL").groupBy("doc_id", "text_key").agg(F.lit(1).alias("n"))
+    lowest = named_one.select("doc_id", "key", "n").union(nameless)
+    lowest = materialize(lowest.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.expr("n > 1").alias("__more")), "kept")
     named = docs.withColumn("__text", text_key(F.col("text")))
     found = named.join(lowest.where("__id IS NOT NULL"), (named["doc_id"] == F.col("__id")) & (F.col("__text") == F.col("__key"))).select(*(named[c] for c in docs.columns), "__more")
     once = found.where("NOT __more").drop("__more")
