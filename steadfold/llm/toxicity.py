@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steadfold.llm.common import in_slices
+
 #: Bounds of the sample: labelled rows that are learned from, and entries of the mined lexicon.
 ROWS, ENTRIES = 24_000, 400
 #: An entry is a word or a beginning of words of these lengths, with a star.
@@ -33,7 +35,8 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch
 FEATURES = ("base", "mined", "best", "second", "near_base", "near_mined", "capitals", "exclaims", "questions", "punctuation", "leet", "spaced", "masked", "length", "distinct", "hidden")
 
 _WORD = re.compile(r"[^\W_]+")
-_LEET_WORD = re.compile(r"[A-Za-z]+[0-9@$!*]+[A-Za-z]+")
+#: Starts at the beginnings of words only, and never goes back, so long words take no longer than others.
+_LEET_WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]++[0-9@$!*]++[A-Za-z]++")
 _SPACED = re.compile(r"\b(?:[A-Za-z][ .\-*]){3,}[A-Za-z]\b")
 #: Characters that stand for letters.
 _LEET = str.maketrans("013457@$!*", "oieastasi*")
@@ -213,7 +216,7 @@ def measured(rows: DataFrame, entries: dict[str, float], extra: list[str], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries=entries)
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [features(t, lexicon) for t in batch.column(len(extra)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(extra)], pa.array(found, pa.list_(pa.float64()))], [*extra, "x"])
 
@@ -244,7 +247,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries=model.entries)
-        for batch in batches:
+        for batch in in_slices(batches):
             x = np.array([features(t, lexicon) for t in batch.column(2).to_pylist()]).reshape(-1, len(FEATURES))
             found = model.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array((found >= 0.5).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
