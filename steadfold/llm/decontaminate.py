@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import LOWER, NOT_WORD, UPPER, bit_map, is_set, materialize, text_key
+from steadfold.llm.common import LOWER, NOT_WORD, UPPER, bit_map, in_slices, is_set, materialize, text_key
 
 ITEM = 10
 SHINGLE = 5
@@ -81,7 +81,7 @@ def _item_windows(item: int, shingle: int):
 
 def _hits(bits: np.ndarray, sizes: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             counts, hits = [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = words_of(text)

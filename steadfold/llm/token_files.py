@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import materialize, new_path
+from steadfold.llm.common import in_slices, materialize, new_path
 
 END_ID = 2
 #: Pieces whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 700_000
 MARKS = string.punctuation.replace("'", "")
 _WHITE = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " "]
 #: White space before a space; the further kinds are looked for in texts that aren't plain ASCII.
@@ -170,12 +170,10 @@ def _writer(folder: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, lengths, docs, nulls = TaskContext.get().partitionId(), [], [], [], 0
         end = np.array([END_ID], "<u2").tobytes()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                found = encode(texts[at : at + 256], tokenizer)
-                ids.append(end.join([*found, b""]))
-                lengths += [len(x) // 2 + 1 for x in found]
+        for batch in in_slices(batches):
+            found = encode([t or "" for t in batch.column(1).to_pylist()], tokenizer)
+            ids.append(end.join([*found, b""]))
+            lengths += [len(x) // 2 + 1 for x in found]
             here = batch.column(0).to_pylist()
             nulls += here.count(None)
             docs += [d for d in here if d is not None]
