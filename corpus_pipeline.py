@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from steadfold.llm import decontaminate, language_id, mixing, simhash, token_files
-from steadfold.llm.common import materialize
+from steadfold.llm.common import made, settle
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents, each to what the one before it kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to the documents, each to what the one before it kept.
+
+    Once a stage's result is written, what it was made from is removed; the
+    last stage's token files and what they were made from stay.
+    """
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(made())
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = settle(stage(spark, docs, sf_dir), name, since)
     return STAGES[-1][1](spark, docs, sf_dir)

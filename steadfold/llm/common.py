@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -39,8 +40,19 @@ def shared_root(spark: SparkSession) -> str:
     return _own_folder(spark.sparkContext.applicationId)
 
 
+_made = threading.local()
+
+
+def made() -> list[str]:
+    """The paths that this thread has named so far."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    made().append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return made()[-1]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -54,6 +66,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(df: DataFrame, label: str, since: int) -> DataFrame:
+    """``df``, written and read again; what this thread has written since ``made()`` had that length goes.
+
+    For results that are whole before anything else is asked of what they were
+    made from, such as a stage's; other tables stay until they are removed.
+    """
+    out = materialize(df, label)
+    for path in made()[since:-1]:
+        drop_path(df.sparkSession, path)
+    del made()[since:-1]
+    return out
+
+
 def in_slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of ``rows`` rows at most: what a worker makes of a batch is several times as large as the batch."""
     for batch in batches:
