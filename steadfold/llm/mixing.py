@@ -83,6 +83,7 @@ def _tree(units: DataFrame, block: int) -> DataFrame:
     decided, level, rows = None, 0, units
     while True:
         counts = rows.groupBy("source").agg(F.expr(f"cast(ceil(count(*) / {block}) as long)").alias("blocks")).select(F.col("source").alias("of"), "blocks")
+        counts = materialize(counts, "blocks")  # its size is known then, so that a few sources don't make all rows move
         dealt = rows.join(counts, rows["source"].eqNullSafe(F.col("of"))).withColumn("block", F.expr(f"pmod(xxhash64({level}, u.draw, u.key), blocks)"))
         folded = dealt.groupBy("source", "block").agg(F.expr("transform(array_sort(collect_list(struct(-u.size as s, u.draw as d, u.key as k, u, p))), x -> struct(x.u as u, x.p as p))").alias("units"), F.max("blocks").alias("blocks"))
         folded = materialize(folded.select("source", "blocks", F.expr(_FOLD.format(unit=kind)).alias("r")), "mixing")
