@@ -23,7 +23,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from steadfold.llm.common import in_slices, materialize, new_path
 
 END_ID = 2
 #: Pieces whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 900_000
 MARKS = string.punctuation.replace("'", "")
 _WHITE = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f", " "]
 #: White space before a space; the further kinds are looked for in texts that aren't plain ASCII.
@@ -51,6 +50,35 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Pieces(dict):
+    """The ids of pieces after ``prefix``, a space or nothing, made as they are asked for.
+
+    Between a last letter and closing marks, and on both sides of a single line
+    feed, the pattern always cuts, so such pieces are put together from parts.
+    """
+
+    def __init__(self, encoder: _Encoder, prefix: str) -> None:
+        self.encoder, self.prefix = encoder, prefix
+
+    def __missing__(self, piece: str) -> bytes:
+        base = piece.rstrip(MARKS)
+        if base.isalpha():
+            if len(base) < len(piece):
+                found = self[base] + self.encoder.mark(piece[len(base) :])
+            else:
+                found = self.encoder.word(self.prefix, piece)
+        elif "\n" in piece and all(x.split() == [x] for x in piece.split("\n")):
+            parts = piece.split("\n")
+            bare, feed = self.encoder.bare, self.encoder.mark("\n")
+            return self[parts[0]] + b"".join([feed + bare[x] for x in parts[1:]])
+        else:
+            found = self.encoder.ids(self.prefix + piece)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[piece] = found
+        return found
+
+
 class _Encoder:
     """A tokenizer with what it has encoded before."""
 
@@ -60,67 +88,34 @@ class _Encoder:
 
         self.loaded = Tokenizer.from_file(tokenizer)
         self.loaded.encode_special_tokens = True
-        vocabulary = self.loaded.get_vocab()
         if sys.byteorder != "little":
             raise ValueError("ids are kept as they are in memory, little-endian")
-        if max(vocabulary.values()) >= 1 << 16:
+        if max(self.loaded.get_vocab().values()) >= 1 << 16:
             raise ValueError("ids of this vocabulary don't fit 16 bits")
-        #: Bytes of each token: byte-level vocabularies write each byte as one character.
-        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, number in vocabulary.items():
-            self.n_bytes[number] = len(token)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         #: How byte-level vocabularies write each byte.
         self.written = {c: c for c in plain} | {c: 256 + n for n, c in enumerate(c for c in range(256) if c not in plain)}
-        self.known: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.loaded.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces, each after a space, as one text, and cut its ids at their ends."""
-        if not pieces:
-            return
-        ids = self._ids(" " + " ".join(pieces))
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cuts = (np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1).tolist()
-        flat = ids.tobytes()
-        self.known.update(zip(pieces, (flat[2 * a : 2 * b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
-
-    def add(self, new: set[str]) -> None:
-        """Learn pieces; between a last letter and closing marks there is always a cut, so these are put together."""
-        marked = [(p, b) for p in new if (b := p.rstrip(MARKS)) is not p and b[-1:].isalpha()]
-        bases = new.difference(p for p, _ in marked).union(b for _, b in marked).difference(self.known)
-        words = [b for b in bases if b.isalpha()]  # each is cut as one, so it goes to the vocabulary at once
-        tokenize, written = self.loaded.model.tokenize, self.written
-        for word in words:
-            as_bytes = "\u0120" + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(written)
-            self.known[word] = array("H", [x.id for x in tokenize(as_bytes)]).tobytes()
-        self.learn(list(bases.difference(words)))
-        for piece, base in marked:
-            mark = piece[len(base) :]
-            if mark not in self.marks:
-                self.marks[mark] = self._ids(mark).tobytes()
-            self.known[piece] = self.known[base] + self.marks[mark]
+        self.tokenize = self.loaded.model.tokenize
+        self.spaced, self.bare, self.marks = _Pieces(self, " "), _Pieces(self, ""), {}
+
+    def ids(self, text: str) -> bytes:
+        return array("H", self.loaded.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            self.marks[text] = self.ids(text)
+        return self.marks[text]
+
+    def word(self, prefix: str, text: str) -> bytes:
+        """Letters are never cut, so they go to the vocabulary at once."""
+        as_bytes = (prefix and "\u0120") + text if text.isascii() else (prefix + text).encode().decode("latin-1").translate(self.written)
+        return array("H", [x.id for x in self.tokenize(as_bytes)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, known = [], self.known
-        for text in texts:
-            first, rest = _pieces(text)
-            if new := set(filterfalse(known.__contains__, rest)):
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    self.marks.clear()
-                    new = set(rest)
-                self.add(new)
-            out.append(self.first(first) + b"".join(map(known.__getitem__, rest)))
-        return out
-
-    def first(self, text: str) -> bytes:
-        if text.isascii() and text.isalpha():
-            return array("H", [x.id for x in self.loaded.model.tokenize(text)]).tobytes()
-        return self._ids(text).tobytes()
+        if len(self.marks) > 100_000:
+            self.marks.clear()
+        spaced, bare = self.spaced.__getitem__, self.bare
+        return [bare[first] + b"".join(map(spaced, rest)) for first, rest in map(_pieces, texts)]
 
 
 _encoder = functools.cache(_Encoder)
