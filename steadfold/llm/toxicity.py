@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import in_slices
+from steadfold.llm.common import in_slices, materialize
 
 #: Bounds of the sample: labelled rows that are learned from, and entries of the mined lexicon.
 ROWS, ENTRIES = 24_000, 400
@@ -168,12 +168,18 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic and draw of labelled rows that aren't held out, ROWS of them on average, by a hash of the doc_id."""
+    """text, toxic and draw of labelled rows that aren't held out, ROWS of them on average, by a hash of the doc_id.
+
+    The chosen labels are counted, and go to the texts only if they are as few
+    as they should be; else texts and labels meet in a shuffle.
+    """
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marked.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20))
-    chosen = marked.withColumn("draw", draw).where(F.col("draw") < int(min(1.0, ROWS / max(n, 1)) * (1 << 20)))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "draw")
+    chosen = materialize(marked.withColumn("draw", draw).where(F.col("draw") < int(min(1.0, ROWS / max(n, 1)) * (1 << 20))), "labels")
+    chosen = F.broadcast(chosen) if chosen.count() <= 2 * ROWS else chosen
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+    return materialize(rows.select("text", F.col("toxic").cast("int").alias("toxic"), "draw"), "sample")
 
 
 def mine(rows: DataFrame) -> dict[str, float]:
