@@ -87,7 +87,6 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.loaded = Tokenizer.from_file(tokenizer)
-        self.loaded.encode_special_tokens = True
         if sys.byteorder != "little":
             raise ValueError("ids are kept as they are in memory, little-endian")
         if max(self.loaded.get_vocab().values()) >= 1 << 16:
@@ -127,7 +126,8 @@ def encode(texts: list[str], tokenizer: str) -> list[bytes]:
     The vocabulary's own pattern never lets a token run on from a character
     that isn't white space into a space.  So texts are cut there, and a piece
     that was seen before needs no second encoding; the ids are those of the
-    whole text.
+    whole text by the tokenizer's plain call without added special tokens, so a
+    special token that a text quotes has its own id.
     """
     return _encoder(tokenizer).encode(texts)
 

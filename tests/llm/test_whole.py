@@ -1,6 +1,10 @@
 """The whole job, where a shorter one would pass the other tests."""
 
-from steadfold.llm import license_scan
+import random
+
+import numpy as np
+
+from steadfold.llm import license_scan, token_files
 
 
 def test_texts_with_several_licences(spark):
@@ -9,3 +13,15 @@ def test_texts_with_several_licences(spark):
     found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [found[i].labels for i in (0, 200, 201)] == ["mit", "bsd,mit", "apache,gpl,mit"]
     assert all((3, 0, 1.0) in [(s.template, s.start, s.share) for s in found[i].spans] for i in (0, 200, 201))
+
+
+def test_special_tokens_have_their_ids():
+    from tokenizers import Tokenizer
+
+    loaded = Tokenizer.from_file(token_files.default_tokenizer())
+    mark = "<|endoftext|>"
+    texts = [mark, f"end {mark} next", f"a{mark}b", f"a {mark}", f"{mark} a", f"a  {mark}  {mark}\n{mark}b", f"x\n{mark}\ny {mark}.", f"été{mark} {mark}{mark}", f"a\n {mark}\n\n b", "<|endoftext|", "< |endoftext|>"]
+    random.seed(4)
+    texts += ["".join(random.choice([mark, "a", "bc", " ", " ", ".", "\n", "\t", "é", "'s"]) for _ in range(30)) for _ in range(300)]
+    for text, ids in zip(texts, token_files.encode(texts, token_files.default_tokenizer()), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == loaded.encode(text, add_special_tokens=False).ids, text
