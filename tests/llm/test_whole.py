@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from steadfold.llm import license_scan, token_files
+from steadfold.llm import license_scan, line_dedup, token_files
 
 
 def test_texts_with_several_licences(spark):
@@ -25,3 +25,16 @@ def test_special_tokens_have_their_ids():
     texts += ["".join(random.choice([mark, "a", "bc", " ", " ", ".", "\n", "\t", "é", "'s"]) for _ in range(30)) for _ in range(300)]
     for text, ids in zip(texts, token_files.encode(texts, token_files.default_tokenizer()), strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == loaded.encode(text, add_special_tokens=False).ids, text
+
+
+def test_short_lines_with_one_other_character(spark):
+    random.seed(7)
+    lines = []
+    for size in (39, 45, 50, 60, 70, 78, 99):
+        for _ in range(8):
+            line = "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+            at = random.randrange(size)
+            lines += [line, line[:at] + "9" + line[at + 1 :]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r.doc_id: r.removed for r in line_dedup.removals(docs).collect()}
+    assert found == {i: [0] * (i % 2) for i in range(len(lines))}
