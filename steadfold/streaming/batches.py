@@ -34,22 +34,35 @@ def aggregated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("step", "pos", "val")
 
 
-def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour", workers: int = 16) -> DataFrame:
-    """Events (ts, user_id, value) as windows of (start, n, mean, median): users' buckets are the workers of a window.
+def bucketed(events: DataFrame, width: str = "1 day", late: str = "1 hour", workers: int = 16) -> DataFrame:
+    """Events (ts, user_id, value) as (start, worker, n, value): users' buckets are the workers of a window, and their mean is what they submit.
 
-    Works on streams, with a watermark, and on tables.  The median is that of
-    the buckets' values kept as a sketch of fixed accuracy.
+    Works on streams, with a watermark, and on tables.
     """
     bucket = F.pmod(F.xxhash64("user_id"), F.lit(workers)).alias("worker")
     marked = events.withWatermark("ts", late).select(F.window("ts", width).alias("w"), bucket, "value")
-    return marked.groupBy("w").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.approx_percentile("value", 0.5, 10000).alias("median")).select(F.col("w.start").alias("start"), "n", "mean", "median")
+    return marked.groupBy("w", "worker").agg(F.count("*").alias("n"), F.avg("value").alias("value")).select(F.col("w.start").alias("start"), "worker", "n", "value")
+
+
+def ruled(buckets: DataFrame) -> DataFrame:
+    """Buckets of windows as (start, n, mean, median): the average and the median rule over each window's workers."""
+    rows = buckets.where("value IS NOT NULL").select(F.col("start").alias("step"), "worker", F.array("value").alias("g"))
+    found = rules.average(rows).select("step", F.col("val").alias("mean")).join(rules.median(rows).select("step", F.col("val").alias("median")), "step")
+    return buckets.groupBy("start").agg(F.sum("n").alias("n")).join(found.withColumnRenamed("step", "start"), "start", "left").select("start", "n", "mean", "median")
+
+
+def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour", workers: int = 16) -> DataFrame:
+    """A table's events as (start, n, mean, median), by the rules over each window's workers."""
+    return ruled(bucketed(events, width, late, workers))
 
 
 def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of the events, the newest too: each batch writes the complete result, and the last one is that of the whole input."""
     folder = scratch.folder(spark)
     events = data.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value").orderBy("ts")
-    stream = windowed(stream_of(events, folder, 1))
-    stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").format("parquet").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    stream = bucketed(stream_of(events, folder, 1))
+    act = lambda part, number: ruled(part.localCheckpoint()).write.mode("overwrite").parquet(f"{folder}/out")
+    stream.writeStream.foreachBatch(act).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("start timestamp, n long, mean double, median double").parquet(f"{folder}/out")
 
 

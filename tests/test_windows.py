@@ -1,0 +1,26 @@
+"""Windows of a stream against those of the same events in DuckDB, the newest one too."""
+
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from steadfold.streaming import batches
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_every_window_is_there(spark):
+    found = batches.windowed_events(spark, SF).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "mean", "median").orderBy("day").collect()
+    expected = duckdb.sql(f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FROM '{SF}/events.parquet' GROUP BY day ORDER BY day").fetchall()
+    assert [(r.day, r.n) for r in found] == expected
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    each = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.expr("pmod(xxhash64(user_id), 16)").alias("worker")).agg(F.avg("value").alias("v"))
+    days = {}
+    for r in each.collect():
+        days.setdefault(r.day, []).append(r.v)
+    for r in found:
+        values = sorted(days[r.day])
+        assert (r.mean, r.median) == pytest.approx((sum(values) / len(values), values[(len(values) - 1) // 2]))
