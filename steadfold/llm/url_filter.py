@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 
 from steadfold.llm.common import LOWER, UPPER, materialize
 
-#: Path segments of an entry at most, and labels of a host that are looked at from the right.
-SEGMENTS = 3
-LABELS = 8
-
 #: The list of the registered query, as changes (list, entry, action, day).
 CHANGES = (
     ("adult", "adult.example.org", "add", "2024-03-01"),
@@ -52,11 +48,19 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def candidates(url: Column) -> Column:
-    """The distinct entries that would cover a URL."""
+def depths(entries: DataFrame) -> tuple[int, int]:
+    """The largest number of a host's labels, and of a path's segments, over all entries."""
+    labels = F.size(F.split(F.regexp_extract("entry", "^[^/]*", 0), r"\."))
+    segments = F.size(F.filter(F.split(F.regexp_extract("entry", "/.*$", 0), "/"), lambda s: s != ""))
+    most = entries.agg(F.max(labels).alias("labels"), F.max(segments).alias("segments")).first()
+    return most.labels or 1, most.segments or 0
+
+
+def candidates(url: Column, most_labels: int, most_segments: int) -> Column:
+    """The distinct entries, of so many labels and segments at most, that would cover a URL."""
     labels = F.split(host_of(url), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(LABELS))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    segments = F.slice(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), 1, SEGMENTS)
+    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    segments = F.slice(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), 1, most_segments)
     paths = F.transform(F.sequence(F.lit(0), F.size(segments)), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), n), "/"))))
     every = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
     return F.when(host_of(url).isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(every))
@@ -89,8 +93,9 @@ def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """
     spans = validity(changes)
     entries = spans.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("start", "end", "list"))).alias("spans"))
+    labels, segments = depths(entries)
     rows = captures.select("page_id", "url", "fetched_at").withColumn("rid", F.monotonically_increasing_id())
-    rows = materialize(rows.select("rid", "page_id", host_of(F.col("url")).alias("host"), F.when(F.col("fetched_at").isNull(), F.expr("cast(array() as array<string>)")).otherwise(candidates(F.col("url"))).alias("keys"), "fetched_at"), "captures")
+    rows = materialize(rows.select("rid", "page_id", host_of(F.col("url")).alias("host"), F.when(F.col("fetched_at").isNull(), F.expr("cast(array() as array<string>)")).otherwise(candidates(F.col("url"), labels, segments)).alias("keys"), "fetched_at"), "captures")
     keyed = rows.select("rid", "fetched_at", F.explode("keys").alias("entry")).join(entries, "entry")
     active = keyed.select("rid", "entry", F.explode(F.expr("filter(spans, s -> s.start <= fetched_at AND (s.end IS NULL OR fetched_at < s.end))")).alias("s"))
     best = F.min(F.struct((-F.length("entry")).alias("n"), "entry", F.col("s.start").alias("start"))).alias("best")

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from steadfold.llm import license_scan, line_dedup, token_files
+from steadfold.llm import license_scan, line_dedup, token_files, url_filter
 
 
 def test_texts_with_several_licences(spark):
@@ -38,3 +38,11 @@ def test_short_lines_with_one_other_character(spark):
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     found = {r.doc_id: r.removed for r in line_dedup.removals(docs).collect()}
     assert found == {i: [0] * (i % 2) for i in range(len(lines))}
+
+
+def test_deep_entries(spark):
+    host = ".".join("abcdefghij")
+    captures = spark.sql(f"SELECT * FROM VALUES (1L, 'http://example.com/a/b/c/d/e/f', timestamp '2024-05-01'), (2L, 'http://x.{host}/y', timestamp '2024-05-01'), (3L, 'http://example.com/a/b/c', timestamp '2024-05-01') AS t(page_id, url, fetched_at)")
+    changes = spark.sql(f"SELECT * FROM VALUES ('l', 'example.com/a/b/c/d/e', 'add', timestamp '2024-01-01'), ('m', '{host}', 'add', timestamp '2024-01-01') AS t(list, entry, action, at)")
+    found = {r.page_id: (r.lists, r.entry) for r in url_filter.judge(captures, changes).collect()}
+    assert found == {1: ("l", "example.com/a/b/c/d/e"), 2: ("m", host), 3: ("", None)}
