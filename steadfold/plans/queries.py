@@ -184,6 +184,13 @@ def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.train_test_split(table(spark, sf_dir, "customer").select("c_custkey"), 0.8, "c_custkey").select("c_custkey", "part")
 
 
+@query("split_documents", "SELECT doc_id, length(text)::BIGINT AS n_chars, rn, CASE WHEN rn < least(greatest(1, floor(n * 0.8)), n - 1) THEN 'train' ELSE 'test' END AS part FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS rn, count(*) OVER () AS n FROM documents)")
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their whole texts, which are wide."""
+    found = training.train_test_split(table(spark, sf_dir, "documents").select("doc_id", "text"), 0.8, "doc_id")
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), "rn", "part")
+
+
 LINEAR = f"list_dot_product(x, {list(PARAMS[:-1])}::DOUBLE[]) + ({PARAMS[-1]})::DOUBLE"
 
 

@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def folder(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset, a temporary one serves in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "local").startswith("local["):
+@functools.cache
+def _own(application: str) -> str:
+    """A temporary folder of this machine, which goes when Python ends."""
+    path = tempfile.mkdtemp(prefix="steadfold-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
+def root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors can read and write.
+
+    It is the one that ``spark.checkpoint.dir`` names.  Where that is unset a
+    temporary folder serves, in local mode only: on a cluster the executors
+    would not see it, so there it is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(root or 'file://' + tempfile.gettempdir()).rstrip('/')}/steadfold-{uuid.uuid4().hex}"
+    return _own(spark.sparkContext.applicationId)
+
+
+def folder(spark: SparkSession, label: str = "steadfold") -> str:
+    """A new path under the shared folder."""
+    return f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a path with all that is in it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
