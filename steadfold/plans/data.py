@@ -122,3 +122,35 @@ result AS (SELECT step, pos, avg(val) AS val FROM close WHERE r <= t - {2 * f} G
     if name == "brute":
         return f"{brute(f)},\npicked AS (SELECT v.* FROM vectors v JOIN chosen USING (step) WHERE list_contains(workers, worker)),\n{coords('picked')},\n{mean}"
     raise KeyError(name)
+
+
+def search(before: str, values: str, keys: str, evaluations: int, last: str) -> str:
+    """SQL of the search: ``values`` asks for the values of ``{trials}`` (step, trial); ``last`` reads ``{last}``, the final states."""
+    parts = [before, f"trials_0 AS MATERIALIZED (SELECT DISTINCT step, 0.0::DOUBLE AS trial FROM {keys})"]
+    for k in range(evaluations):
+        if k:
+            back = "last - stride / pow(2.0::DOUBLE, greatest(0, ceil(log2(stride / last))))"
+            place = f"CASE WHEN growing THEN best + stride WHEN last < best THEN last + stride WHEN last <= 0 THEN 0 ELSE {back} END"
+            parts.append(f"trials_{k} AS MATERIALIZED (SELECT *, {place} AS trial FROM state_{k - 1})")
+        parts.append(f"values_{k} AS MATERIALIZED ({values.format(trials=f'trials_{k}')})")
+        if not k:
+            parts.append("state_0 AS MATERIALIZED (SELECT step, 0.0::DOUBLE AS best, round(value, 9) AS top, 0.0::DOUBLE AS last, 1.0::DOUBLE AS stride, true AS growing FROM values_0)")
+        else:
+            parts.append(f"""state_{k} AS MATERIALIZED (SELECT step, CASE WHEN better THEN trial ELSE best END AS best, CASE WHEN better THEN value ELSE top END AS top, trial AS last,
+  stride * CASE WHEN growing AND better THEN 2.0::DOUBLE ELSE 0.8::DOUBLE END AS stride, growing AND better AS growing
+  FROM (SELECT t.*, round(value, 9) AS value, round(value, 9) > top AS better FROM trials_{k} t JOIN values_{k} USING (step)))""")
+    return ",\n".join(parts) + "\n" + last.format(last=f"state_{evaluations - 1}")
+
+
+def searched(attack: str, defence: str, f: int, evaluations: int, last: str, sign: int = 1) -> str:
+    """SQL of an attack whose factor is searched for: ``ways`` (step, pos, avg, way), ``counted`` (step, k), and the final states."""
+    way = {"bulyan_all": "1.0::DOUBLE", "empire": "-avg(val)", "little": "stddev_samp(val)"}[attack]
+    before = f"""{COHORT},
+honest AS MATERIALIZED (SELECT step, worker, g FROM sized WHERE worker < n - {f}),
+counted AS MATERIALIZED (SELECT step, count(*) AS k FROM honest GROUP BY step),
+ways AS MATERIALIZED (SELECT step, pos, avg(val) AS avg, {way} AS way FROM (SELECT step, unnest(range(len(g)))::INT AS pos, unnest(g) AS val FROM honest) GROUP BY step, pos)"""
+    values = f"""WITH made AS (SELECT step, list(avg + {sign} * trial * way ORDER BY pos) AS g FROM ways JOIN {{trials}} USING (step) GROUP BY step),
+vectors AS MATERIALIZED (SELECT step, worker, g FROM honest UNION ALL SELECT step, (k + i)::INT, g FROM made JOIN counted USING (step), range({f}) AS r(i)),
+{rule(defence, f)}
+SELECT step, sum((val - avg) * (val - avg)) AS value FROM result JOIN ways USING (step, pos) GROUP BY step"""
+    return "WITH " + search(before, values, "honest", evaluations, last)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from steadfold.functions import losses
 from steadfold.functions.bounds import BOUNDS, bound
 from steadfold.functions.vectors import clipped, flattened, l1_norm, norm, rounded, sigmoid, unflattened
-from steadfold.operators import attacks, metrics, rules, training
+from steadfold.operators import attacks, metrics, rules, search, training
 from steadfold.plans import data
 from steadfold.plans.data import PARAMS, cohorts, logs, samples, table
 from steadfold.sources import libsvm, runs, scratch
@@ -135,20 +135,26 @@ for _name, _attack, _options in (("attack_nan", "nan", {}), ("attack_bulyan", "b
     query(_name, f"WITH {data.attacked('bulyan_all' if 'target' in _options else _attack, 3)} {MADE}")(lambda s, d, a=_attack, o=_options: made(attacks.with_attack(cohorts(s, d, 3), a, 3, **o)))
 
 
-@query("attack_auto")
-def attack_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attacks.auto(cohorts(spark, sf_dir, 3).where("NOT is_byz"), "little", 3, 3, "krum")
+for _rule in ("average", "median", "krum", "bulyan", "brute"):
+    _found = f"SELECT step, {R('best')} AS factor, {R('top')} AS gain FROM {{last}}"
+    query(f"attack_auto_{_rule}", data.searched("little", _rule, 2, 12, _found))(lambda s, d, r=_rule: (a := attacks.auto(cohorts(s, d, 2).where("NOT is_byz"), "little", 2, 2, r, 12)).select("step", *(rounded(a[c]).alias(c) for c in ("factor", "gain"))))
 
+query("attack_searched", data.searched("empire", "krum", 3, 8, f"SELECT m.step, (k + i)::INT AS worker, pos, {R('avg + best * way')} AS val FROM ways m JOIN {{last}} USING (step) JOIN counted USING (step), range(3) AS r(i)"))(lambda s, d: made(attacks.with_attack(cohorts(s, d, 3), "empire", 3, factor=-8, defence="krum")))
+query("attack_auto_rounds", data.searched("bulyan_all", "median", 3, 6, f"SELECT step, -({R('best')}) AS factor, {R('top')} AS gain FROM {{last}}", -1))(lambda s, d: (a := attacks.auto_in_rounds(cohorts(s, d, 3).where("NOT is_byz"), "bulyan", 3, 3, "median", 6, True, "all")).select("step", *(rounded(a[c]).alias(c) for c in ("factor", "gain"))))
 
-@query("line_maximize")
+TOPS = "SELECT n_nationkey AS step, n_nationkey * 0.37::DOUBLE + 0.1::DOUBLE AS t FROM nation"
+
+
+@query("line_maximize", "WITH RECURSIVE " + data.search(f"tops AS ({TOPS})", "SELECT step, -(trial - t) * (trial - t) AS value FROM {trials} JOIN tops USING (step)", "tops", 40, f"SELECT step AS nation, {R('t')} AS top, {R('best')} AS found FROM {{last}} JOIN tops USING (step)"))
 def line_maximize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search on parabolas, one for each nation: the places found come near the tops."""
 
-    def search(parts):
+    def found(parts):
         for part in parts:
-            yield part.assign(found=[attacks.line_maximize(lambda x, t=t: -((x - t) ** 2), 40) for t in part["top"]])
+            yield part.assign(found=[search.maximum(lambda x, t=t: -((x - t) ** 2), 40) for t in part["top"]])
 
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), (F.col("n_nationkey") * 0.37 + 0.1).alias("top")).mapInPandas(search, "nation int, top double, found double")
+    tops = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), (F.col("n_nationkey") * F.lit(0.37) + F.lit(0.1)).alias("top"))
+    return tops.mapInPandas(found, "nation int, top double, found double").select("nation", rounded(F.col("top")).alias("top"), rounded(F.col("found")).alias("found"))
 
 
 # Rules against attacks

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from steadfold.functions import bounds
-from steadfold.operators import attacks, metrics, rules, training
+from steadfold.operators import attacks, kernels, metrics, rules, search, training
 
 NAN = float("nan")
 
@@ -156,14 +156,67 @@ def test_attacks(spark):
 
 
 @pytest.mark.parametrize("top", [0.0, 0.3, 1.0, 7.5, 100.0])
-def test_line_maximize(top):
-    assert attacks.line_maximize(lambda x: -((x - top) ** 2), 60) == pytest.approx(top, abs=0.05 * max(1, top))
+def test_search_finds_a_top(top):
+    assert search.maximum(lambda x: -((x - top) ** 2), 60) == pytest.approx(top, abs=0.05 * max(1, top))
+
+
+def test_search_places():
+    """The trials on a parabola with its top at 2.2, by hand; and on a falling line, where no trial leaves it."""
+    asked = []
+    assert search.maximum(lambda x: asked.append(x) or -((x - 2.2) ** 2), 8) == pytest.approx(1.6496)
+    assert asked == pytest.approx([0, 1, 3, 7, 3.8, 1.24, 3.288, 1.6496])
+    falling = []
+    assert search.maximum(lambda x: falling.append(x) or -x, 8) == 0
+    assert falling[:2] == [0, 1] and min(falling) >= 0
+
+
+@pytest.mark.parametrize("defence", list(kernels.KERNELS))
+def test_kernels_are_the_rules(spark, defence):
+    random = np.random.default_rng(11)
+    vectors = np.concatenate([random.normal(0, 1, (8, 4)).round(2), [[math.nan] * 4]] if defence in ("krum", "bulyan", "brute") else [random.normal(0, 1, (9, 4)).round(2)])
+    expected = values(rules.aggregate(frame(spark, vectors), defence, 1 if defence != "average" else 0))
+    assert kernels.KERNELS[defence](vectors, 1) == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("defence", list(kernels.KERNELS))
+def test_searched_factors(spark, defence):
+    """The search by groups, by rounds, and by a plain loop over the rule itself; the vectors are built with what it found."""
+    honest = frame(spark, list(np.random.default_rng(2).normal(1, 0.1, (7, 3))))
+    options = {"f_decl": 2, "f_real": 2, "defence": defence, "evals": 5}
+    if defence == "bulyan":
+        options |= {"f_decl": 1}
+    a = attacks.auto(honest, "little", **options).first()
+    b = attacks.auto_in_rounds(honest, "little", **options).first()
+    assert (a.factor, a.gain) == pytest.approx((b.factor, b.gain)) and a.gain >= 0
+    made = attacks.identical(honest, "little", 2, -5, f_decl=options["f_decl"], defence=defence).collect()
+    plain = attacks.identical(honest, "little", 2, a.factor).collect() if a.factor else None
+    assert len(made) == 2 and (plain is None or made[0].g == pytest.approx(plain[0].g))
+
+
+def test_search_to_the_other_side(spark):
+    honest = frame(spark, [(1.0, 2.0), (2.0, 4.0), (3.0, 6.5)])
+    away, compat = (attacks.identical(honest, "empire", 1, -4, negative=True, defence="average", compat=c).first().g for c in (False, True))
+    factor = attacks.auto(honest, "empire", 1, 1, "average", 4, True).first().factor
+    mean = np.array([2.0, 12.5 / 3])
+    assert factor == -7 and away == pytest.approx(8 * mean) and compat == pytest.approx(-6 * mean)
+    with pytest.raises(bounds.RuleError):
+        attacks.identical(honest, "empire", 1)
 
 
-def test_auto_attack_gains(spark):
-    honest = frame(spark, list(np.random.default_rng(2).normal(1, 0.1, (8, 4))))
-    found = attacks.auto(honest, "little", 3, 3, "average").first()
-    assert found.factor > 1 and found.gain > 0
+def test_attacks_of_ones_own(spark):
+    attacks.register("zeros", lambda honest, f_real: attacks._repeated(honest.groupBy("step").agg(F.count("*").alias("n")).withColumn("g", F.array(F.lit(0.0), F.lit(0.0))), f_real))
+    try:
+        rows = frame(spark, [(1, 2), (3, 4), (5, 6)], byz={2})
+        assert [r.g for r in attacks.with_attack(rows, "zeros", 2, checked=True).where("is_byz").collect()] == [[0, 0]] * 2
+        with pytest.raises(bounds.RuleError):
+            attacks.register("zeros", attacks.nan)
+        with pytest.raises(bounds.RuleError):
+            attacks.with_attack(rows, "none", 1)
+        attacks.ATTACKS["zeros"] = lambda honest, f_real: attacks.nan(honest, f_real + 1)
+        with pytest.raises(bounds.RuleError):
+            attacks.with_attack(rows, "zeros", 2, checked=True)
+    finally:
+        del attacks.ATTACKS["zeros"]
 
 
 def test_statistics(spark):
