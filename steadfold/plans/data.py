@@ -154,3 +154,24 @@ vectors AS MATERIALIZED (SELECT step, worker, g FROM honest UNION ALL SELECT ste
 {rule(defence, f)}
 SELECT step, sum((val - avg) * (val - avg)) AS value FROM result JOIN ways USING (step, pos) GROUP BY step"""
     return "WITH " + search(before, values, "honest", evaluations, last)
+
+
+def trained(steps: int, name: str, f: int, rate: float, momentum: float, clip: float | None, model: str, last: str) -> str:
+    """SQL of a training loop over the samples: ``log`` (step, l2_origin, grad_norm), one CTE a step."""
+    out = "list_dot_product(x, w[1:4]) + w[5]"
+    out, slope = (f"1 / (1 + exp(-({out})))", "(p - y) * p * (1 - p)") if model == "logit" else (out, "p - y")
+    norm = "sqrt(list_dot_product(g, g))"
+    short = "g" if clip is None else f"CASE WHEN {norm} > {clip} THEN list_transform(g, lambda v: v * {clip}::DOUBLE / {norm}) ELSE g END"
+    zero = "[0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[]"
+    parts = [SAMPLES, f"params_0 AS (SELECT {zero} AS w, {zero} AS v)"]
+    for k in range(steps):
+        parts.append(f"""grad_{k} AS MATERIALIZED (WITH p AS (SELECT worker, x, y, w, {out} AS p FROM samples, params_{k} WHERE step = {k}),
+each AS (SELECT worker, pos, 2 * avg(s * v) AS val FROM (SELECT worker, {slope} AS s, unnest(range(5)) AS pos, unnest(list_append(x, 1.0::DOUBLE)) AS v FROM p) GROUP BY worker, pos),
+whole AS (SELECT worker, list(val ORDER BY pos) AS g FROM each GROUP BY worker),
+vectors AS MATERIALIZED (SELECT {k} AS step, worker, {short} AS g FROM whole),
+{rule(name, f)}
+SELECT list(val ORDER BY pos) AS g FROM result)""")
+        velocity = "g" if not k else f"list_transform(range(1, 6), lambda i: {momentum}::DOUBLE * v[i] + g[i])"
+        parts.append(f"params_{k + 1} AS MATERIALIZED (SELECT list_transform(range(1, 6), lambda i: w[i] - {rate}::DOUBLE * u[i]) AS w, u AS v FROM (SELECT w, {velocity} AS u FROM params_{k}, grad_{k}))")
+    rows = " UNION ALL ".join(f"SELECT {k} AS step, sqrt(list_dot_product(w, w)) AS l2_origin, {norm} AS grad_norm FROM params_{k}, grad_{k}" for k in range(steps))
+    return "WITH " + ",\n".join(parts) + f",\nlog AS ({rows})\n{last}"

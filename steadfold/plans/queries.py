@@ -253,16 +253,26 @@ def l2_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("step", rounded(norm(F.col("g"))).alias("l2_origin"))
 
 
-@query("train_loop")
+@query("train_loop", data.trained(5, "krum", 3, 0.5, 0.9, 0.2, "logit", f"SELECT step::BIGINT AS step, {R('l2_origin')} AS l2_origin, {R('grad_norm')} AS defense_norm FROM log"))
 def train_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, log = training.train(samples(spark, sf_dir), 4, 5, "krum", 3, rate=0.5, clip=5.0)
-    return spark.createDataFrame(log)
+    _, log = training.train(samples(spark, sf_dir), 4, 5, "krum", 3, rate=0.5, clip=0.2)
+    return spark.createDataFrame(log).select("step", *(rounded(F.col(c)).alias(c) for c in ("l2_origin", "defense_norm")))
 
 
-@query("regression")
+NORMAL = f"""WITH {data.SAMPLES}, v AS (SELECT list_append(x, 1.0::DOUBLE) AS x, y FROM samples),
+c AS (SELECT i, j, avg(a[i] * a[j]) AS m FROM (SELECT list_append(x, y) AS a FROM v), range(1, 7) AS r(i), range(1, 7) AS q(j) GROUP BY i, j),
+step_0 AS MATERIALIZED (SELECT i, list(m ORDER BY j) AS row FROM c WHERE i < 6 GROUP BY i)"""
+for _k in range(1, 6):
+    NORMAL += f""",
+pivot_{_k} AS (SELECT list_transform(row, lambda v: v / row[{_k}]) AS p FROM step_{_k - 1} WHERE i = {_k}),
+step_{_k} AS MATERIALIZED (SELECT i, CASE WHEN i = {_k} THEN p ELSE list_transform(range(1, 7), lambda c: row[c] - row[{_k}] * p[c]) END AS row FROM step_{_k - 1}, pivot_{_k})"""
+
+
+@query("regression", f"{NORMAL} SELECT (i - 1)::INT AS pos, round(row[6], 3) + 0.0 AS val FROM step_5")
 def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = training.regression(samples(spark, sf_dir), 4)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found)], "pos int, val double")
+    """Adam's result, which is near the one of the normal equations; the SQL eliminates them."""
+    found = training.regression(samples(spark, sf_dir), 4, 4000, 0.02)
+    return spark.createDataFrame([(i, round(float(v), 3) + 0.0) for i, v in enumerate(found)], "pos int, val double")
 
 
 # Statistics
@@ -462,6 +472,9 @@ def parse_keyval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Streams
 
-query("stream_aggregate")(batches.aggregated_events)
-query("stream_window_average")(batches.windowed_events)
-query("stream_sgd")(batches.streamed_training)
+query("stream_aggregate", f"WITH {data.attacked(None, 0)}, {data.rule('median', 0)} {RESULT}")(lambda s, d: result(batches.aggregated_events(s, d)))
+
+WINDOWS = f"""WITH buckets AS (SELECT ts::DATE AS day, user_id % 16 AS worker, count(*) AS n, avg(value) AS v FROM events GROUP BY ALL)
+SELECT strftime(day, '%Y-%m-%d') AS day, sum(n)::BIGINT AS n, {R('avg(v)')} AS mean, {R('quantile_disc(v, 0.5)')} AS median FROM buckets GROUP BY day"""
+query("stream_window_average", WINDOWS)(lambda s, d: batches.windowed_events(s, d).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("median")).alias("median")))
+query("stream_sgd", data.trained(4, "median", 0, 0.5, 0.9, None, "logit", f"SELECT step::BIGINT AS batch, {R('grad_norm')} AS grad_norm FROM log"))(lambda s, d: batches.streamed_training(s, d).withColumn("grad_norm", rounded(F.col("grad_norm"))))

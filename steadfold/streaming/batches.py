@@ -19,9 +19,9 @@ def stream_of(rows: DataFrame, folder: str, files: int) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
 
 
-def each_batch(stream: DataFrame, folder: str, act: Callable[[DataFrame, int], None]) -> None:
+def each_batch(stream: DataFrame, folder: str, act: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run ``act`` on all micro-batches there are; the checkpoint lets a stopped query go on where it was."""
-    stream.writeStream.foreachBatch(act).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(act).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def aggregated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,11 @@ def aggregated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucketed(events: DataFrame, width: str = "1 day", late: str = "1 hour", workers: int = 16) -> DataFrame:
-    """Events (ts, user_id, value) as (start, worker, n, value): users' buckets are the workers of a window, and their mean is what they submit.
+    """Events (ts, user_id, value) as (start, worker, n, value): users, by their id modulo ``workers``, are the workers of a window, and their mean is what they submit.
 
     Works on streams, with a watermark, and on tables.
     """
-    bucket = F.pmod(F.xxhash64("user_id"), F.lit(workers)).alias("worker")
+    bucket = F.pmod("user_id", F.lit(workers)).cast("int").alias("worker")
     marked = events.withWatermark("ts", late).select(F.window("ts", width).alias("w"), bucket, "value")
     return marked.groupBy("w", "worker").agg(F.count("*").alias("n"), F.avg("value").alias("value")).select(F.col("w.start").alias("start"), "worker", "n", "value")
 
@@ -61,21 +61,52 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.folder(spark)
     events = data.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value").orderBy("ts")
     stream = bucketed(stream_of(events, folder, 1))
-    act = lambda part, number: ruled(part.localCheckpoint()).write.mode("overwrite").parquet(f"{folder}/out")
-    stream.writeStream.foreachBatch(act).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    def act(part: DataFrame, number: int) -> None:
+        part.write.mode("overwrite").parquet(f"{folder}/buckets/batch={number}")  # the stream's plan runs once a batch
+        ruled(spark.read.schema(part.schema).parquet(f"{folder}/buckets/batch={number}")).write.mode("overwrite").parquet(f"{folder}/out")
+
+    each_batch(stream, folder, act, "complete")
     return spark.read.schema("start timestamp, n long, mean double, median double").parquet(f"{folder}/out")
 
 
-def streamed_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training whose steps are micro-batches: (batch, loss)."""
-    folder, state, log = scratch.folder(spark), {"params": np.zeros(5), "velocity": np.zeros(5)}, []
+def in_order(rows: DataFrame, folder: str, key: str, values: list[int]) -> DataFrame:
+    """Rows written as one file for each value of ``key``, one after another, and read as a stream in that order."""
+    for value in values:
+        rows.where(F.col(key) == value).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+STATE = "pos int, param double, velocity double, grad double"
+
+
+def train_on(stream: DataFrame, folder: str, width: int, rate: float, momentum: float, rule: str = "median", f: int = 0, model: str = "logit") -> DataFrame:
+    """Training whose steps are the stream's micro-batches of (worker, x, y): (batch, grad_norm) of all so far.
+
+    A batch starts from the parameters and velocities that the one before it
+    has left in ``folder``, beside the stream's checkpoint, and writes its own
+    there.  So a query that was stopped goes on with them, and a batch that
+    runs again gives the same.
+    """
+    spark = stream.sparkSession
 
     def act(part: DataFrame, number: int) -> None:
-        rows = part.withColumn("step", F.lit(0))
-        grad = np.array([r.val for r in rules.median(training.gradients(rows, state["params"], "logit")).orderBy("pos").select("val").collect()])
-        if len(grad):
-            state["params"], state["velocity"] = training.sgd(state["params"], state["velocity"], grad, 0.5, 0.9, first=not log)
-            log.append((number, float(np.linalg.norm(grad))))
-
-    each_batch(stream_of(data.samples(spark, sf_dir), folder, 4), folder, act)
-    return spark.createDataFrame(log, "batch long, grad_norm double")
+        params, velocity = np.zeros(width + 1), np.zeros(width + 1)
+        if number:
+            for r in spark.read.schema(STATE).parquet(f"{folder}/state/batch={number - 1}").collect():
+                params[r.pos], velocity[r.pos] = r.param, r.velocity
+        found = rules.aggregate(training.gradients(part.withColumn("step", F.lit(0)), params, model), rule, f, checked=False)
+        grad = np.array([r.val for r in found.orderBy("pos").select("val").collect()] or [0.0] * (width + 1))
+        params, velocity = training.sgd(params, velocity, grad, rate, momentum, first=number == 0)
+        rows = [(i, float(params[i]), float(velocity[i]), float(grad[i])) for i in range(width + 1)]
+        spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+    each_batch(stream, folder, act)
+    states = spark.read.schema(f"{STATE}, batch long").parquet(f"{folder}/state")
+    return states.groupBy("batch").agg(F.sqrt(F.sum(F.col("grad") * F.col("grad"))).alias("grad_norm"))
+
+
+def streamed_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic regression by medians over workers, on four batches of lineitem."""
+    folder, rows = scratch.folder(spark), data.samples(spark, sf_dir).where("step < 4")
+    return train_on(in_order(rows, folder, "step", [0, 1, 2, 3]), folder, 4, 0.5, 0.9)

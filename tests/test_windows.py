@@ -6,6 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from steadfold.plans import data
+from steadfold.sources import scratch
 from steadfold.streaming import batches
 
 SF = "/root/testdata/sf0.001"
@@ -17,10 +19,22 @@ def test_every_window_is_there(spark):
     expected = duckdb.sql(f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FROM '{SF}/events.parquet' GROUP BY day ORDER BY day").fetchall()
     assert [(r.day, r.n) for r in found] == expected
     events = spark.read.parquet(f"{SF}/events.parquet")
-    each = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.expr("pmod(xxhash64(user_id), 16)").alias("worker")).agg(F.avg("value").alias("v"))
+    each = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.expr("pmod(user_id, 16)").alias("worker")).agg(F.avg("value").alias("v"))
     days = {}
     for r in each.collect():
         days.setdefault(r.day, []).append(r.v)
     for r in found:
         values = sorted(days[r.day])
         assert (r.mean, r.median) == pytest.approx((sum(values) / len(values), values[(len(values) - 1) // 2]))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_training_goes_on_after_a_stop(spark):
+    """Two files, a stop, two more: the same as four at once, from the parameters that were left."""
+    rows = data.samples(spark, SF).where("step < 4")
+    whole, parts = scratch.folder(spark), scratch.folder(spark)
+    expected = batches.train_on(batches.in_order(rows, whole, "step", [0, 1, 2, 3]), whole, 4, 0.5, 0.9).orderBy("batch").collect()
+    assert len(batches.train_on(batches.in_order(rows, parts, "step", [0, 1]), parts, 4, 0.5, 0.9).collect()) == 2
+    found = batches.train_on(batches.in_order(rows, parts, "step", [2, 3]), parts, 4, 0.5, 0.9).orderBy("batch").collect()
+    assert [r.batch for r in found] == [0, 1, 2, 3]
+    assert [r.grad_norm for r in found] == pytest.approx([r.grad_norm for r in expected])
