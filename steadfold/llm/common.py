@@ -1,11 +1,8 @@
-"""What the corpus operators share: the shared folder and connected components."""
+"""What the corpus operators share: intermediate tables, bit maps and connected components."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import threading
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steadfold.sources import scratch
+
 #: ASCII white space, the separators of the plain words.
 SPACE = r"\x20\x09-\x0D"
 #: What the licence and benchmark words don't contain; A-Z are lower-cased first.
@@ -20,26 +19,6 @@ NOT_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-@functools.cache
-def _own_folder(application: str) -> str:
-    return "file://" + tempfile.mkdtemp(prefix="steadfold-")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors can read and write.
-
-    It is the one that ``spark.checkpoint.dir`` names.  Where that is unset a
-    temporary folder serves, in local mode only: on a cluster the executors
-    would not see it, so there it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_folder(spark.sparkContext.applicationId)
-
-
 _made = threading.local()
 
 
@@ -51,7 +30,7 @@ def made() -> list[str]:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    made().append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
+    made().append(scratch.folder(spark, label))
     return made()[-1]
 
 
@@ -74,7 +53,7 @@ def settle(df: DataFrame, label: str, since: int) -> DataFrame:
     """
     out = materialize(df, label)
     for path in made()[since:-1]:
-        drop_path(df.sparkSession, path)
+        scratch.drop(df.sparkSession, path)
     del made()[since:-1]
     return out
 
@@ -108,12 +87,6 @@ def is_set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """Connected components of the links ``(a, b)``: ``(node, root)``.
 
@@ -131,7 +104,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         old, path = path, new_path(spark, "links")
         now.write.parquet(path)
         if old:
-            drop_path(spark, old)
+            scratch.drop(spark, old)
         now = spark.read.parquet(path)
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(xxhash64(b, a) % 1000003)")).first()
         if state == seen or not state[0]:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steadfold.llm.common import LOWER, NOT_WORD, UPPER, bit_map, in_slices, is_set, materialize, text_key
+from steadfold.sources.names import unused
 
 ITEM = 10
 SHINGLE = 5
@@ -141,10 +142,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item: int = ITEM, shing
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, as they are, without a hit word.  Rows with the same text stay or go together."""
+    """The rows of ``docs``, as they are, without a hit word.  Rows with the same text stay or go together.
+
+    Null and empty texts have no words and stay; so does everything where the
+    benchmark is empty.  Repeated rows and null ids are rows like others; an
+    empty table gives an empty result.
+    """
+    key = unused(docs.columns, "key")[0]
     found = contamination(docs.select(text_key(F.col("text")).alias("doc_id"), "text"), benchmark)
-    bad = found.where("n_hit > 0").select(F.col("doc_id").alias("__key")).distinct()
-    return docs.join(bad, text_key(F.col("text")) == F.col("__key"), "left_anti")
+    bad = found.where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(bad, text_key(F.col("text")) == F.col(key), "left_anti")
 
 
 def digest(items: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadfold.llm.common import in_slices
+from steadfold.sources.names import unused
 
 UNKNOWN = "und"
 WINDOW = 192
@@ -199,7 +200,12 @@ def predictions(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, net: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, as they are, whose language is known with a probability of ``least`` or more."""
+    """The rows of ``docs``, as they are, whose language is known with a probability of ``least`` or more.
+
+    Null texts, those without a letter, and all of them where nothing could be
+    learned, go.  Repeated rows stay or go together; an empty table gives an
+    empty result.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +214,8 @@ def keep_identified(docs: DataFrame, net: Network | None, least: float = LEAST_S
             kept = batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names)
 
-    return docs.select(*names, F.col("text").cast("string").alias("__text"), has_letter(F.col("text")).alias("__letter")).mapInArrow(run, docs.schema)
+    body, letter = unused(names, "body", "letter")
+    return docs.select(*names, F.col("text").cast("string").alias(body), has_letter(F.col("text")).alias(letter)).mapInArrow(run, docs.schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

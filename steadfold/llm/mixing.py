@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steadfold.llm.common import materialize, text_key
+from steadfold.sources.names import unused
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -132,10 +133,10 @@ def plan(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
     sizes = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")))
     sizes = materialize(sizes.withColumnRenamed("source", "of"), "targets")
     rated = units.join(sizes, units["source"].eqNullSafe(F.col("of"))).drop("of")
-    rated = rated.withColumn("rate", F.expr("CASE WHEN source_size > 0 THEN rows * target / source_size ELSE 0D END"))
+    rated = rated.withColumn("rate", F.expr("coalesce(try_divide(rows * target, source_size), 0D)"))
     rated = rated.withColumn("rate", F.expr("CASE WHEN abs(rate - round(rate)) < 1e-9 THEN round(rate) ELSE rate END")).withColumn("whole", F.expr("cast(floor(rate) as long)"))
     rated = rated.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "key")).withColumn("p", F.expr("rate - whole"))
-    rated = rated.withColumn("mass", F.expr("target - floor(target / source_size) * source_size"))
+    rated = rated.withColumn("mass", F.expr("target - floor(coalesce(try_divide(target, source_size), 0D)) * source_size"))
     open_ = F.expr("p > 0 AND size > 0")
     paired = _by_tier(rated.where(open_).select("source", F.struct(*_FIELDS).alias("u"), "p", F.expr(_TIER).alias("tier")), block)
     lone = rated.where(~open_).select("source", F.struct(*_FIELDS).alias("u"), F.expr("(xxhash64(draw, 'lone') & 4503599627370495L) / 4503599627370496D < p").alias("up"))
@@ -143,17 +144,22 @@ def plan(docs: DataFrame, seed: int = 0, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """``docs``, all columns as they are, each row as often as the plan says."""
-    chosen = materialize(plan(docs, seed).where("copies > 0").select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("key").alias("__k"), F.col("rows").alias("__rows"), F.col("copies").alias("__copies")), "copies")
-    named = docs.withColumn("__key", text_key(F.col("text")))
-    same = F.col("__d").eqNullSafe(named["doc_id"]) & (F.col("__k") == F.col("__key")) & F.col("__s").eqNullSafe(named["source"].cast("string"))
-    found = named.join(chosen, same).select(*(named[c] for c in docs.columns), "__key", "__rows", "__copies")
-    one = found.where("__rows = 1")
-    many = found.where("__rows > 1").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "source", "__key").orderBy("__rows")))
-    many = many.withColumn("__copies", F.expr("__copies div __rows + cast(__n <= __copies % __rows as long)")).drop("__n")
-    if not chosen.where("__rows > 1").isEmpty():
-        one = one.unionByName(many)
-    return one.withColumn("__copy", F.explode(F.expr("array_repeat(0, cast(__copies as int))"))).select(*docs.columns)
+    """``docs``, all columns as they are, each row as often as the plan says.
+
+    Nulls, repeated rows and empty tables are taken as ``plan`` takes them;
+    helper columns have names that ``docs`` doesn't.
+    """
+    source, ident, key, rows, copies, own, n = unused(docs.columns, "of_source", "of_id", "of_text", "rows", "copies", "own", "nth")
+    chosen = plan(docs, seed).where("copies > 0").select(F.col("source").alias(source), F.col("doc_id").alias(ident), F.col("key").alias(key), F.col("rows").alias(rows), F.col("copies").alias(copies))
+    chosen = materialize(chosen, "copies")
+    same = F.col(ident).eqNullSafe(F.col("doc_id")) & (F.col(key) == F.col(own)) & F.col(source).eqNullSafe(F.col("source").cast("string"))
+    found = docs.withColumn(own, text_key(F.col("text"))).join(chosen, same)
+    one = found.where(F.col(rows) == 1)
+    if not chosen.where(F.col(rows) > 1).isEmpty():
+        # Rows that are alike share their copies out, the first ones one more.
+        many = found.where(F.col(rows) > 1).withColumn(n, F.row_number().over(Window.partitionBy("doc_id", "source", own).orderBy(rows)))
+        one = one.unionByName(many.withColumn(copies, F.expr(f"`{copies}` div `{rows}` + cast(`{n}` <= `{copies}` % `{rows}` as long)")).drop(n))
+    return one.withColumn(n, F.explode(F.expr(f"array_repeat(0, cast(`{copies}` as int))"))).select(*docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadfold.llm.common import connected_components, in_slices, materialize, text_key
+from steadfold.sources.names import unused
 
 RADIUS = 3
 SHINGLE = 3
@@ -144,25 +145,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of its smallest doc_id stays.
+    """The rows of ``docs`` without near copies: of each component one row stays, that of its smallest doc_id.
 
-    Where that doc_id has several rows in the component one of them stays.
-    Rows of a component without any doc_id all stay, since no id can name the
-    one to keep.  All columns of ``docs`` are returned as they are.
+    Null doc_ids come last, and of rows with the same doc_id the one with the
+    smallest key of its text stays; of rows that share both, any one does.  A
+    null text counts as empty, and all texts without words are one component.
+    An empty table gives an empty result.  All columns of ``docs`` are returned
+    as they are, whatever their names.
     """
-    rows = near_duplicates(docs, radius).where("doc_id = component_id OR component_id IS NULL")
-    named_one = rows.where("component_id IS NOT NULL").groupBy("doc_id", "root").agg(F.min("text_key").alias("key"), F.count("*").alias("n"))
-    nameless = rows.where("component_id IS NULL").groupBy("doc_id", "text_key").agg(F.lit(1).alias("n"))
-    lowest = named_one.select("doc_id", "key", "n").union(nameless)
-    lowest = materialize(lowest.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.expr("n > 1").alias("__more")), "kept")
-    named = docs.withColumn("__text", text_key(F.col("text")))
-    found = named.join(lowest.where("__id IS NOT NULL"), (named["doc_id"] == F.col("__id")) & (F.col("__text") == F.col("__key"))).select(*(named[c] for c in docs.columns), "__more")
-    once = found.where("NOT __more").drop("__more")
-    more = lowest.where("__more")
-    if not more.isEmpty():
-        once = once.unionByName(found.where("__more").drop("__more").dropDuplicates(["doc_id", "text"]))
-    if not lowest.where("__id IS NULL").isEmpty():
-        once = once.unionByName(docs.where("doc_id IS NULL").join(lowest.where("__id IS NULL").select("__key"), text_key(F.col("text")) == F.col("__key"), "left_semi"))
+    alike = near_duplicates(docs, radius).groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    least = alike.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", "text_key", "n")).alias("one")).select("one.*")
+    ident, key, more, own = unused(docs.columns, "ident", "key", "more", "own")
+    chosen = materialize(least.select(F.col("doc_id").alias(ident), F.col("text_key").alias(key), F.expr("n > 1").alias(more)), "kept")
+    keyed = docs.withColumn(own, text_key(F.col("text")))
+    found = keyed.join(chosen, (F.col(key) == F.col(own)) & F.col(ident).eqNullSafe(F.col("doc_id"))).drop(ident, key, own)
+    once = found.where(~F.col(more)).drop(more)
+    if not chosen.where(more).isEmpty():
+        once = once.unionByName(found.where(more).drop(more).dropDuplicates(["doc_id", "text"]))
     return once
 
 

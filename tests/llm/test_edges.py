@@ -33,6 +33,8 @@ def test_simhash(odd, none):
     assert kept.columns == odd.columns and simhash.keep_one(none).count() == 0
     assert sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == [0, 3, 4, 4, 5, 6, 7, 8, 9]
     assert [r.text for r in kept.collect() if r.doc_id is None] == ["no id here"]
+    nameless = odd.where("doc_id IS NULL").unionByName(odd.where("doc_id IS NULL"))
+    assert sorted(map(str, (r.text for r in simhash.keep_one(nameless).collect()))) == ["None", "no id here"]
 
 
 def test_tokens(odd, none, tmp_path):
@@ -120,6 +122,26 @@ def test_urls(spark):
     assert url_filter.judge(captures.limit(0), changes).count() == 0 and url_filter.judge(captures, changes.limit(0)).where("n_entries > 0").count() == 0
 
 
+#: Names that operators give to columns of their own, or gave.
+HELPERS = "key text_key ident own more body letter rid n copies rows of_source of_id of_text nth cuts removed __key __text __copies __n __id __more __rows __cut __letter item win hits u p source_size target fp root component_id".split()
+
+
+def test_columns_may_have_any_name(spark):
+    """Columns with every helper name, in one table: the same names, types and values come out."""
+    texts = ["The quick brown fox jumps over the lazy dog near the river bank today", "Another line of plain English words which nobody has ever seen before here", "The quick brown fox jumps over the lazy dog near the river bank today", None]
+    rows = [(i, t, "en", "s", 1, *(f"{h}{i}" for h in HELPERS)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{h}` string" for h in HELPERS))
+    items = spark.createDataFrame([(1, "another line of plain english words which nobody has ever")], "item_id long, text string")
+    whole = {r.doc_id: r for r in docs.collect()}
+    net = language_id.fit(docs)
+    for found, ids in ((simhash.keep_one(docs), {0, 1, 3}), (decontaminate.keep_clean(docs, items), {0, 2, 3}), (mixing.mix(docs), {0, 1, 2}), (language_id.keep_identified(docs, net), {0, 1, 2})):
+        assert found.schema == docs.schema or [(f.name, f.dataType) for f in found.schema] == [(f.name, f.dataType) for f in docs.schema]
+        rows = found.collect()
+        assert {r.doc_id for r in rows} - {3} == ids - {3} and all(r == whole[r.doc_id] for r in rows)
+    cut = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    assert cut[2].text == "" and all(cut[i][2:] == whole[i][2:] for i in cut) and cut[0] == whole[0] and len(cut) == 4
+
+
 @pytest.mark.parametrize("stage", ["language", "near_copies", "benchmark", "mixture"])
 def test_stages_return_the_columns(spark, odd, none, stage):
     import corpus_pipeline
