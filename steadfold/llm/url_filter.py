@@ -5,11 +5,14 @@ changes become validity intervals, and a capture is judged by the entries that
 were on the list when it was fetched, whatever the list says today.
 
 An entry is a host, which also covers the hosts below it, or a host with the
-beginning of a path, whose case matters.  A capture's possible entries are its host and the hosts
-above it, each alone and with the beginnings of the path; they are looked up by
-equality.  The list side is one row an entry, with its intervals in order, so a
-host with very many captures meets one row; where the list is large the join is
-a shuffle join, whose skewed partitions Spark can split.
+beginning of a path, in whole segments, whose case matters; closing slashes of
+an entry don't count.  A capture's possible hosts, its own and those above it,
+are looked up among the hosts of the list by equality.  Only those that are
+there are continued by the beginnings of the path and looked up among the
+entries, so a capture without a listed host is one row for each of its host's
+parts, and no more.  Both lists have one row a key, the entries' with their
+intervals in order, so a host with very many captures meets one row; where the
+list is large the joins are shuffle joins, whose skewed partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ CHANGES = (
     ("spam", "casino.example.net", "add", "2024-05-05"),
     ("tracking", "m.ththth.example.net", "add", "2024-07-01"),
     ("tracking", "example.org/es", "add", "2024-10-01"),
+    ("tracking", "cdn.example.com/a/b/c/d/", "add", "2024-01-01"),
+    ("malware", "a.b.c.d.e.f.g.h.example.org", "add", "2024-02-01"),
 )
 
 
@@ -48,34 +53,40 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def depths(entries: DataFrame) -> tuple[int, int]:
-    """The largest number of a host's labels, and of a path's segments, over all entries."""
-    labels = F.size(F.split(F.regexp_extract("entry", "^[^/]*", 0), r"\."))
-    segments = F.size(F.filter(F.split(F.regexp_extract("entry", "/.*$", 0), "/"), lambda s: s != ""))
-    most = entries.agg(F.max(labels).alias("labels"), F.max(segments).alias("segments")).first()
-    return most.labels or 1, most.segments or 0
+def depths(entries: DataFrame) -> tuple[int, int, int]:
+    """The smallest and largest number of a host's labels, and the largest of a path's slashes, over all entries."""
+    labels = F.size(F.split("host", r"\."))
+    slashes = F.length("entry") - F.length(F.replace(F.col("entry"), F.lit("/"), F.lit("")))
+    most = entries.agg(F.min(labels).alias("least"), F.max(labels).alias("most"), F.max(slashes).alias("slashes")).first()
+    return most.least or 1, most.most or 0, most.slashes or 0
 
 
-def candidates(url: Column, most_labels: int, most_segments: int) -> Column:
-    """The distinct entries, of so many labels and segments at most, that would cover a URL."""
-    labels = F.split(host_of(url), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most_labels))), lambda n: F.array_join(F.slice(labels, -n, n), "."))
-    segments = F.slice(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), 1, most_segments)
-    paths = F.transform(F.sequence(F.lit(0), F.size(segments)), lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), n), "/"))))
-    every = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
-    return F.when(host_of(url).isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(every))
+def hosts_above(host: Column, least: int, most: int) -> Column:
+    """A host and the hosts above it, of ``least`` to ``most`` labels; none for null."""
+    labels = F.split(host, r"\.")
+    last = F.least(F.size(labels), F.lit(most))
+    every = F.transform(F.sequence(F.lit(least), last), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+    return F.when(host.isNull() | (last < least), F.expr("cast(array() as array<string>)")).otherwise(every)
+
+
+def beginnings(path: Column, most: int) -> Column:
+    """A path's beginnings in whole segments, of ``most`` slashes at most: of /a/b they are nothing, /a and /a/b."""
+    segments = F.slice(F.split(path, "/"), 1, most + 1)
+    return F.transform(segments, lambda x, i: F.array_join(F.slice(segments, F.lit(1), i + 1), "/"))
 
 
 def validity(changes: DataFrame) -> DataFrame:
     """(list, entry, action, at) -> list, entry, start, end: where each entry was on each list.
 
     ``start`` is within and ``end`` is not; it is null while the entry stays.
-    Of several changes at one time an ``add`` counts last.  Changes that change
+    Hosts are in lower case; closing dots of a host and closing slashes of an
+    entry are left out.  Of several changes at one time an ``add`` counts last.  Changes that change
     nothing, nulls in any column and other actions are left out.
     """
     known = changes.where("list IS NOT NULL AND entry IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
-    host = F.translate(F.regexp_extract("entry", "^[^/]*", 0), UPPER, LOWER)
-    entry = F.concat(host, F.regexp_replace("entry", "^[^/]*", "")).alias("entry")
+    plain = F.regexp_replace("entry", "/+$", "")
+    host = F.regexp_replace(F.translate(F.regexp_extract(plain, "^[^/]*", 0), UPPER, LOWER), r"\.+$", "")
+    entry = F.concat(host, F.regexp_replace(plain, "^[^/]*", "")).alias("entry")
     one = known.groupBy("list", entry, "at").agg(F.max(F.col("action") == "add").alias("on"))
     order = Window.partitionBy("list", "entry").orderBy("at")
     turned = one.withColumn("was", F.coalesce(F.lag("on").over(order), F.lit(False))).where("on <> was")
@@ -87,16 +98,19 @@ def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``lists`` has the distinct names, sorted and comma-joined; ``entry`` is the
     longest one, the first in order of several, and ``since`` the start of its
-    interval.  A URL that is null or has no host, and a capture whose time is
+    interval.  An entry's intervals are one array, as long as its changes are
+    many.  A URL that is null or has no host, and a capture whose time is
     null, match nothing and get n_entries 0, lists '' and nulls.  Repeated rows
     each get their row; an empty table gives an empty result.
     """
-    spans = validity(changes)
-    entries = spans.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("start", "end", "list"))).alias("spans"))
-    labels, segments = depths(entries)
-    rows = captures.select("page_id", "url", "fetched_at").withColumn("rid", F.monotonically_increasing_id())
-    rows = materialize(rows.select("rid", "page_id", host_of(F.col("url")).alias("host"), F.when(F.col("fetched_at").isNull(), F.expr("cast(array() as array<string>)")).otherwise(candidates(F.col("url"), labels, segments)).alias("keys"), "fetched_at"), "captures")
-    keyed = rows.select("rid", "fetched_at", F.explode("keys").alias("entry")).join(entries, "entry")
+    entries = validity(changes).groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("start", "end", "list"))).alias("spans"))
+    entries = materialize(entries.withColumn("host", F.regexp_extract("entry", "^[^/]*", 0)), "entries")
+    least, most, slashes = depths(entries)
+    rows = captures.select("page_id", host_of(F.col("url")).alias("host"), beginnings(path_of(F.col("url")), slashes).alias("paths"), "fetched_at").withColumn("rid", F.monotonically_increasing_id())
+    rows = materialize(rows, "captures")
+    hosts = rows.where("fetched_at IS NOT NULL").select("rid", "fetched_at", "paths", F.explode(hosts_above(F.col("host"), least, most)).alias("above"))
+    listed = hosts.join(entries.select(F.col("host").alias("above")).distinct(), "above", "left_semi")
+    keyed = listed.select("rid", "fetched_at", F.explode(F.transform("paths", lambda p: F.concat("above", p))).alias("entry")).join(entries.select("entry", "spans"), "entry")
     active = keyed.select("rid", "entry", F.explode(F.expr("filter(spans, s -> s.start <= fetched_at AND (s.end IS NULL OR fetched_at < s.end))")).alias("s"))
     best = F.min(F.struct((-F.length("entry")).alias("n"), "entry", F.col("s.start").alias("start"))).alias("best")
     found = active.groupBy("rid").agg(F.count("*").alias("n_entries"), F.array_join(F.sort_array(F.collect_set("s.list")), ",").alias("lists"), best)
@@ -113,7 +127,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "host", "n_entries", "lists", "entry", F.date_format("since", "yyyy-MM-dd").alias("since"), (F.col("n_entries") > 0).alias("blocked"))
 
 
-_VALUES = ", ".join(f"('{a}', '{b}', '{c}', DATE '{d}')" for a, b, c, d in CHANGES)
+_VALUES = ", ".join(f"('{a}', rtrim('{b}', '/'), '{c}', DATE '{d}')" for a, b, c, d in CHANGES)
 SQL = rf"""
 WITH changes(list, entry, action, changed) AS (VALUES {_VALUES}),
 spans AS (

@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 
 from steadfold.llm import license_scan, line_dedup, token_files, url_filter
@@ -42,7 +43,20 @@ def test_short_lines_with_one_other_character(spark):
 
 def test_deep_entries(spark):
     host = ".".join("abcdefghij")
-    captures = spark.sql(f"SELECT * FROM VALUES (1L, 'http://example.com/a/b/c/d/e/f', timestamp '2024-05-01'), (2L, 'http://x.{host}/y', timestamp '2024-05-01'), (3L, 'http://example.com/a/b/c', timestamp '2024-05-01') AS t(page_id, url, fetched_at)")
-    changes = spark.sql(f"SELECT * FROM VALUES ('l', 'example.com/a/b/c/d/e', 'add', timestamp '2024-01-01'), ('m', '{host}', 'add', timestamp '2024-01-01') AS t(list, entry, action, at)")
+    captures = spark.sql(f"SELECT * FROM VALUES (1L, 'http://example.com/a/b/c/d/e/f', timestamp '2024-05-01'), (2L, 'http://x.{host}/y', timestamp '2024-05-01'), (3L, 'http://example.com/a/b/c', timestamp '2024-05-01'), (4L, 'http://e.org/fr', timestamp '2024-05-01'), (5L, 'http://e.org//fr', timestamp '2024-05-01'), (6L, 'http://e.org/fr//x', timestamp '2024-05-01'), (7L, 'http://e.org/fr2', timestamp '2024-05-01') AS t(page_id, url, fetched_at)")
+    changes = spark.sql(f"SELECT * FROM VALUES ('l', 'example.com/a/b/c/d/e', 'add', timestamp '2024-01-01'), ('m', '{host}.', 'add', timestamp '2024-01-01'), ('n', 'E.org/fr/', 'add', timestamp '2024-01-01') AS t(list, entry, action, at)")
     found = {r.page_id: (r.lists, r.entry) for r in url_filter.judge(captures, changes).collect()}
-    assert found == {1: ("l", "example.com/a/b/c/d/e"), 2: ("m", host), 3: ("", None)}
+    assert found == {1: ("l", "example.com/a/b/c/d/e"), 2: ("m", host), 3: ("", None), 4: ("n", "e.org/fr"), 5: ("", None), 6: ("n", "e.org/fr"), 7: ("", None)}
+
+
+def test_odd_urls_against_sql(spark, tmp_path):
+    """URLs that the sample hasn't, by the registered query and its SQL."""
+    hosts = ["a.b.c.d.e.f.g.h.example.org", "x.a.b.c.d.e.f.g.h.example.org", "CDN.example.com.", "example.org", "m.example.org:8080", "u@adult.example.org", "com", "ththre.example.com", ""]
+    paths = ["", "/", "/a/b/c/d", "/a/b/c/d/e", "/a/b/c/", "//a/b/c/d", "/es", "/es/", "/es//x?q#f", "/fr", "/fr2", "//fr", "/FR"]
+    urls = [f"{scheme}{h}{p}" for scheme in ("http://", "HTTPS://") for h in hosts for p in paths] + [None, "", "no url", "http://"]
+    spark.createDataFrame([(i, u, None) for i, u in enumerate(urls * 2)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    expected = con.sql(url_filter.SQL)
+    found = url_filter.op3_url_filter(spark, str(tmp_path)).select(*expected.columns).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected.fetchall())) and sum(r.n_entries for r in found) > 10
