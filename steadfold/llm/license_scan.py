@@ -1,25 +1,30 @@
-"""Licence scans by a positional index of words.
+"""Licence scans by a positional index of rare words.
 
-Licence templates are indexed by word and place; common words (PLAIN) aren't
-indexed.  A document's places of index words are found in one pass, and all of
-them look up the postings; each posting fixes where the template would start in
-the document, and the postings that agree on a start are intersected.  A
-template is found where its mandatory key phrases stand whole at that start and
-at least SHARE of its words, weighted by IDF over all documents, stand at their
-places.
+A licence template is found by its anchor: of the words of its mandatory key
+phrases the one that is in the fewest documents, at its first place.  As a
+found template has all of these words, looking up the anchor alone misses none.
+Each place of an anchor in a document fixes where the template would start
+there; its postings are then intersected with the document's words at their
+relative positions, the key phrases must stand whole, and at least SHARE of its
+words, weighted by IDF over all documents, must stand at their places.
 
 The base phrases are templates too: their only key phrase is all of them.
+
+Two narrow passes: one counts in how many documents each word of the templates
+is, the other finds and verifies within each row.  Nothing but these counts is
+shuffled, and the index is one constant, as long as TEMPLATES.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import LOWER, NOT_WORD, UPPER, materialize
+from steadfold.llm.common import LOWER, NOT_WORD, UPPER
 
-#: Of the SQL only: it looks up this many words of highest IDF, and so agrees with ``scan`` where a document has no more.
-RARE = 12
 SHARE = 0.5
 
 #: Label, base, text, mandatory key phrases.
@@ -38,71 +43,130 @@ TEMPLATES = (
     ("isc", False, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("distribute", "hereby granted")),
     ("cc", False, "licensed under a creative commons attribution license", ("creative commons attribution",)),
 )
-#: Words of the templates that aren't indexed.
-PLAIN = ("a", "and", "any", "are", "as", "at", "but", "by", "can", "for", "in", "is", "it", "may", "not", "of", "or", "that", "the", "this", "to", "under", "with", "you")
 
+#: Licences and notices at full length: label, text, mandatory key phrases.
+TEXTS = (
+    ("mit", """
+        Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""", ("hereby granted", "deal in the software without restriction", "substantial portions")),
+    ("bsd", """
+        Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""", ("binary forms", "must retain the above copyright notice")),
+    ("bsd", """
+        Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""", ("endorse or promote", "prior written permission")),
+    ("isc", """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""", ("with or without fee", "hereby granted")),
+    ("apache", """
+        Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""", ("apache license", "in compliance with the license")),
+    ("gpl", """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+        You should have received a copy of the GNU General Public License along with this program. If not, see""", ("gnu general public license", "free software foundation")),
+    ("lgpl", """
+        This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""", ("gnu lesser general public license", "free software foundation")),
+    ("agpl", """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""", ("gnu affero general public license", "free software foundation")),
+    ("mpl", """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""", ("mozilla public license", "source code form")),
+    ("zlib", """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        3. This notice may not be removed or altered from any source distribution.""", ("must not be misrepresented", "plainly marked as such")),
+    ("unlicense", """
+        This is free and unencumbered software released into the public domain.
+        Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""", ("unencumbered software", "public domain")),
+    ("bsl", """
+        Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:""", ("any person or organization", "accompanying documentation")),
+)
+
+
+def words_of(text: str) -> list[str]:
+    """A template's words, as ``words`` finds them."""
+    return "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in text.lower()).split()
+
+
+def _templates() -> list[tuple[str, bool, list[str], set[int]]]:
+    """label, base, words, and the places of mandatory words; a phrase counts where it first stands."""
+    found = []
+    for label, base, text, phrases in (*TEMPLATES, *((label, False, text, phrases) for label, text, phrases in TEXTS)):
+        of, key = words_of(text), set()
+        for phrase in map(str.split, phrases):
+            at = next(i for i in range(len(of)) if of[i : i + len(phrase)] == phrase)
+            key.update(range(at, at + len(phrase)))
+        found.append((label, base, of, key))
+    return found
+
+
+INDEX = _templates()
+VOCABULARY = sorted({w for _, _, of, _ in INDEX for w in of})
 
-def _postings() -> list[tuple[int, str, bool, str, int, bool]]:
-    """template, label, base, word, place, mandatory."""
-    rows = []
-    for t, (label, base, text, phrases) in enumerate(TEMPLATES):
-        words = text.split()
-        key = set()
-        for phrase in phrases:
-            part = phrase.split()
-            at = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
-            key.update(range(at, at + len(part)))
-        rows += [(t, label, base, w, i, i in key) for i, w in enumerate(words) if w not in PLAIN]
-    return rows
 
+def words(text: Column) -> Column:
+    """A text's words with A-Z in lower case, in order; null has none."""
+    parts = F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), f"[{NOT_WORD}]+")
+    return F.filter(parts, lambda x: x != "")
 
-POSTINGS = _postings()
-_VALUES = ", ".join(f"({t}, '{label}', {base}, '{w}', {i}, {key})" for t, label, base, w, i, key in POSTINGS)
-_WORDS = ", ".join(f"'{w}'" for w in sorted({p[3] for p in POSTINGS}))
+
+def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
+    """The number of documents, and of those that have each word of the templates; one row a word comes to the driver."""
+    listed = F.array_distinct(F.filter(words(F.col("text")), lambda x: x.isin(VOCABULARY)))
+    counts = docs.select(F.explode(F.concat(listed, F.array(F.lit("")))).alias("w")).groupBy("w").count()
+    found = {r.w: r["count"] for r in counts.collect()}
+    return found.pop("", 0), found
+
+
+def idf(total: int, df: int) -> float:
+    return math.log((total + 1) / (df + 1)) + 1
+
+
+KIND = "array<struct<template: int, label: string, base: boolean, anchor: string, at: int, whole: double, keys: int, postings: array<struct<w: string, place: int, idf: double, key: boolean>>>>"
+
+
+def index(total: int, df: dict[str, int]) -> Column:
+    """The templates with their anchors and postings, as one constant."""
+    entries = []
+    for t, (label, base, of, key) in enumerate(INDEX):
+        anchor, at = min(((of[i], i) for i in key), key=lambda x: (df.get(x[0], 0), x))
+        postings = [{"w": w, "place": i, "idf": idf(total, df.get(w, 0)), "key": i in key} for i, w in enumerate(of)]
+        entries.append({"template": t, "label": label, "base": base, "anchor": anchor, "at": at, "whole": sum(p["idf"] for p in postings), "keys": len(key), "postings": postings})
+    return F.from_json(F.lit(json.dumps(entries)), KIND)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``spans`` has the found templates: template, label, start (a word from 0),
-    share.  ``score`` is the highest share of any template at any start, and 0
-    without index words.  Null and empty texts have no words: zero counts, null
-    places, empty labels, no spans.  Repeated rows each get their row; a null
-    doc_id is kept; an empty table gives an empty result.
+    share.  ``score`` is the highest share of any template at any place of its
+    anchor, and 0 without an anchor.  Null and empty texts have no words: zero
+    counts, null places, empty labels, no spans.  Repeated rows each get their
+    row; a null doc_id is kept; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    kept = docs.select("doc_id", F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[\p{Punct}\p{Cntrl} ]+").alias("w"))
-    kept = kept.withColumn("lead", F.expr("int(w[0] = '')"))
-    places = F.expr(f"filter(transform(w, (x, i) -> if(x in ({_WORDS}), named_struct('pos', i - lead, 'w', x), null)), h -> h IS NOT NULL)")
-    rows = kept.select("doc_id", F.expr("size(w) - lead - int(size(w) > 1 AND w[size(w) - 1] = '')").cast("long").alias("n_words"), places.alias("hits"))
-    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "places")
-
-    # One row for each index word at most comes to the driver.
-    total = rows.count()
-    df = dict(rows.select(F.explode(F.expr("array_distinct(transform(hits, h -> h.w))")).alias("w")).groupBy("w").count().collect())
-    words = spark.sql(f"SELECT *, ln(({total} + 1) / (df + 1D)) + 1 AS idf FROM VALUES {', '.join(f"('{w}', {df.get(w, 0)})" for w in sorted({p[3] for p in POSTINGS}))} AS v(w, df)")
-    postings = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS p(template, label, base, w, place, key)").join(words, "w")
-    sums = postings.groupBy("template").agg(F.sum("idf").alias("whole"), F.sum(F.col("key").cast("int")).alias("keys"))
-    index = F.broadcast(postings.join(sums, "template"))  # as long as TEMPLATES, whatever the data
-
-    hits = rows.select("rid", F.explode("hits").alias("h")).select("rid", "h.*")
-    starts = hits.join(index, "w").groupBy("rid", "template", "label", "base", F.expr("pos - place").alias("start"), "whole", "keys").agg(
-        F.sum("idf").alias("got"), F.sum(F.col("key").cast("int")).alias("found")
-    )
-    starts = starts.withColumn("share", F.round(F.expr("got / whole"), 6)).withColumn("ok", F.expr(f"found = keys AND share >= {SHARE}"))
-    place = F.when(F.expr("ok AND base"), F.col("start"))
-    span = F.when(F.col("ok"), F.struct("template", "label", "start", "share"))
-    each = starts.groupBy("rid").agg(
-        F.sum(F.expr("int(ok AND base)")).alias("n_base"), F.min(place).alias("first_word"), F.max(place).alias("last_word"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.expr("ok AND base"), F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("ok"), F.col("label")))), ",").alias("labels"),
-        F.max("share").alias("score"), F.sort_array(F.collect_list(span)).alias("spans"),
-    )
-    out = rows.select("rid", "doc_id", "n_words").join(each, "rid", "left")
-    none = F.expr("cast(array() as array<struct<template: int, label: string, start: int, share: double>>)")
-    return out.select(
-        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("spans", none).alias("spans"),
+    total, df = frequencies(docs)
+    anchors = sorted({min((df.get(of[i], 0), of[i]) for i in key)[1] for _, _, of, key in INDEX})
+    rows = docs.select("doc_id", words(F.col("text")).alias("w"))
+    places = F.filter(F.transform("w", lambda x, i: F.when(x.isin(anchors), F.struct(x.alias("w"), i.alias("pos")))), lambda h: h.isNotNull())
+    rows = rows.select("doc_id", "w", places.alias("hits"), index(total, df).alias("templates"))
+    # A posting counts where the document has its word at its place; get() is null before the first word and after the last.
+    there = "filter(t.postings, p -> get(w, h.pos - t.at + p.place) <=> p.w)"
+    tried = f"""flatten(transform(hits, h -> transform(filter(templates, t -> t.anchor = h.w), t ->
+      transform(array({there}), here -> named_struct('template', t.template, 'label', t.label, 'base', t.base, 'start', h.pos - t.at,
+        'share', round(aggregate(here, 0D, (s, p) -> s + p.idf) / t.whole, 6), 'keys', t.keys = size(filter(here, p -> p.key))))[0])))"""
+    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.expr(tried).alias("tried"))
+    rows = rows.withColumn("found", F.expr(f"filter(tried, x -> x.keys AND x.share >= {SHARE})")).withColumn("places", F.expr("transform(filter(found, x -> x.base), x -> x.start)"))
+    labels = lambda of: F.expr(f"array_join(array_sort(array_distinct(transform({of}, x -> x.label))), ',')")
+    return rows.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
+        labels("filter(found, x -> x.base)").alias("base_labels"), labels("found").alias("labels"),
+        F.coalesce(F.expr("array_max(transform(tried, x -> x.share))"), F.lit(0.0)).alias("score"),
+        F.expr("array_sort(transform(found, x -> named_struct('template', x.template, 'label', x.label, 'start', x.start, 'share', x.share)))").alias("spans"),
     )
 
 
@@ -110,27 +174,27 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
 
 
+_VALUES = ", ".join(f"({t}, '{label}', {base}, '{w}', {i}, {i in key})" for t, (label, base, of, key) in enumerate(INDEX) for i, w in enumerate(of))
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^{NOT_WORD}]+') AS words FROM documents),
 postings(template, label, base, w, place, key) AS (VALUES {_VALUES}),
-hits AS (SELECT rid, i - 1 AS pos, words[i] AS w FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM d) WHERE words[i] IN ({_WORDS})),
+everywhere AS (SELECT rid, i - 1 AS pos, words[i] AS w FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+hits AS MATERIALIZED (SELECT rid, pos, w FROM everywhere WHERE w IN (SELECT w FROM postings)),
 df AS (SELECT w, count(DISTINCT rid) AS df FROM hits GROUP BY w),
-vocabulary AS (
-  SELECT w, row_number() OVER (ORDER BY coalesce(df, 0), w) AS rnk, ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1.0::DOUBLE)) + 1 AS idf
-  FROM (SELECT DISTINCT w FROM postings) LEFT JOIN df USING (w)),
-sums AS (SELECT template, sum(idf) AS whole, sum(key::INT) AS keys FROM postings JOIN vocabulary USING (w) GROUP BY template),
-rare AS (SELECT rid, w FROM (SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY rnk) AS n FROM (SELECT DISTINCT rid, w, rnk FROM hits JOIN vocabulary USING (w))) WHERE n <= {RARE}),
+vocabulary AS (SELECT w, coalesce(df, 0) AS df, ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1.0::DOUBLE)) + 1 AS idf FROM (SELECT DISTINCT w FROM postings) LEFT JOIN df USING (w)),
+weighed AS (SELECT * FROM postings JOIN vocabulary USING (w)),
+sums AS (SELECT template, label, base, sum(idf) AS whole, sum(key::INT) AS keys, arg_min(struct_pack(w, place), (df, w, place)) FILTER (key) AS anchor FROM weighed GROUP BY template, label, base),
+tried AS (SELECT rid, template, label, base, whole, keys, pos - anchor.place AS start FROM hits JOIN sums ON hits.w = anchor.w),
 starts AS (
-  SELECT hits.rid, template, label, base, pos - place AS start, round(sum(idf) / any_value(whole), 6) AS share,
-         sum(key::INT) = any_value(keys) AS complete, bool_or(base OR rare.w IS NOT NULL) AS looked_up
-  FROM hits JOIN postings USING (w) JOIN vocabulary USING (w) JOIN sums USING (template) LEFT JOIN rare ON rare.rid = hits.rid AND rare.w = hits.w
-  GROUP BY hits.rid, template, label, base, pos - place),
+  SELECT t.rid, t.template, any_value(t.label) AS label, any_value(t.base) AS base, t.start, round(sum(p.idf) / any_value(whole), 6) AS share, sum(p.key::INT) = any_value(keys) AS complete
+  FROM tried t JOIN weighed p ON p.template = t.template JOIN hits h ON h.rid = t.rid AND h.pos = t.start + p.place AND h.w = p.w
+  GROUP BY t.rid, t.template, t.start),
 e AS (
   SELECT rid, count(*) FILTER (complete AND share >= {SHARE} AND base) AS n_base,
          min(start) FILTER (complete AND share >= {SHARE} AND base) AS first_word, max(start) FILTER (complete AND share >= {SHARE} AND base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (complete AND share >= {SHARE} AND base) AS base_labels,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (complete AND share >= {SHARE}) AS labels, max(share) AS score
-  FROM starts WHERE looked_up GROUP BY rid)
+  FROM starts GROUP BY rid)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN e USING (rid)

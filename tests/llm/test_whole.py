@@ -14,6 +14,14 @@ def test_texts_with_several_licences(spark):
     found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [found[i].labels for i in (0, 200, 201)] == ["mit", "bsd,mit", "apache,gpl,mit"]
     assert all((3, 0, 1.0) in [(s.template, s.start, s.share) for s in found[i].spans] for i in (0, 200, 201))
+    every = "\n".join([t[2] for t in license_scan.TEMPLATES] + [t[1] for t in license_scan.TEXTS])
+    odd = ["mit \u212aicense", "MIT-License", every, every.upper(), "mit " * 1000 + "license", "of this software without specific prior written permission"]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")).collect()
+    one, dashed, whole, upper, many, part = sorted(rows, key=lambda r: r.doc_id)
+    assert (one.n_words, one.base_labels, dashed.base_labels) == (2, "", "mit")  # the Kelvin sign isn't a k
+    assert whole.labels == upper.labels == ",".join(sorted({t[0] for t in (*license_scan.TEMPLATES, *license_scan.TEXTS)}))
+    assert {s.template for s in whole.spans} >= set(range(len(license_scan.INDEX))) and whole.score == 1
+    assert (many.n_base, many.first_word, part.labels) == (1, 999, "")
 
 
 def test_special_tokens_have_their_ids():
