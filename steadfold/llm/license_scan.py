@@ -109,16 +109,25 @@ INDEX = _templates()
 VOCABULARY = sorted({w for _, _, of, _ in INDEX for w in of})
 
 
+#: Fixed value: the only character but A-Z whose lower case is an ASCII letter and nothing else.
+KELVIN = "\u212a"
+
+
 def words(text: Column) -> Column:
-    """A text's words with A-Z in lower case, in order; null has none."""
-    parts = F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), f"[{NOT_WORD}]+")
-    return F.filter(parts, lambda x: x != "")
+    """A text's words, in order, after an empty one where the text doesn't begin with a word; null has none.
+
+    They equal a template's words where they would if only A-Z had been put in
+    lower case: no other character becomes ASCII alone, but for one, which
+    another takes the place of.
+    """
+    plain = F.lower(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(KELVIN), F.lit("\u2126")))
+    return F.split(plain, f"[{NOT_WORD}]+")
 
 
 def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
     """The number of documents, and of those that have each word of the templates; one row a word comes to the driver."""
-    listed = F.array_distinct(F.filter(words(F.col("text")), lambda x: x.isin(VOCABULARY)))
-    counts = docs.select(F.explode(F.concat(listed, F.array(F.lit("")))).alias("w")).groupBy("w").count()
+    listed = F.array_intersect(words(F.col("text")), F.array(*map(F.lit, ["", *VOCABULARY])))
+    counts = docs.select(F.explode(F.array_union(listed, F.array(F.lit("")))).alias("w")).groupBy("w").count()
     found = {r.w: r["count"] for r in counts.collect()}
     return found.pop("", 0), found
 
@@ -151,15 +160,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     total, df = frequencies(docs)
     anchors = sorted({min((df.get(of[i], 0), of[i]) for i in key)[1] for _, _, of, key in INDEX})
-    rows = docs.select("doc_id", words(F.col("text")).alias("w"))
+    rows = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("lead", F.expr("int(w[0] = '')"))
     places = F.filter(F.transform("w", lambda x, i: F.when(x.isin(anchors), F.struct(x.alias("w"), i.alias("pos")))), lambda h: h.isNotNull())
-    rows = rows.select("doc_id", "w", places.alias("hits"), index(total, df).alias("templates"))
+    count = F.expr("size(w) - lead - int(size(w) > 1 AND w[size(w) - 1] = '')").cast("long")
+    rows = rows.select("doc_id", "w", "lead", count.alias("n_words"), places.alias("hits"), index(total, df).alias("templates"))
     # A posting counts where the document has its word at its place; get() is null before the first word and after the last.
     there = "filter(t.postings, p -> get(w, h.pos - t.at + p.place) <=> p.w)"
     tried = f"""flatten(transform(hits, h -> transform(filter(templates, t -> t.anchor = h.w), t ->
-      transform(array({there}), here -> named_struct('template', t.template, 'label', t.label, 'base', t.base, 'start', h.pos - t.at,
+      transform(array({there}), here -> named_struct('template', t.template, 'label', t.label, 'base', t.base, 'start', h.pos - t.at - lead,
         'share', round(aggregate(here, 0D, (s, p) -> s + p.idf) / t.whole, 6), 'keys', t.keys = size(filter(here, p -> p.key))))[0])))"""
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.expr(tried).alias("tried"))
+    rows = rows.select("doc_id", "n_words", F.expr(tried).alias("tried"))
     rows = rows.withColumn("found", F.expr(f"filter(tried, x -> x.keys AND x.share >= {SHARE})")).withColumn("places", F.expr("transform(filter(found, x -> x.base), x -> x.start)"))
     labels = lambda of: F.expr(f"array_join(array_sort(array_distinct(transform({of}, x -> x.label))), ',')")
     return rows.select(
