@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import in_slices
+from steadfold.llm.common import in_slices, materialize
 
 WINDOW = 8
 #: The symbols that are counted.
@@ -54,16 +55,42 @@ def mask(rules: tuple[str, ...]) -> int:
 
 
 def repeated_words(words: list[bytes]) -> int:
-    """How many words stand in a window of WINDOW words that occurs twice or more."""
-    windows = list(zip(*(words[k:] for k in range(WINDOW)), strict=False))
-    if len(set(windows)) == len(windows):
+    """How many words stand in a window of WINDOW words that occurs twice or more.
+
+    Words are numbered, and windows are told apart by 64-bit hashes of their
+    numbers; where hashes are equal the numbers themselves decide.  It takes
+    some 50 bytes a word, however long the text is.
+    """
+    n = len(words) - WINDOW + 1
+    if n < 2:
+        return 0
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint32, len(words))
+    hashes = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        hashes = (hashes ^ hashes >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    same = ranked[1:] == ranked[:-1]
+    if not same.any():
         return 0
-    counts, covered, end = Counter(windows), 0, 0
-    for i, w in enumerate(windows):
-        if counts[w] > 1:
-            covered += i + WINDOW - max(i, end)
-            end = i + WINDOW
-    return covered
+    inner = np.r_[False, same] | np.r_[same, False]
+    at = order[inner]  # windows whose hash another one has, side by side with it
+    group = np.cumsum(np.r_[True, ranked[inner][1:] != ranked[inner][:-1]])
+    agree = np.ones(len(at) - 1, bool)
+    for k in range(WINDOW):
+        agree &= ids[at[1:] + k] == ids[at[:-1] + k]
+    twice = np.zeros(n, bool)
+    if (agree | (group[1:] != group[:-1])).all():
+        twice[at] = True
+    else:  # some equal hashes are of different windows
+        rows = np.stack([ids[at + k] for k in range(WINDOW)], axis=1)
+        _, which, count = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+        twice[at[count[which.ravel()] > 1]] = True
+    covered = np.zeros(len(words) + 1, np.int32)
+    np.add.at(covered, np.flatnonzero(twice), 1)
+    np.add.at(covered, np.flatnonzero(twice) + WINDOW, -1)
+    return int((np.cumsum(covered) > 0).sum())
 
 
 def measure(text: bytes | None) -> tuple[int, ...]:
@@ -110,7 +137,8 @@ def ablation(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """For each rule of a policy: rule, failed, only (documents that go by this rule alone), kept_without.
 
     The ledger is reduced to one count for each distinct mask before the
-    shuffle, at most 2 to the number of rules; the rest is done on those.
+    shuffle, at most 2 to the number of rules; the rest is done on those.  An
+    empty ledger has no masks and gives no rows.
     """
     policy = POLICIES[version]
     patterns = rows.groupBy(F.col("failures").bitwiseAND(F.lit(mask(policy))).alias("bits")).agg(F.count("*").alias("n"))
@@ -123,13 +151,22 @@ def ablation(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     )
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder and read again: policies and ablations then never measure a text."""
+    return materialize(ledger(docs), "ledger")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails(BASE).alias("base_failed"), (F.col("kept") & ~fails(BASE)).alias("kept"))
+    rows = apply_policy(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails(BASE).alias("base_failed"), (F.col("kept") & ~fails(BASE)).alias("kept"), "failures")
 
 
-_CONDITIONS = " OR ".join(f"({RULES[r]})" for r in POLICIES[CURRENT])
-SQL = rf"""
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does within it."""
+    return ablation(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+_MEASURED = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
@@ -154,7 +191,16 @@ m AS (
          length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS n_letters,
          length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS n_digits
   FROM d LEFT JOIN line_counts USING (rid) LEFT JOIN tops USING (rid) LEFT JOIN covered USING (rid))
+"""
+_BITS = " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(RULES.values()))
+_MASK = mask(POLICIES[CURRENT])
+SQL = rf"""{_MEASURED}, l AS (SELECT *, ({_BITS})::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       ({RULES['few_words']} OR {RULES['repeats']}) AS base_failed, NOT ({_CONDITIONS}) AS kept
-FROM m
+       failures & {mask(BASE)} <> 0 AS base_failed, failures & {_MASK | mask(BASE)} = 0 AS kept, failures
+FROM l
+"""
+_RULES = ", ".join(f"('{r}', {mask((r,))})" for r in POLICIES[CURRENT])
+ABLATION_SQL = rf"""{_MEASURED}, l AS (SELECT ({_BITS}) & {_MASK} AS bits FROM m), rules(rule, bit) AS (VALUES {_RULES})
+SELECT rule, count(*) FILTER (bits & bit <> 0) AS failed, count(*) FILTER (bits = bit) AS only, count(*) FILTER (bits = 0 OR bits = bit) AS kept_without
+FROM rules, l GROUP BY rule
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,12 +21,20 @@ OPERATORS = {
     "decontaminate": "op9_decontaminate",
     "line_dedup": "op10_line_dedup",
 }
+#: Further queries of an operator: module, query, the name of its SQL.
+MORE = (("quality_rules", "quality_ablation", "ABLATION_SQL"),)
+
+
+def _module(name: str) -> ModuleType:
+    return importlib.import_module(f"{__package__}.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query: getattr(importlib.import_module(f"{__package__}.{module}"), query) for module, query in OPERATORS.items()}
+    named = [(module, query) for module, query in OPERATORS.items()] + [(module, query) for module, query, _ in MORE]
+    return {query: getattr(_module(module), query) for module, query in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    modules = {query: importlib.import_module(f"{__package__}.{module}") for module, query in OPERATORS.items()}
-    return {query: m.SQL for query, m in modules.items() if getattr(m, "SQL", None)}
+    found = {query: getattr(_module(module), "SQL", None) for module, query in OPERATORS.items()}
+    found |= {query: getattr(_module(module), sql) for module, query, sql in MORE}
+    return {query: sql for query, sql in found.items() if sql}
