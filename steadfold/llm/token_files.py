@@ -1,15 +1,17 @@
 """Token ids in flat binary files with 64-bit offsets, memory-mapped for reading.
 
-Documents are range-partitioned by doc_id, and each partition writes one shard:
+Documents are range-partitioned by doc_id and a key of the text, so rows that
+share one doc_id can be split, and each partition writes one shard:
 
     shard-P.bin  the ids of its documents, little-endian unsigned 16-bit
     shard-P.idx  64-bit unsigned offsets within the shard, in ids: one more than it has documents
     shard-P.doc  its doc_ids, signed 64-bit; null ids come first and aren't written
 
 The manifest has a row for each shard; the shards' bases are prefix sums of its
-counts, so no pass over the ids is needed to place them.  A shard is written
-under a name of its own and then renamed, so that a task that runs again, or
-twice at once, leaves a whole file.
+counts, so no pass over the ids is needed to place them.  Ids go to the file as
+they are made; a task holds one slice of texts, and 16 bytes for each document
+of its shard.  A shard is written under a name of its own and then renamed, so
+that a task that runs again, or twice at once, leaves a whole file.
 """
 
 from __future__ import annotations
@@ -31,9 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import in_slices, materialize, new_path
+from steadfold.llm.common import in_slices, materialize, new_path, text_key
 
 END_ID = 2
+KINDS = ("bin", "idx", "doc")
+#: Bytes of input that a shard has about, where that takes more shards than there are shuffle partitions.
+SHARD, MOST_SHARDS = 1 << 30, 200_000
 #: Pieces whose ids a Python worker remembers at most; then it starts anew.
 REMEMBERED = 900_000
 MARKS = string.punctuation.replace("'", "")
@@ -146,47 +151,60 @@ def _local(uri: str) -> str | None:
     return re.sub("^file:/*", "/", uri) if uri.startswith(("file:", "/")) else None
 
 
-def _create(uri: str, parts: dict[str, list[bytes]]) -> None:
-    """Write files under names of this attempt, then rename them."""
-    path, mark = _local(uri), uuid.uuid4().hex
-    if path is None:
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-        opened, rename = fs.open_output_stream, fs.move
-    else:
-        opened, rename = functools.partial(open, mode="wb"), os.replace
-    for kind, chunks in parts.items():
-        with opened(f"{path}.{mark}") as out:
-            for chunk in chunks:
-                out.write(chunk)
-        rename(f"{path}.{mark}", f"{path}.{kind}")
+class _Files:
+    """The three files of a shard, under names of this attempt until all of them are whole."""
+
+    def __init__(self, uri: str) -> None:
+        path, self.mark = _local(uri), uuid.uuid4().hex
+        if path is None:
+            fs, self.path = pyarrow.fs.FileSystem.from_uri(uri)
+            self.open, self.rename = fs.open_output_stream, fs.move
+        else:
+            self.path, self.open, self.rename = path, functools.partial(open, mode="wb"), os.replace
+        self.ids, self.offsets, self.docs = (self.open(f"{self.path}.{kind}.{self.mark}") for kind in KINDS)
+
+    def close(self) -> None:
+        for file in (self.ids, self.offsets, self.docs):
+            file.close()
+        for kind in KINDS:
+            self.rename(f"{self.path}.{kind}.{self.mark}", f"{self.path}.{kind}")
 
 
 def _writer(folder: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids, lengths, docs, nulls = TaskContext.get().partitionId(), [], [], [], 0
+        shard, files, n_docs, n_nulls, at = TaskContext.get().partitionId(), None, 0, 0, 0
         end = np.array([END_ID], "<u2").tobytes()
         for batch in in_slices(batches):
+            if not batch.num_rows:
+                continue
+            if files is None:
+                files = _Files(f"{folder}/shard-{shard:06d}")
+                files.offsets.write(np.zeros(1, "<u8").tobytes())
             found = encode([t or "" for t in batch.column(1).to_pylist()], tokenizer)
-            ids.append(end.join([*found, b""]))
-            lengths += [len(x) // 2 + 1 for x in found]
-            here = batch.column(0).to_pylist()
-            nulls += here.count(None)
-            docs += [d for d in here if d is not None]
-        if lengths:
-            offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.uint64)]).astype("<u8")
-            _create(f"{folder}/shard-{shard:06d}", {"bin": ids, "idx": [offsets.tobytes()], "doc": [np.array(docs, "<i8").tobytes()]})
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [len(lengths)], "n_null": [nulls], "n_tokens": [sum(lengths)]})
+            files.ids.write(end.join([*found, b""]))
+            ends = at + np.cumsum([len(x) // 2 + 1 for x in found], dtype=np.uint64)
+            files.offsets.write(ends.astype("<u8").tobytes())
+            at = ends[-1]
+            here = batch.column(0).drop_null()
+            files.docs.write(here.to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            n_docs += batch.num_rows
+            n_nulls += batch.num_rows - len(here)
+        if files is not None:
+            files.close()
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": [n_docs], "n_null": [n_nulls], "n_tokens": [int(at)]})
 
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, shards: int | None = None) -> tuple[str, DataFrame]:
     """Write the token files of ``docs`` (doc_id, text) into a shared folder: the folder, and the manifest.
 
     The manifest has shard, n_docs, n_null, n_tokens, and the prefix sums
     first_doc and base.  A null text counts as empty; every document ends in
     END_ID.  Documents are in ascending doc_id order, null ids first, rows of
-    one doc_id side by side in any order; an empty table gives no shards.
+    one doc_id in the order of a key of their texts; an empty table gives no
+    shards.  ``shards`` is how many there are at most; without it one for each
+    SHARD bytes that Spark expects ``docs`` to have, or each shuffle partition.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
@@ -196,7 +214,11 @@ def write_tokens(docs: DataFrame, folder: str | None = None, tokenizer: str | No
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = (F.col("doc_id").asc_nulls_first(), text_key(F.col("text")))
+    expected = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // SHARD
+    shards = shards or (min(expected, MOST_SHARDS) if expected > int(spark.conf.get("spark.sql.shuffle.partitions")) else None)
+    ranges = rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)
+    ordered = ranges.sortWithinPartitions(*order)
     shards = materialize(ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer()), "shard int, n_docs long, n_null long, n_tokens long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = {"first_doc": F.coalesce(F.sum("n_docs").over(before), F.lit(0)), "base": F.coalesce(F.sum("n_tokens").over(before), F.lit(0))}

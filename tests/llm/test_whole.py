@@ -5,7 +5,7 @@ import random
 import duckdb
 import numpy as np
 
-from steadfold.llm import license_scan, line_dedup, token_files, url_filter
+from steadfold.llm import license_scan, line_dedup, quality_rules, token_files, url_filter
 
 
 def test_texts_with_several_licences(spark):
@@ -68,3 +68,28 @@ def test_odd_urls_against_sql(spark, tmp_path):
     expected = con.sql(url_filter.SQL)
     found = url_filter.op3_url_filter(spark, str(tmp_path)).select(*expected.columns).collect()
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected.fetchall())) and sum(r.n_entries for r in found) > 10
+
+
+def test_rows_of_one_id_are_many_shards(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("7L AS doc_id", "concat('text number ', id) AS text").unionByName(spark.range(3).selectExpr("id AS doc_id", "cast(null AS string) AS text"))
+    folder, manifest = token_files.write_tokens(docs, f"file://{tmp_path}/tokens", shards=6)
+    sizes = [r.n_docs for r in manifest.collect()]
+    assert len(sizes) > 3 and max(sizes) < 10_000 and sum(sizes) == 20_003
+    found = token_files.read_digests(folder, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in found] == [0, 1, 2] + [7] * 20_000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:], strict=False))
+
+
+def test_repeated_words_against_tuples():
+    def plain(words):
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        return len({i for k, w in enumerate(windows) if windows.count(w) > 1 for i in range(k, k + 8)})
+
+    random.seed(3)
+    for size in (0, 1, 7, 8, 9, 16, 40, 120):
+        for kinds in (1, 2, 3, 50):
+            for _ in range(8):
+                words = [b"w%d" % random.randrange(kinds) for _ in range(size)]
+                words += words[: random.randrange(1 + len(words))]
+                assert quality_rules.repeated_words(words) == plain(words)
+    assert quality_rules.repeated_words([b"w%d" % (k % 500_000) for k in range(1_000_000)]) == 1_000_000
