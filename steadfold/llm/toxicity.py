@@ -35,8 +35,8 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch
 FEATURES = ("base", "mined", "best", "second", "near_base", "near_mined", "capitals", "exclaims", "questions", "punctuation", "leet", "spaced", "masked", "length", "distinct", "hidden")
 
 _WORD = re.compile(r"[^\W_]+")
-#: Starts at the beginnings of words only, and never goes back, so long words take no longer than others.
-_LEET_WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]++[0-9@$!*]++[A-Za-z]++")
+#: A run of letters and signs with a sign in front of a letter.  It starts at the beginning of a run only and never goes back, so long runs take no longer than others.
+_LEET_WORD = re.compile(r"(?<![A-Za-z0-9@$!*])[A-Za-z]*+[0-9@$!*]++[A-Za-z][A-Za-z0-9@$!*]*+")
 _SPACED = re.compile(r"\b(?:[A-Za-z][ .\-*]){3,}[A-Za-z]\b")
 #: Characters that stand for letters.
 _LEET = str.maketrans("013457@$!*", "oieastasi*")
@@ -47,6 +47,7 @@ class Lexicon(dict):
     """A word's weight: 2 for the fixed lexicon, up to 1 for the mined one, else 0.  Remembers a bounded number of words."""
 
     entries: dict[str, float] = field(default_factory=dict)
+    words: dict[int, list[str]] | None = None
 
     def __missing__(self, word: str) -> float:
         best = 2.0 if word in LEXICON else max((self.entries.get(k, 0.0) for k in (word, *(word[:n] + "*" for n in PREFIXES if len(word) >= n))), default=0.0)
@@ -56,6 +57,26 @@ class Lexicon(dict):
         return best
 
 
+    def masked(self, run: str) -> bool:
+        """Whether a run of letters and stars, two letters of them at least, fits a word of the lexicon, a star for a letter."""
+        if self.words is None:
+            self.words = {}
+            for word in (*LEXICON, *(k for k in self.entries if "*" not in k)):
+                self.words.setdefault(len(word), []).append(word)
+        return sum(c != "*" for c in run) > 1 and any(all(a in ("*", b) for a, b in zip(run, word, strict=True)) for word in self.words.get(len(run), ()))
+
+    def unmasked(self, run: str) -> bool:
+        """Whether a run of letters and signs stands for a word of the lexicon, with or without the marks at its end."""
+        for plain in {run, run.rstrip("!*0123456789"), run.rstrip("!")}:
+            word = plain.lower().translate(_LEET)
+            if "*" in word:
+                if self.masked(word):
+                    return True
+            elif self[word] > 0:
+                return True
+        return False
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """The features, in the order of FEATURES, of a whole text; of a null or empty one they are all zero."""
     text = text or ""
@@ -73,8 +94,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     upper, letters = count(bytes(range(65, 91))), count(bytes(range(65, 91)) + bytes(range(97, 123)))
     leet = _LEET_WORD.findall(text)
     spaced = _SPACED.findall(text)
-    plain = [w.lower().translate(_LEET) for w in leet] + [re.sub(r"[^a-z]", "", m.group().lower()) for m in _SPACED.finditer(text)] if leet or spaced else []
-    hidden = sum(lexicon[w] > 0 for w in plain)
+    hidden = sum(map(lexicon.unmasked, leet)) + sum(lexicon[re.sub(r"[^a-z]", "", w.lower())] > 0 for w in spaced)
     distinct = len({words[i] for i in hits})
     return [100 * base / n, 100 * (len(hits) - base) / n, max((weights[i] for i in hits), default=0.0), 100 * sum(w in SECOND for w in words) / n, 100 * near[0] / n, 100 * near[1] / n, upper / max(1, letters), 100 * text.count("!") / n, 100 * text.count("?") / n, 100 * count(b".,;:-\"'()") / n, 100 * len(leet) / n, 100 * len(spaced) / n, 100 * text.count("*") / n, float(np.log1p(len(words))), float(distinct), float(hidden)]
 
@@ -168,18 +188,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic and draw of labelled rows that aren't held out, ROWS of them on average, by a hash of the doc_id.
+    """text, toxic and draw of labelled ids that aren't held out, at most ROWS of them, those of the lowest hashes.
 
-    The chosen labels are counted, and go to the texts only if they are as few
-    as they should be; else texts and labels meet in a shuffle.
+    A label is of an id, so of the rows that share it the one with the smallest
+    key of its text is learned from, and the sample has one row an id however
+    often an id repeats.  The chosen labels are as few as ROWS, so they go to
+    the texts, which don't move.
     """
     marked = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = marked.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20))
-    chosen = materialize(marked.withColumn("draw", draw).where(F.col("draw") < int(min(1.0, ROWS / max(n, 1)) * (1 << 20))), "labels")
-    chosen = F.broadcast(chosen) if chosen.count() <= 2 * ROWS else chosen
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
-    return materialize(rows.select("text", F.col("toxic").cast("int").alias("toxic"), "draw"), "sample")
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 40)).alias("draw")
+    chosen = materialize(marked.select("doc_id", F.col("toxic").cast("int").alias("toxic"), draw).orderBy("draw", "doc_id").limit(ROWS), "labels")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "toxic", "draw").agg(F.min_by("text", F.struct(F.isnull("text"), F.xxhash64("text"))).alias("text"))
+    return materialize(one.select("text", "toxic", "draw"), "sample")
 
 
 def mine(rows: DataFrame) -> dict[str, float]:
