@@ -28,8 +28,9 @@ FILTERS = 16
 EMBEDDING = 8
 STEP = WINDOW - max(WIDTHS) + 1
 CHUNK = 128
-#: Bounds of the sample that the network is fitted on: languages, documents of each, windows of each document.
-LANGUAGES, DOCUMENTS, WINDOWS = 200, 400, 6
+#: Bounds of the sample that the network is fitted on: documents in all, of each language, and windows of each document.
+#: Every language is learned; the more there are, the fewer documents each has, one at least.
+SAMPLE, DOCUMENTS, WINDOWS = 40_000, 400, 6
 #: A filter keeps a document whose language has this probability at least.
 LEAST_SCORE = 0.4
 
@@ -43,6 +44,9 @@ class Network:
     dense: np.ndarray
     shift: np.ndarray
 
+    def params(self) -> list[np.ndarray]:
+        return [self.embedding, self.filters, self.bias, self.dense, self.shift]
+
     def pooled(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Filter maxima, their places, and the embedded patches, of windows as rows of bytes."""
         embedded = self.embedding[windows]
@@ -66,6 +70,30 @@ def _padded(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(p.ljust(WINDOW, b"\0") for p in parts), np.uint8).reshape(-1, WINDOW)
 
 
+def open_weights() -> np.ndarray:
+    """A narrow filter is a wide one whose further weights stay zero."""
+    return np.repeat(np.arange(max(WIDTHS))[:, None] < np.repeat(WIDTHS, FILTERS)[None, :], EMBEDDING, axis=0)
+
+
+def gradients(net: Network, windows: np.ndarray, truth: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the weighted mean cross entropy, by all parameters in their order."""
+    n, width = len(windows), max(WIDTHS)
+    maxima, answers, patches = net.pooled(windows)
+    top = np.maximum(maxima, 0)
+    wrong = _softmax(top @ net.dense + net.shift)
+    wrong[np.arange(n), truth] -= 1
+    wrong *= weight[:, None] / n
+    back = (wrong @ net.dense.T) * (maxima > 0)
+    places = answers.argmax(axis=1)
+    used = patches[np.arange(n)[:, None], places]  # window, filter, patch
+    d_filters = np.einsum("bf,bfk->kf", back, used) * open_weights()
+    d_patch = (back[:, :, None] * net.filters.T[None]).reshape(n, -1, width, EMBEDDING)
+    at_bytes = windows[np.arange(n)[:, None, None], places[:, :, None] + np.arange(width)]
+    d_embedding = np.zeros_like(net.embedding)
+    np.add.at(d_embedding, at_bytes, d_patch)
+    return [d_embedding, d_filters, back.sum(0), top.T @ wrong, wrong.sum(0)]
+
+
 def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network | None:
     """Fit the network to windows by Adam; the same windows in the same order give the same network."""
     if not parts:
@@ -75,10 +103,8 @@ def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int =
     every, width, n_filters = _padded(parts), max(WIDTHS), FILTERS * len(WIDTHS)
     normal = lambda *shape, by: random.normal(0, by, shape).astype(np.float32)
     net = Network(names, normal(256, EMBEDDING, by=0.5), normal(width * EMBEDDING, n_filters, by=0.2), np.zeros(n_filters, np.float32), normal(n_filters, len(names), by=0.2), np.zeros(len(names), np.float32))
-    # A narrow filter is a wide one whose further weights stay zero.
-    open_ = np.repeat(np.arange(width)[:, None] < np.repeat(WIDTHS, FILTERS)[None, :], EMBEDDING, axis=0)
-    net.filters *= open_
-    params = [net.embedding, net.filters, net.bias, net.dense, net.shift]
+    net.filters *= open_weights()
+    params = net.params()
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     weight = (len(truth) / len(names) / np.bincount(truth, minlength=len(names)))[truth].astype(np.float32)
     for epoch in range(epochs):
@@ -88,22 +114,9 @@ def train(parts: list[bytes], labels: list[str], epochs: int = 10, batch: int =
             windows = every[rows].copy()
             for i in np.flatnonzero(random.random(len(rows)) < 0.3):  # short texts
                 windows[i, random.integers(8, WINDOW) :] = 0
-            maxima, answers, patches = net.pooled(windows)
-            top = np.maximum(maxima, 0)
-            wrong = _softmax(top @ net.dense + net.shift)
-            wrong[np.arange(len(rows)), truth[rows]] -= 1
-            wrong *= weight[rows, None] / len(rows)
-            back = (wrong @ net.dense.T) * (maxima > 0)
-            places = answers.argmax(axis=1)
-            used = patches[np.arange(len(rows))[:, None], places]  # window, filter, patch
-            d_filters = np.einsum("bf,bfk->kf", back, used) * open_
-            d_patch = (back[:, :, None] * net.filters.T[None]).reshape(len(rows), n_filters, width, EMBEDDING)
-            at_bytes = windows[np.arange(len(rows))[:, None, None], places[:, :, None] + np.arange(width)]
-            d_embedding = np.zeros_like(net.embedding)
-            np.add.at(d_embedding, at_bytes, d_patch)
             t += 1
             step = rate * (1 - epoch / epochs)
-            for p, g, m, v in zip(params, (d_embedding, d_filters, back.sum(0), top.T @ wrong, wrong.sum(0)), first, second, strict=True):
+            for p, g, m, v in zip(params, gradients(net, windows, truth[rows], weight[rows]), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -118,26 +131,29 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Network | None:
     """The network of ``docs`` (doc_id, text, lang), or None where there is nothing to learn from.
 
-    Learns from rows with a text and a language that aren't held out, at most
-    DOCUMENTS of each of the LANGUAGES most frequent languages, chosen by a
-    hash of the doc_id, and from WINDOWS windows of each at places drawn by a
-    hash.  Windows are cut on the executors, so long texts don't come here.
+    Learns from rows with a text and a language that aren't held out, of every
+    language at most DOCUMENTS, and so many that all are about SAMPLE, chosen
+    by a hash of the doc_id and the text, and from WINDOWS windows of each at
+    places drawn by a hash.  Windows are cut on the executors, so long texts
+    don't come here; one count for each language does.
     """
     known = docs.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, 1.5 * DOCUMENTS / n))))
-    draw = F.xxhash64("doc_id", F.lit("sample"))
+    most = max(1, min(DOCUMENTS, SAMPLE // len(counts)))
+    # Languages of few rows take all of them; of the others about half as many again as are needed, twelve at least.
+    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, max(1.5 * most, 12) / n))))
+    draw = F.xxhash64("doc_id", F.lit("sample"), "text")
     body = F.col("text").cast("binary")
     places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(body, (F.pmod(F.xxhash64("doc_id", k), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1).cast("long")) + 1).cast("int"), F.lit(WINDOW)))
     chosen = known.where(F.pmod(draw, F.lit(1 << 20)) < try_share(share) * (1 << 20)).select("lang", draw.alias("draw"), F.when(F.octet_length("text") <= WINDOW, F.array(body)).otherwise(places).alias("parts"))
-    rows = sorted((r.lang, r.draw, [bytes(p) for p in r.parts]) for r in chosen.orderBy("draw").limit(2 * DOCUMENTS * len(counts)).collect())
+    rows = sorted((r.lang, r.draw, [bytes(p) for p in r.parts]) for r in chosen.orderBy("draw").limit(max(2 * most, 24) * len(counts)).collect())
     taken: dict[str, int] = {}
     parts, labels = [], []
     for lang, _, found in rows:
         taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= DOCUMENTS:
+        if taken[lang] <= most:
             parts += found
             labels += [lang] * len(found)
     return train(parts, labels)

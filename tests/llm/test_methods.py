@@ -184,16 +184,18 @@ def test_ledger_ablation(spark):
 @data
 def test_language_held_out_accuracy(docs):
     found = language_id.predictions(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
-    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.9
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.97
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
 def test_toxicity_held_out_ranking(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = toxicity.scores(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
     good = [(a.score > b.score) + 0.5 * (a.score == b.score) for a in rows if a.toxic for b in rows if not b.toxic]
-    assert np.mean(good) > 0.75
+    assert np.mean(good) > 0.98
+    toxic = [r for r in rows if r.toxic]
+    assert np.mean([r.predicted for r in toxic]) > 0.8 and np.mean([r.toxic for r in rows if r.predicted]) > 0.85
 
 
 def test_isotonic_rises():

@@ -5,7 +5,7 @@ import random
 import duckdb
 import numpy as np
 
-from steadfold.llm import license_scan, line_dedup, quality_rules, token_files, url_filter
+from steadfold.llm import language_id, license_scan, line_dedup, quality_rules, token_files, toxicity, url_filter
 
 
 def test_texts_with_several_licences(spark):
@@ -93,3 +93,99 @@ def test_repeated_words_against_tuples():
                 words += words[: random.randrange(1 + len(words))]
                 assert quality_rules.repeated_words(words) == plain(words)
     assert quality_rules.repeated_words([b"w%d" % (k % 500_000) for k in range(1_000_000)]) == 1_000_000
+
+
+def test_hidden_words():
+    lexicon = toxicity.Lexicon(entries={"vilify": 0.9, "nast*": 0.8})
+    at = toxicity.FEATURES.index("hidden")
+    hidden = lambda text: toxicity.features(text, lexicon)[at]
+    assert [hidden(t) for t in ("m0r0n", "a55h0le", "b@st@rd", "1diot", "@sshole!", "$tup1d", "s**t", "f*ol", "v!l!fy", "i d i o t")] == [1] * 10
+    assert [hidden(t) for t in ("", "covid19", "hello!", "2nd place", "**bold**", "a*b", "5 * 6", "x" * 100_000 + "0" * 100_000, "f**t")] == [0] * 9
+
+
+def test_labels_of_repeated_ids_bring_one_row(spark):
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, toxic int")
+    held = {r.doc_id for r in labels.where(toxicity.held_out(labels["doc_id"])).collect()}
+    assert toxicity.sample(docs, labels).count() == 3 - len(held)
+
+
+def test_trees_against_a_plain_search():
+    """The first tree, level by level, against a loop over all rows and cuts."""
+    random_ = np.random.default_rng(5)
+    x = random_.normal(0, 1, (300, 3))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > -0.2)).astype(float)
+    trees = toxicity.boost(x, y)
+    bins, p = trees.binned(x), 1 / (1 + np.exp(-trees.start))
+    grad, hess = y - p, np.full(len(y), p * (1 - p))
+    feature, cut, leaves = trees.splits[0]
+    node = np.zeros(len(y), int)
+    for _ in range(toxicity.DEPTH):
+        for k in np.unique(node):
+            rows, best = np.flatnonzero(node == k), (1e-6, None)
+            whole = grad[rows].sum() ** 2 / (hess[rows].sum() + 1)
+            for j in range(3):
+                for c in range(toxicity.BINS):
+                    left, right = rows[bins[rows, j] <= c], rows[bins[rows, j] > c]
+                    if hess[left].sum() > 0.5 and hess[right].sum() > 0.5:
+                        gain = grad[left].sum() ** 2 / (hess[left].sum() + 1) + grad[right].sum() ** 2 / (hess[right].sum() + 1) - whole
+                        if gain > best[0] + 1e-9:
+                            best = (gain, (j, c))
+            if best[1]:
+                assert (feature[k], cut[k]) == best[1]
+        node = 2 * node + 1 + (bins[np.arange(len(y)), feature[node]] > cut[node])
+    for k in np.unique(node):
+        rows = node == k
+        assert leaves[k - 7] == np.float64(toxicity.RATE * grad[rows].sum() / (hess[rows].sum() + 1)) or abs(leaves[k - 7] - toxicity.RATE * grad[rows].sum() / (hess[rows].sum() + 1)) < 1e-9
+    assert ((trees.margins(x) > 0) == (y > 0.5)).mean() > 0.95
+
+
+def test_isotonic_is_the_best_rising_line():
+    """Against the min-max formula: the fit at i is the largest of least means over intervals that hold i."""
+    random_ = np.random.default_rng(6)
+    score, truth = np.sort(random_.random(40)), (random_.random(40) < 0.5).astype(float)
+    at, rate = toxicity.isotonic(score, truth)
+    plain = [max(min(truth[a : b + 1].mean() for b in range(i, 40)) for a in range(i + 1)) for i in range(40)]
+    blocks = sorted({round(v, 9) for v in plain})
+    assert sorted({round(v, 9) for v in rate}) == blocks and (np.diff(rate) > 0).all() and (np.diff(at) > 0).all()
+
+
+def test_network_against_loops():
+    """Probabilities by loops over filters and places; gradients by differences."""
+    random_ = np.random.default_rng(1)
+    parts = [bytes(random_.integers(97, 123, 60).astype(np.uint8)) for _ in range(12)]
+    net = language_id.train(parts, ["a", "b", "c"] * 4, epochs=1)
+    windows = language_id._padded(parts)
+    for row, found in zip(windows, net.probabilities(windows), strict=True):
+        top = []
+        for f in range(net.filters.shape[1]):
+            w = net.filters[:, f].reshape(-1, language_id.EMBEDDING)
+            top.append(max(0.0, net.bias[f] + max(sum(float(net.embedding[row[i + k]] @ w[k]) for k in range(len(w))) for i in range(language_id.WINDOW - len(w) + 1))))
+        z = np.array(top) @ net.dense + net.shift
+        assert np.allclose(found, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+    for f, width in enumerate(np.repeat(language_id.WIDTHS, language_id.FILTERS)):
+        assert not net.filters[width * language_id.EMBEDDING :, f].any()
+    truth, weight = np.array([0, 1, 2] * 4), np.ones(12, np.float32)
+    wide = language_id.Network(net.labels, *(p.astype(np.float64) for p in (net.embedding, net.filters, net.bias, net.dense, net.shift)))
+    loss = lambda: float(-np.log(wide.probabilities(windows)[np.arange(12), truth]).mean())
+    grads = language_id.gradients(wide, windows, truth, weight)
+    for param, grad in zip(wide.params(), grads, strict=True):
+        for at in random_.permutation(np.flatnonzero(np.abs(grad).ravel() > 1e-6))[:6]:
+            before = param.flat[at]
+            param.flat[at] = before + 1e-5
+            above = loss()
+            param.flat[at] = before - 1e-5
+            below = loss()
+            param.flat[at] = before
+            assert abs((above - below) / 2e-5 - grad.flat[at]) < 1e-3 * max(1, abs(grad.flat[at]))
+
+
+def test_as_many_languages_as_there_are(spark):
+    random.seed(2)
+    rows = []
+    for k in range(250):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(6)]
+        rows += [(1000 * k + n, "".join(random.choice(letters) for _ in range(30)), f"l{k}") for n in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {r.lang for r in docs.where(~language_id.held_out(docs["doc_id"])).collect()}
+    assert set(language_id.fit(docs).labels) == known and len(known) > 240
