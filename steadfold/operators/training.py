@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from steadfold.functions.bounds import RuleError
 from steadfold.functions.losses import linear, logit
 from steadfold.functions.vectors import NAN
+from steadfold.operators.prefix import numbered
 from steadfold.operators.rules import aggregate, wide_form
-from steadfold.sources import scratch
-from steadfold.sources.names import unused
 
 
 def split_point(n: int, share: float) -> int:
@@ -28,30 +27,6 @@ def split_point(n: int, share: float) -> int:
     return min(max(1, int(n * share)) if share < 1 else int(share), n - 1)
 
 
-def numbered(rows: DataFrame, *order: Column | str, name: str = "rn") -> DataFrame:
-    """``rows`` with ``rn`` (or ``name``) from 0 in a total order, without bringing them into one task.
-
-    Range partitions are numbered on their own, and each starts where the ones
-    before it end.  Bounds of ranges are sampled, so a plan that is run twice
-    cuts elsewhere; the rows are therefore written once, with their partition
-    and place, and both the counts and the result are read from what is
-    written.  The counts are one row a partition, so they are broadcast.
-
-    All columns of ``rows`` are returned as they are; one that is named as
-    ``name`` is replaced.  Nulls in the order come first, ties and repeated
-    rows get different places, and an empty table gives an empty result.
-    """
-    spark = rows.sparkSession
-    part, at, base = unused(rows.columns, "part", "at", "base")
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
-    ordered.write.parquet(path := scratch.folder(spark))
-    placed = spark.read.schema(ordered.schema).parquet(path).withColumn(part, F.shiftright(at, 33))
-    counts = placed.groupBy(part).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(base)
-    found = placed.join(F.broadcast(counts.select(part, before)), part)
-    return found.withColumn(name, F.col(base) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(part, at, base)
-
-
 def train_test_split(rows: DataFrame, share: float, *order: Column | str) -> DataFrame:
     """``rows`` with ``rn``, the place in the order, and ``part``: train or test."""
     placed = numbered(rows, *order)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from steadfold.functions import losses
 from steadfold.functions.bounds import BOUNDS, bound
 from steadfold.functions.vectors import clipped, flattened, l1_norm, norm, rounded, sigmoid, unflattened
-from steadfold.operators import attacks, metrics, rules, search, training
+from steadfold.operators import attacks, metrics, prefix, rules, search, training
 from steadfold.plans import data
 from steadfold.plans.data import PARAMS, cohorts, logs, samples, table
 from steadfold.sources import libsvm, runs, scratch
@@ -171,7 +171,7 @@ SHUFFLED = "numbered AS (SELECT o_orderkey, row_number() OVER (ORDER BY (o_order
 
 @query("batch_assign", f"WITH {SHUFFLED} SELECT o_orderkey, rn // 25 AS batch, rn // 25 // 11 AS step, rn // 25 % 11 AS worker FROM numbered")
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training.numbered(table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919 + 13) % 1000003).alias("key")), "key", "o_orderkey")
+    rows = prefix.numbered(table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919 + 13) % 1000003).alias("key")), "key", "o_orderkey")
     return rows.select("o_orderkey", *training.batch_of(F.col("rn"), 25, 11))
 
 

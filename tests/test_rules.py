@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from steadfold.functions import bounds
-from steadfold.operators import attacks, kernels, metrics, rules, search, training
+from steadfold.operators import attacks, kernels, metrics, prefix, rules, search, training
 
 NAN = float("nan")
 
@@ -234,11 +234,13 @@ def test_training_steps(spark):
     with pytest.raises(bounds.RuleError):
         training.privacy_sigma(1, 1, 1.5, 0.5)
     rows = spark.range(1000).selectExpr("(id * 7919) % 1009 AS key", "id")
-    found = training.numbered(rows, "key", "id").orderBy("rn").collect()
+    found = prefix.numbered(rows, "key", "id").orderBy("rn").collect()
     assert [r.rn for r in found] == list(range(1000)) and [r.key for r in found] == sorted(r.key for r in found)
     clash = spark.createDataFrame([(3, "a", 1), (1, "b", 2), (None, "c", 3)], "part long, at string, base int")
-    assert [tuple(r) for r in training.numbered(clash, "part").orderBy("rn").collect()] == [(None, "c", 3, 0), (1, "b", 2, 1), (3, "a", 1, 2)]
-    assert training.numbered(clash.limit(0), "part").count() == 0
+    assert [tuple(r) for r in prefix.numbered(clash, "part").orderBy("rn").collect()] == [(None, "c", 3, 0), (1, "b", 2, 1), (3, "a", 1, 2)]
+    assert prefix.numbered(clash.limit(0), "part").count() == 0
+    sums = prefix.running(rows.selectExpr("key", "id"), {"a": "id", "b": "key"}, "key", "id").orderBy("key", "id").collect()
+    assert [(r.a, r.b) for r in sums] == [(sum(x.id for x in sums[:k]), sum(x.key for x in sums[:k])) for k in range(1000)]
     noisy = training.with_noise(frame(spark, [[0.0] * 400] * 5), 2.0, 3)
     drawn = np.array([x for r in noisy.collect() for x in r.g])
     assert abs(drawn.mean()) < 0.2 and drawn.std() == pytest.approx(2, abs=0.15)
@@ -251,7 +253,7 @@ def test_wide_rows_keep_their_places(spark, adaptive):
     spark.conf.set("spark.sql.shuffle.partitions", "200")
     try:
         rows = spark.range(100_000).selectExpr("id", "repeat(sha2(string(id), 256), 32) AS wide")
-        found = training.numbered(rows, F.xxhash64("id")).agg(F.count("*"), F.count_distinct("rn"), F.min("rn"), F.max("rn"), F.min(F.length("wide"))).first()
+        found = prefix.numbered(rows, F.xxhash64("id")).agg(F.count("*"), F.count_distinct("rn"), F.min("rn"), F.max("rn"), F.min(F.length("wide"))).first()
         assert tuple(found) == (100_000, 100_000, 0, 99_999, 2048)
     finally:
         for k, v in before.items():
