@@ -70,19 +70,32 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.isnull(text))
 
 
+def bits_for(entries: int, least: int = 20, most: int = 28) -> int:
+    """The size of a bit map, as a power of two, that has 16 cells or more for each entry; within bounds of 128 KB and 32 MB.
+
+    Beyond the upper bound more cells are set by chance: more rows go on than
+    need to, and none is lost.
+    """
+    return max(least, min(most, (16 * max(entries, 1) - 1).bit_length()))
+
+
 def bit_map(cells: DataFrame, size: int) -> np.ndarray:
     """A map of 2^size bits, as bytes, with those set that the column ``cell`` names.
 
     It is built by aggregation; one row for each 32 bits at most comes here, so
-    its size and the driver's part don't depend on the data.
+    its size and the driver's part are bounded by ``size``, whatever the data.
     """
     words = cells.groupBy((F.col("cell") / 32).cast("long").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 32 as int)))").alias("bits"))
+    found = words.where("at IS NOT NULL").select(F.col("at").cast("int"), F.col("bits").cast("long")).toArrow()
     bits = np.zeros(1 << (size - 5), "<u4")
-    for part in words.toLocalIterator():
-        bits[part["at"]] = part["bits"]
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
     return bits.view(np.uint8)
 
 
+def map_size(bits: np.ndarray) -> int:
+    return (8 * len(bits) - 1).bit_length()
+
+
 def is_set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
 

@@ -6,8 +6,9 @@ shingles of SHINGLE words; a shorter window is one shingle.  A document holds a
 window exactly if it holds all the window's shingles at consecutive places, so
 any one of them is a necessary prefix; the rarest over all documents is taken.
 
-1. A bit map of fixed size has the hashes of all benchmark shingles.  It is
-   built by aggregation and is the only thing that is broadcast.
+1. A bit map has the hashes of all benchmark shingles.  It is as large as their
+   number asks for, within a bound, is built by aggregation, and is the only
+   thing that is broadcast.
 2. One pass over the texts keeps the positioned shingles that the bit map lets
    through, with their words, and those alone go on as rows.
 3. Their frequencies order each window's shingles by rarity; documents join the
@@ -26,13 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import LOWER, NOT_WORD, UPPER, bit_map, in_slices, is_set, materialize, text_key
+from steadfold.llm.common import LOWER, NOT_WORD, UPPER, bit_map, bits_for, in_slices, is_set, map_size, materialize, text_key
 from steadfold.sources.names import unused
 
 ITEM = 10
 SHINGLE = 5
-#: The bit map has 2 to this number of bits: 2 MB, whatever the benchmark's size.
-MAP_BITS = 24
 
 _TABLE = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -56,8 +55,8 @@ def _shingle_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _places(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+def _places(found: np.ndarray, size: int = 32) -> np.ndarray:
+    return (found >> np.uint64(64 - size)).astype(np.int64)
 
 
 def _item_windows(item: int, shingle: int):
@@ -81,6 +80,8 @@ def _item_windows(item: int, shingle: int):
 
 
 def _hits(bits: np.ndarray, sizes: list[int]):
+    cells = map_size(bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             counts, hits = [], []
@@ -88,7 +89,7 @@ def _hits(bits: np.ndarray, sizes: list[int]):
                 words = words_of(text)
                 hashes, here = _hashes(words), []
                 for k in sizes:
-                    found = np.flatnonzero(is_set(bits, _places(_shingle_hashes(hashes, k))))
+                    found = np.flatnonzero(is_set(bits, _places(_shingle_hashes(hashes, k), cells)))
                     here += [{"pos": p, "k": k, "shingle": b" ".join(words[p : p + k]).decode()} for p in found.tolist()]
                 counts.append(len(words))
                 hits.append(here)
@@ -112,7 +113,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, item: int = ITEM, shing
     owners = items.where("j = 0").select("win", "item").distinct()
     windows = items.select("win", "size", "j", "shingle", "k", "cell").distinct()
     sizes = sorted(r[0] for r in windows.select("k").distinct().collect())
-    bits = spark.sparkContext.broadcast(bit_map(windows, MAP_BITS))
+    size = bits_for(windows.count())
+    bits = spark.sparkContext.broadcast(bit_map(windows.select(F.shiftright("cell", 32 - size).alias("cell")), size))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
