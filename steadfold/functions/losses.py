@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from steadfold.functions.bounds import RuleError
 from steadfold.functions.vectors import dot, l1_norm, norm, sigmoid
 
 
@@ -43,10 +44,14 @@ class Loss:
         return Loss(lambda o, t, p: self(o, t, p) + other(o, t, p))
 
     def __mul__(self, by: float) -> Loss:
-        return Loss(lambda o, t, p: self(o, t, p) * by)
+        return self.times(by)
 
     __rmul__ = __mul__
 
+    def times(self, by: float, compat: bool = False) -> Loss:
+        """A multiple; ``compat`` multiplies twice, as the original does."""
+        return Loss(lambda o, t, p: self(o, t, p) * (by * by if compat else by))
+
 
 LOSSES = {
     "mse": Loss(lambda o, t, p: mse(o, t)),
@@ -57,6 +62,39 @@ LOSSES = {
 }
 
 
+def bce_with_logits(z: Column, y: Column) -> Column:
+    """Binary cross entropy of a logit, without overflow."""
+    return F.avg(F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z))))
+
+
+def huber(p: Column, y: Column, delta: float = 1.0) -> Column:
+    """Half the squared gap up to ``delta``, a line beyond."""
+    gap = F.abs(p - y)
+    return F.avg(F.when(gap <= delta, 0.5 * gap * gap).otherwise(delta * (gap - 0.5 * delta)))
+
+
+def cross_entropy(logits: Column, target: Column) -> Column:
+    """Negative log likelihood of the target class, counted from 0, of logits."""
+    top = F.array_max(logits)
+    return F.avg(top + F.ln(F.aggregate(logits, F.lit(0.0), lambda s, v: s + F.exp(v - top))) - F.get(logits, target))
+
+
+LOSSES |= {
+    "bcewithlogits": Loss(lambda o, t, p: bce_with_logits(o, t)),
+    "huber": Loss(lambda o, t, p: huber(o, t)),
+    "smoothl1": Loss(lambda o, t, p: huber(o, t)),
+    "crossentropy": Loss(lambda o, t, p: cross_entropy(o, t)),
+    "softmargin": Loss(lambda o, t, p: F.avg(F.log1p(F.exp(-o * t)))),
+}
+
+
+def register(name: str, loss: Loss) -> None:
+    """Add a loss of one's own; a name that is taken is refused."""
+    if name in LOSSES:
+        raise RuleError(f"there is a loss named {name} already")
+    LOSSES[name] = loss
+
+
 def in_top_k(logits: Column, target: Column, k: int) -> Column:
     """1 if the target class is among the k largest logits, the smaller class first of equal ones, else 0."""
     better = F.size(F.filter(F.transform(logits, lambda x, i: (x > F.get(logits, target)) | ((x == F.get(logits, target)) & (i < target))), lambda b: b))

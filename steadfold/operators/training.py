@@ -118,18 +118,3 @@ def regression(rows: DataFrame, width: int, steps: int = 200, rate: float = 0.1)
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
     return w
-
-
-def predict_mlp(rows: DataFrame, layers: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(id, x) -> (id, out): a perceptron with rectified layers and log-softmax at the end, in Arrow batches."""
-
-    def run(parts):
-        for part in parts:
-            h = np.stack(part["x"].to_numpy()) if len(part) else np.empty((0, layers[0][0].shape[0]))
-            for k, (w, b) in enumerate(layers):
-                h = h @ w + b
-                h = np.maximum(h, 0) if k < len(layers) - 1 else h
-            h = h - np.log(np.exp(h - h.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - h.max(axis=1, keepdims=True) if len(h) else h
-            yield pd.DataFrame({"id": part["id"], "out": list(h)})
-
-    return rows.select("id", "x").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, out array<double>")

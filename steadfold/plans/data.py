@@ -175,3 +175,35 @@ SELECT list(val ORDER BY pos) AS g FROM result)""")
         parts.append(f"params_{k + 1} AS MATERIALIZED (SELECT list_transform(range(1, 6), lambda i: w[i] - {rate}::DOUBLE * u[i]) AS w, u AS v FROM (SELECT w, {velocity} AS u FROM params_{k}, grad_{k}))")
     rows = " UNION ALL ".join(f"SELECT {k} AS step, sqrt(list_dot_product(w, w)) AS l2_origin, {norm} AS grad_norm FROM params_{k}, grad_{k}" for k in range(steps))
     return "WITH " + ",\n".join(parts) + f",\nlog AS ({rows})\n{last}"
+
+
+def ran(options: object, rows: str, at: int, last: str) -> str:
+    """SQL of a run by mean squared errors of ``logit``: ``rows`` (place, x, y), the first ``at`` of them for training (all but one at most)."""
+    o, honest = options, options.workers - options.real
+    many, width, norm = honest * o.batch, 2, "sqrt(list_dot_product(g, g))"
+    zero = f"{[0.0] * (width + 1)}::DOUBLE[]"
+    out = f"1 / (1 + exp(-(list_dot_product(x, w[1:{width}]) + w[{width + 1}])))"
+    parts = [
+        f"rows AS MATERIALIZED ({rows})", f"cut AS (SELECT least({at}, count(*) - 1) AS n, count(*) - least({at}, count(*) - 1) AS m FROM rows)",
+        f"samples AS MATERIALIZED (SELECT k AS step, ((place - k * {many}) % n + n) % n + j * n AS slot, x, y FROM rows, cut, range({o.steps}) AS r(k), range(0, {many}) AS q(j) WHERE place < n AND j * n < {many})",
+        f"params_0 AS (SELECT {zero} AS w, {zero} AS v)",
+    ]
+    for k in range(o.steps):
+        rate = o.rate / (k // o.rate_every * o.rate_every / o.rate_decay + 1)
+        parts.append(f"""grad_{k} AS MATERIALIZED (WITH p AS (SELECT slot // {o.batch} AS worker, x, y, {out} AS p FROM samples, params_{k} WHERE step = {k} AND slot < {many}),
+each AS (SELECT worker, pos, 2 * avg(s * v) AS val FROM (SELECT worker, (p - y) * p * (1 - p) AS s, unnest(range({width + 1})) AS pos, unnest(list_append(x, 1.0::DOUBLE)) AS v FROM p) GROUP BY worker, pos),
+whole AS (SELECT worker, list(val ORDER BY pos) AS g FROM each GROUP BY worker),
+honest AS MATERIALIZED (SELECT worker, CASE WHEN {norm} > {o.clip} THEN list_transform(g, lambda v: v * {o.clip}::DOUBLE / {norm}) ELSE g END AS g FROM whole),
+made AS (SELECT list(a - {o.attack_options['factor']}::DOUBLE * a ORDER BY pos) AS g FROM (SELECT pos, avg(val) AS a FROM (SELECT unnest(range(len(g))) AS pos, unnest(g) AS val FROM honest) GROUP BY pos)),
+vectors AS MATERIALIZED (SELECT {k} AS step, worker, g FROM honest UNION ALL SELECT {k}, {honest} + i, g FROM made, range({o.real}) AS r(i)),
+{rule(o.rule, o.declared)}
+SELECT (SELECT list(val ORDER BY pos) FROM result) AS g, (SELECT avg({norm}) FROM honest) AS honest_norm,
+  (SELECT avg(l) FROM (SELECT avg((p - y) * (p - y)) AS l FROM p GROUP BY worker)) AS loss_avg)""")
+        velocity = "g" if not k else f"list_transform(range(1, {width + 2}), lambda i: {o.momentum}::DOUBLE * v[i] + g[i])"
+        parts.append(f"params_{k + 1} AS MATERIALIZED (SELECT list_transform(range(1, {width + 2}), lambda i: w[i] - {rate}::DOUBLE * u[i]) AS w, u AS v FROM (SELECT w, {velocity} AS u FROM params_{k}, grad_{k}))")
+    study = " UNION ALL ".join(f"SELECT {k} AS step, {k * many} AS datapoints, loss_avg, sqrt(list_dot_product(w, w)) AS l2_origin, honest_norm, {norm} AS defense_norm FROM params_{k}, grad_{k}" for k in range(o.steps))
+    tests = " UNION ALL ".join(
+        f"SELECT {k} AS step, sum((abs({out} - y) < 0.5)::INT) / count(*) AS accuracy FROM rows, cut, params_{k}, range({k // o.evaluate_every * o.test_repeat}, {(k // o.evaluate_every + 1) * o.test_repeat}) AS r(b) WHERE place >= n AND (place - n) // least({o.test_batch}, m) = b % ((m + least({o.test_batch}, m) - 1) // least({o.test_batch}, m))"
+        for k in range(0, o.steps + 1, o.evaluate_every)
+    )
+    return "WITH " + ",\n".join(parts) + f",\nstudy AS ({study}),\ntests AS ({tests}),\nwhole AS (SELECT coalesce(s.step, t.step)::BIGINT AS step, datapoints::BIGINT AS datapoints, loss_avg, l2_origin, honest_norm, defense_norm, accuracy FROM study s FULL JOIN tests t USING (step))\n{last}"

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from steadfold.functions import losses
 from steadfold.functions.bounds import BOUNDS, bound
 from steadfold.functions.vectors import clipped, flattened, l1_norm, norm, rounded, sigmoid, unflattened
-from steadfold.operators import attacks, metrics, prefix, rules, search, training
+from steadfold.operators import attacks, experiment, metrics, networks, optimizers, prefix, rules, search, training
 from steadfold.plans import data
 from steadfold.plans.data import PARAMS, cohorts, logs, samples, table
-from steadfold.sources import libsvm, runs, scratch
+from steadfold.sources import dataset, images, libsvm, runs, scratch
 from steadfold.streaming import batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,6 +275,40 @@ def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, round(float(v), 3) + 0.0) for i, v in enumerate(found)], "pos int, val double")
 
 
+RUN = experiment.Options(steps=4, workers=11, declared=3, real=2, rule="krum", attack="empire", attack_options={"factor": 1.5}, rate=0.5, rate_decay=4, rate_every=2, clip=0.1, batch=25, test_batch=40, test_repeat=3, evaluate_every=2)
+RUN_ROWS = "SELECT row_number() OVER (ORDER BY (o_orderkey * 7919 + 13) % 1000003, o_orderkey) - 1 AS place, [o_totalprice / 100000, (o_custkey % 10) / 10.0::DOUBLE] AS x, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM orders"
+
+
+@query("training_run", data.ran(RUN, RUN_ROWS, 1000, f"SELECT step, datapoints, {', '.join(f'{R(c)} AS {c}' for c in ('loss_avg', 'l2_origin', 'honest_norm', 'defense_norm', 'accuracy'))} FROM whole"))
+def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run with an attack, a rate that decays and evaluations, as its logs tell it."""
+    key = ((F.col("o_orderkey") * 7919 + 13) % 1000003).alias("key")
+    rows = table(spark, sf_dir, "orders").select(key, "o_orderkey", F.array(F.col("o_totalprice") / 100000, (F.col("o_custkey") % 10) / 10).alias("x"), F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("y"))
+    train, test = dataset.datasets(rows, 1000, RUN.batch, RUN.test_batch, "key", "o_orderkey")
+    experiment.run(train, test, 2, RUN, folder := scratch.folder(spark, "run"))
+    found = runs.Session(spark, folder).data
+    return found.select("step", "datapoints", *(rounded(F.col(c)).alias(c) for c in ("loss_avg", "l2_origin", "honest_norm", "defense_norm", "accuracy")))
+
+
+@query("grid_over_seeds")
+def grid_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two settings with two seeds each, run and averaged: (name, step, seeds, accuracy)."""
+    rows = samples(spark, sf_dir).select("x", "y").distinct()
+    sets: dict[int, tuple] = {}
+
+    def batches(options: experiment.Options) -> tuple:
+        if options.seed not in sets:
+            sets[options.seed] = dataset.datasets(rows, 0.8, options.batch, options.test_batch, seed=options.seed)
+        return sets[options.seed]
+
+    settings, base = [{"rule": "average"}, {"rule": "median"}], experiment.Options(steps=2, evaluate_every=1, rate=1.0, declared=0)
+    folder = scratch.folder(spark, "grid")
+    done = experiment.grid(lambda o: batches(o)[0], lambda o: batches(o)[1], 4, base, settings, folder, (1, 2))
+    if any(state != "done" for _, _, state in done):
+        raise RuntimeError(str(done))
+    return experiment.averaged(spark, folder, settings, (1, 2), "accuracy").select("name", "step", "seeds", "accuracy_avg")
+
+
 # Statistics
 
 STATS = f"""each AS (SELECT step, is_byz, {L2} AS l, list_max(list_transform(g, lambda v: abs(v))) AS m FROM vectors),
@@ -352,6 +386,10 @@ loss("loss_bce", "avg(-(y * ln(p) + (1 - y) * ln(1 - p)))", lambda: losses.bce(F
 loss("loss_nll", "avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END)", lambda: losses.nll(F.array(F.ln(1 - F.col("p")), F.ln("p")), F.col("y").cast("int")))
 loss("weighted_mse", "avg((worker + 1) * (p - y) * (p - y))", lambda: losses.weighted_mse(F.col("p"), F.col("y"), F.col("worker") + 1))
 loss("loss_composed", "0.5 * avg((p - y) * (p - y)) + 2 * avg(-(y * ln(p) + (1 - y) * ln(1 - p)))", lambda: (0.5 * losses.LOSSES["mse"] + losses.LOSSES["bce"] * 2.0)(F.col("p"), F.col("y"), F.col("x")))
+loss("loss_bce_with_logits", "avg(-(y * ln(p) + (1 - y) * ln(1 - p)))", lambda: losses.LOSSES["bcewithlogits"](F.col("z"), F.col("y"), F.col("x")))
+loss("loss_huber", "avg(CASE WHEN abs(z - y) <= 1 THEN 0.5::DOUBLE * (z - y) * (z - y) ELSE abs(z - y) - 0.5::DOUBLE END)", lambda: losses.LOSSES["huber"](F.col("z"), F.col("y"), F.col("x")))
+loss("loss_cross_entropy", "avg(ln(exp(z) + exp(-z)) - CASE WHEN y = 1 THEN z ELSE -z END)", lambda: losses.LOSSES["crossentropy"](F.array(-F.col("z"), F.col("z")), F.col("y").cast("int"), F.col("x")))
+loss("loss_soft_margin", "avg(ln(1 + exp(-z * (2 * y - 1))))", lambda: losses.LOSSES["softmargin"](F.col("z"), 2 * F.col("y") - 1, F.col("x")))
 query("loss_l1_l2", f"WITH {data.attacked(None, 0)} SELECT step, worker, {R('list_sum(list_transform(g, lambda v: abs(v)))')} AS l1, {R(L2)} AS l2 FROM vectors")(lambda s, d: cohorts(s, d).select("step", "worker", rounded(l1_norm(F.col("g"))).alias("l1"), rounded(norm(F.col("g"))).alias("l2")))
 query("criterion_sigmoid", f"{PREDICTED} SELECT step, sum((abs(y - p) < 0.5)::INT)::BIGINT AS correct, count(*) AS total FROM p GROUP BY step")(lambda s, d: predicted(s, d).groupBy("step").agg(F.sum(losses.sigmoid_right(F.col("p"), F.col("y"))).alias("correct"), F.count("*").alias("total")))
 query("evaluate_sigmoid", f"{PREDICTED} SELECT worker, {R('sum((abs(y - p) < 0.5)::INT) / count(*)')} AS accuracy FROM p GROUP BY worker")(lambda s, d: predicted(s, d).groupBy("worker").agg(rounded(F.sum(losses.sigmoid_right(F.col("p"), F.col("y"))) / F.count("*")).alias("accuracy")))
@@ -360,12 +398,37 @@ for _kind, _column in (("linear", "z"), ("logit", "p")):
     query(f"predict_{_kind}", f"{PREDICTED} SELECT step, worker, round({_column}, 9) + 0.0 AS out, count(*) AS n FROM p GROUP BY ALL")(lambda s, d, c=_column: predicted(s, d).groupBy("step", "worker", rounded(F.col(c), 9).alias("out")).agg(F.count("*").alias("n")))
 
 
-@query("predict_mlp")
+#: Weights of a perceptron from places: 64 inputs, 32 hidden units, 10 classes.
+MLP_PARAMS = np.concatenate([np.sin(np.arange(32 * 64) * 0.7) * 0.3, np.zeros(32), np.cos(np.arange(10 * 32) * 1.3) * 0.3, np.zeros(10)])
+MLP = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+h AS (SELECT vec_id, list_transform(range(32), lambda o: greatest(0.0::DOUBLE, list_dot_product(x, list_transform(range(64), lambda i: sin((o * 64 + i) * 0.7::DOUBLE) * 0.3::DOUBLE)))) AS h FROM e),
+z AS (SELECT vec_id, list_transform(range(10), lambda o: list_dot_product(h, list_transform(range(32), lambda i: cos((o * 32 + i) * 1.3::DOUBLE) * 0.3::DOUBLE))) AS z FROM h),
+s AS (SELECT vec_id, z, ln(list_sum(list_transform(z, lambda v: exp(v)))) AS s FROM z)"""
+
+
+@query("predict_mlp", f"{MLP} SELECT vec_id AS id, unnest(range(10))::INT AS pos, unnest(list_transform(z, lambda v: {R('v - s')})) AS val FROM s")
 def predict_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    random = np.random.default_rng(3)
-    layers = [(random.normal(0, 0.3, (64, 32)), np.zeros(32)), (random.normal(0, 0.3, (32, 10)), np.zeros(10))]
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    return training.predict_mlp(rows, layers).select("id", F.posexplode("out").alias("pos", "val"))
+    found = networks.predict(rows, networks.full(8, 32, 10), MLP_PARAMS)
+    return found.select("id", F.posexplode("out").alias("pos", "val")).withColumn("val", rounded(F.col("val")))
+
+
+@query("predict_conv")
+def predict_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A convolutional network over embeddings as images of eight by eight places."""
+    network = networks.conv(8, (4, 6), 2, 16, 10)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    found = networks.predict(rows, network, optimizers.initial(network.shapes, seed=3))
+    return found.select("id", F.posexplode("out").alias("pos", "val"))
+
+
+@query("grad_network", f"""{MLP}, p AS (SELECT label, z.vec_id, pos, exp(z[pos + 1] - s) - (pos = label)::INT AS d FROM s AS z, embeddings e, range(10) AS r(pos) WHERE z.vec_id = e.vec_id)
+SELECT label AS worker, (32 * 64 + 32 + 10 * 32 + pos)::INT AS pos, {R('avg(d)')} AS val FROM p GROUP BY label, pos""")
+def grad_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last layer's bias of a perceptron's gradient, a worker for each label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("step"), F.col("label").alias("worker"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
+    found = networks.gradients(rows, networks.full(8, 32, 10), MLP_PARAMS, "nll").select("worker", F.posexplode("g").alias("pos", "val"))
+    return found.where(F.col("pos") >= 32 * 64 + 32 + 10 * 32).withColumn("val", rounded(F.col("val")))
 
 
 @query("flatten_unflatten", "SELECT vec_id, a, b, c FROM (SELECT vec_id, round(list_sum(list_transform(embedding[1:20], lambda v: v::DOUBLE)), 6) + 0.0 AS a, round(list_sum(list_transform(embedding[21:64], lambda v: v::DOUBLE)), 6) + 0.0 AS b, 0.0::DOUBLE AS c FROM embeddings)")
@@ -410,6 +473,15 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(byte).alias("pos", "byte"))
 
 
+@query("image_files", "SELECT vec_id, 13 + 64 AS n_bytes, list_sum(list_transform(embedding, lambda v: floor((v::DOUBLE - lo) / (hi - lo) * 255)::INT))::BIGINT AS total FROM (SELECT vec_id, embedding, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings)")
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as grey images of eight by eight places: their files' sizes, and the sums of their places."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    body = F.hex(F.expr("substring(image, 12)"))
+    total = F.expr("aggregate(sequence(0, 63), 0L, (s, i) -> s + cast(conv(substring(body, 2 * i + 1, 2), 16, 10) as long))")
+    return images.images(rows, 8).withColumn("body", body).select(F.col("id").alias("vec_id"), (F.length("image") + 2).alias("n_bytes"), total.alias("total"))
+
+
 DAILY = f"""WITH {data.LOGS}, study AS (SELECT run, step, count(*) AS datapoints, avg(value) AS loss_avg, max(value) AS honest_max FROM logs WHERE seed <> 0 GROUP BY run, step),
 eval AS (SELECT run, step, avg((value > 50)::INT) AS accuracy FROM logs WHERE seed = 0 GROUP BY run, step)"""
 

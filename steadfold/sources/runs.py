@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from steadfold.functions.bounds import BOUNDS
+
 STUDY = "step long, datapoints long, loss_avg double, l2_origin double, honest_dev double, attack_dev double, honest_norm double, attack_norm double, defense_norm double, honest_max double, attack_max double, defense_max double, cos_hon_att double, cos_hon_def double, cos_att_def double"
 EVAL = "step long, accuracy double"
 
@@ -17,14 +22,84 @@ def write(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read(spark: SparkSession, path: str, schema: str = STUDY) -> DataFrame:
-    """A log; lines that begin with # are headers."""
-    return spark.read.option("sep", "\t").option("comment", "#").schema(schema).csv(path)
+    """A log, a file or a folder of parts; lines that begin with # are headers."""
+    return spark.read.option("sep", "\t").option("comment", "#").option("recursiveFileLookup", True).schema(schema).csv(path)
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One JSON object, in any file system that Spark knows; what is there is replaced."""
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+class Session:
+    """A run's folder: its settings, and its study and evaluation logs by step.
+
+    What can't be read is left out with a warning; ``data`` has what there is,
+    a step that only one log has included.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder, self.config = spark, folder, None
+        if exists(spark, f"{folder}/config.json"):
+            try:
+                self.config = json.loads("".join(r.value for r in spark.read.text(f"{folder}/config.json").collect()))
+            except ValueError as error:
+                warnings.warn(f"{folder}: the settings can't be read ({error})", stacklevel=2)
+        else:
+            warnings.warn(f"{folder}: there are no settings", stacklevel=2)
+        logs = [self._log("study", STUDY), self._log("eval", EVAL)]
+        found = [x for x in logs if x is not None]
+        self.data = join_session(*found) if len(found) == 2 else found[0] if found else None
+
+    def _log(self, name: str, schema: str) -> DataFrame | None:
+        if exists(self.spark, f"{self.folder}/{name}"):
+            return read(self.spark, f"{self.folder}/{name}", schema)
+        warnings.warn(f"{self.folder}: there is no {name} log", stacklevel=3)
+        return None
+
+    def get(self, *patterns: str) -> DataFrame:
+        """The data, or only the columns whose names have one of the patterns."""
+        return select_like(self.data, *patterns) if patterns else self.data
+
+    def display(self, *patterns: str, rows: int = 20) -> Session:
+        self.get(*patterns).orderBy("step" if not patterns else self.get(*patterns).columns[0]).show(rows, truncate=False)
+        return self
+
+    def has_known_ratio(self) -> bool:
+        """Whether there is a bound for the rule of this run."""
+        return bool(self.config) and self.config.get("rule") in BOUNDS
+
+    def compute_epoch(self, points: int | None = None) -> Session:
+        """Adds ``epoch``: data points over the training set's size, which is ``points`` or a known data set's."""
+        size = F.col("datapoints") / F.lit(float(points)) if points else epoch(F.col("datapoints"), (self.config or {}).get("dataset", ""))
+        self.data = self.data.withColumn("epoch", size)
+        return self
+
+    def compute_lr(self) -> Session:
+        """Adds ``lr``, the learning rate by the settings' schedule."""
+        c = self.config or {}
+        if {"rate", "rate_decay", "rate_every"} <= c.keys():
+            rate, decay, every = c["rate"], c["rate_decay"], c["rate_every"]
+            column = F.lit(float(rate)) if decay <= 0 else F.lit(float(rate)) / (F.floor(F.col("step") / every) * every / F.lit(float(decay)) + 1)
+        else:
+            column = F.lit(None).cast("double")
+        self.data = self.data.withColumn("lr", column)
+        return self
+
+    def compute_all(self) -> Session:
+        """Everything that is computed from the data and the settings alone."""
+        return self.compute_epoch().compute_lr()
+
+
 def join_session(study: DataFrame, evaluation: DataFrame, *keys: str) -> DataFrame:
     """Both logs of a run by step; a step that only one of them has is kept."""
     return study.join(evaluation, [*keys, "step"], "full_outer")
