@@ -64,28 +64,48 @@ def median(rows: DataFrame, variant: str = "lower") -> DataFrame:
     return coords.agg(values.alias("v")).select("step", "pos", F.coalesce(F.get("v", (F.size("v") / 2).cast("int")), F.lit(0.0)).alias("val"))
 
 
-def pairs(rows: DataFrame, squared: bool = False) -> DataFrame:
-    """(step, x, y, d) for x < y: the distance, infinity where it isn't finite."""
+def pairs(rows: DataFrame, squared: bool = False, blocks: int = 1) -> DataFrame:
+    """(step, x, y, d) for x < y: the distance, infinity where it isn't finite.
+
+    Without ``blocks`` a step is one key of the join.  With them its workers
+    are dealt into so many blocks by a hash, each pair of blocks is a key, and
+    each vector is copied as often as there are blocks: for steps of very many
+    workers.
+    """
     a = rows.select("step", F.col("worker").alias("x"), F.col("g").alias("gx"))
     b = rows.select("step", F.col("worker").alias("y"), F.col("g").alias("gy"))
+    keys = ["step"]
+    if blocks > 1:
+        keys += ["bx", "by"]
+        every = F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))
+        a = a.withColumn("bx", F.pmod(F.xxhash64("x"), F.lit(blocks))).withColumn("by", every)
+        b = b.withColumn("by", F.pmod(F.xxhash64("y"), F.lit(blocks))).withColumn("bx", every)
     d = squared_distance(F.col("gx"), F.col("gy"))
-    return a.join(b, "step").where("x < y").select("step", "x", "y", finite_or_inf(d if squared else F.sqrt(d)).alias("d"))
+    return a.join(b, keys).where("x < y").select("step", "x", "y", finite_or_inf(d if squared else F.sqrt(d)).alias("d"))
+
 
+def pairs_by_kernel(rows: DataFrame, blocks: int = 1) -> DataFrame:
+    """The same as ``pairs``, by differences of whole matrices: quicker for steps of hundreds of workers or more.
 
-def pairs_by_kernel(rows: DataFrame) -> DataFrame:
-    """The same as ``pairs``, by one matrix product a step: quicker for steps of hundreds of workers or more."""
+    A task has the vectors of one block of a step, or of two.
+    """
+    own = F.pmod(F.xxhash64("worker"), F.lit(blocks)).cast("int")
+    dealt = rows.select("step", "worker", "g", own.alias("own")).withColumn("other", F.explode(F.expr(f"sequence(0, {blocks - 1})")))
+    dealt = dealt.select("step", "worker", "g", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def distances(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("worker")
-        g = np.stack(part["g"].to_numpy())
+        g, block, workers = np.stack(part["g"].to_numpy()), part["own"].to_numpy(), part["worker"].to_numpy()
         i, j = np.triu_indices(len(g), 1)
+        if part["i"].iloc[0] != part["j"].iloc[0]:  # pairs within a block have a task of their own
+            apart = block[i] != block[j]
+            i, j = i[apart], j[apart]
         with np.errstate(all="ignore"):
             d = np.concatenate([np.sqrt(((g[i[k : k + 4096]] - g[j[k : k + 4096]]) ** 2).sum(axis=1)) for k in range(0, len(i), 4096)] or [np.empty(0)])
-        workers = part["worker"].to_numpy()
         return pd.DataFrame({"step": part["step"].iloc[0], "x": workers[i], "y": workers[j], "d": np.where(np.isfinite(d), d, np.inf)})
 
     kinds = dict(rows.dtypes)
-    return rows.select("step", "worker", "g").groupBy("step").applyInPandas(distances, f"step {kinds['step']}, x {kinds['worker']}, y {kinds['worker']}, d double")
+    return dealt.groupBy("step", "i", "j").applyInPandas(distances, f"step {kinds['step']}, x {kinds['worker']}, y {kinds['worker']}, d double")
 
 
 def neighbour_scores(rows: DataFrame, count: Callable[[Column], Column], squared: bool = False) -> DataFrame:
@@ -130,12 +150,15 @@ def bulyan_candidates(rows: DataFrame, f: int, m: int | None = None) -> DataFram
 def averaged_median(rows: DataFrame, drop: int) -> DataFrame:
     """(step, i, pos, val) -> (step, pos, val): the mean of the values closest to the lower median, all but ``drop`` of them.
 
-    Of values equally close the one with the smaller i is taken first.
+    Of values equally close the one with the smaller i is taken first.  A
+    coordinate's values are one array, so they are aggregated once and the rest
+    is done within the row.
     """
-    middle = rows.groupBy("step", "pos").agg(lower_median(F.col("val")).alias("mid"), F.count("*").alias("t"))
-    near = rows.join(middle, ["step", "pos"])
-    order = Window.partitionBy("step", "pos").orderBy(F.round(F.abs(F.col("val") - F.col("mid")), DIGITS), "i")
-    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("t") - drop).groupBy("step", "pos").agg(F.avg("val").alias("val"))
+    values = rows.groupBy("step", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "val"))).alias("v"))
+    middle = F.expr("if(exists(v, x -> isnan(x.val)), double('NaN'), array_sort(transform(v, x -> x.val))[cast((size(v) - 1) / 2 as int)])")
+    near = F.expr(f"slice(array_sort(transform(v, x -> struct(round(abs(x.val - mid), {DIGITS}) AS gap, x.i AS i, x.val AS val))), 1, greatest(size(v) - {drop}, 0))")
+    kept = values.withColumn("mid", middle).select("step", "pos", near.alias("near")).where("size(near) > 0")
+    return kept.select("step", "pos", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x["val"]) / F.size("near")).alias("val"))
 
 
 def bulyan(rows: DataFrame, f: int, m: int | None = None) -> DataFrame:
@@ -174,7 +197,7 @@ def bulyan_pruned(rows: DataFrame, f: int, m: int | None = None) -> DataFrame:
                     scores[i] -= d[i, gone]
         found = np.stack(picked)
         mid = np.sort(found, axis=0)[t // 2]
-        close = np.argsort(np.abs(found - mid), axis=0, kind="stable")[: t - 2 * f]
+        close = np.argsort(np.abs(found - mid).round(DIGITS), axis=0, kind="stable")[: t - 2 * f]
         val = np.take_along_axis(found, close, axis=0).mean(axis=0)
         return pd.DataFrame({"step": part["step"].iloc[0], "pos": np.arange(len(val), dtype=np.int32), "val": val})
 
@@ -187,16 +210,18 @@ def subsets(sizes: DataFrame, f: int) -> DataFrame:
     return every.where(F.bit_count("bits") == F.col("n") - f)
 
 
-def brute_selection(rows: DataFrame, f: int) -> DataFrame:
+def brute_selection(rows: DataFrame, f: int, variant: str = "plain") -> DataFrame:
     """(step, workers, diameter): the first of the subsets of n - f workers whose largest distance is smallest.
 
+    ``squared`` takes squared distances, as ``krum`` does.
+
     The order of subsets is that of their sorted worker numbers.  Subsets with
     a distance that isn't finite are left out; a step without another gives no
     row.  The number of subsets grows exponentially with the workers of a step.
     """
     sizes = rows.groupBy("step").agg(F.sort_array(F.collect_list("worker")).alias("ids")).withColumn("n", F.size("ids"))
     place = sizes.select("step", F.posexplode("ids").alias("at", "worker"))
-    near = pairs(rows).join(place.select("step", F.col("worker").alias("x"), F.col("at").alias("ax")), ["step", "x"]).join(place.select("step", F.col("worker").alias("y"), F.col("at").alias("ay")), ["step", "y"])
+    near = pairs(rows, variant == "squared").join(place.select("step", F.col("worker").alias("x"), F.col("at").alias("ax")), ["step", "x"]).join(place.select("step", F.col("worker").alias("y"), F.col("at").alias("ay")), ["step", "y"])
     table = near.groupBy("step").agg(F.collect_list(F.struct(F.expr("shiftleft(1L, ax) | shiftleft(1L, ay)").alias("both"), "d")).alias("pairs"))
     # The pairs of a step are one array, so a subset is judged within its row.
     choices = subsets(sizes.select("n").distinct(), f)
@@ -207,9 +232,9 @@ def brute_selection(rows: DataFrame, f: int) -> DataFrame:
     return best.select("step", "b.workers", "b.diameter")
 
 
-def brute(rows: DataFrame, f: int) -> DataFrame:
+def brute(rows: DataFrame, f: int, variant: str = "plain") -> DataFrame:
     """Minimum-diameter averaging: the mean of the selected subset."""
-    chosen = brute_selection(rows, f).select("step", F.explode("workers").alias("worker"))
+    chosen = brute_selection(rows, f, variant).select("step", F.explode("workers").alias("worker"))
     return average(rows.join(chosen, ["step", "worker"], "left_semi"))
 
 

@@ -45,6 +45,13 @@ def test_cursor(rows: int, size: int, batch: Column) -> Column:
     return (batch % per_round) * size
 
 
+def source_batch(batch: Column, batches: int) -> Column:
+    """Which batch of a source that starts anew at its end is the next one; a source without batches is refused."""
+    if batches < 1:
+        raise RuleError("a source without batches can't be sampled from")
+    return F.pmod(batch, F.lit(batches))
+
+
 def gradients(samples: DataFrame, params: np.ndarray, model: str) -> DataFrame:
     """(step, worker, x, y) -> (step, worker, g): of the mean squared error of ``linear`` or ``logit``; the bias is last."""
     w, b = F.array(*(F.lit(float(v)) for v in params[:-1])), F.lit(float(params[-1]))

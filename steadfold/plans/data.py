@@ -89,8 +89,8 @@ sums AS (SELECT step, i AS worker, sum(d) AS score, max(n) AS n FROM ranked WHER
 scores AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY round(score, 9), worker) AS rank FROM sums)"""
 
 
-def brute(f: int) -> str:
-    return f"""{pairs()},
+def brute(f: int, squared: bool = False) -> str:
+    return f"""{pairs(squared)},
 counts AS (SELECT step, count(*) AS n FROM vectors GROUP BY step),
 masks AS (SELECT n, bits FROM (SELECT n, unnest(range(1 << n)) AS bits FROM (SELECT DISTINCT n::BIGINT AS n FROM counts)) WHERE bit_count(bits) = n - {f}),
 diameters AS (SELECT c.step, m.n, bits, max(d) AS diameter FROM counts c JOIN masks m ON c.n = m.n JOIN pairs p ON p.step = c.step AND (bits >> x) & 1 = 1 AND (bits >> y) & 1 = 1 GROUP BY ALL HAVING max(d) < 'inf'::DOUBLE),
@@ -119,11 +119,30 @@ candidates AS (SELECT step, i, pos, avg(val) AS val FROM coords GROUP BY step, i
 middle AS (SELECT step, pos, CASE WHEN bool_or(isnan(val)) THEN 'nan'::DOUBLE ELSE quantile_disc(val, 0.5) END AS mid, count(*) AS t FROM candidates GROUP BY step, pos),
 close AS (SELECT c.*, t, row_number() OVER (PARTITION BY step, pos ORDER BY round(abs(val - mid), 9), i) AS r FROM candidates c JOIN middle USING (step, pos)),
 result AS (SELECT step, pos, avg(val) AS val FROM close WHERE r <= t - {2 * f} GROUP BY step, pos)"""
-    if name == "brute":
-        return f"{brute(f)},\npicked AS (SELECT v.* FROM vectors v JOIN chosen USING (step) WHERE list_contains(workers, worker)),\n{coords('picked')},\n{mean}"
+    if name.startswith("brute"):
+        return f"{brute(f, name == 'brute_squared')},\npicked AS (SELECT v.* FROM vectors v JOIN chosen USING (step) WHERE list_contains(workers, worker)),\n{coords('picked')},\n{mean}"
     raise KeyError(name)
 
 
+def pruned(f: int, most: int) -> str:
+    """CTEs after ``vectors`` up to ``result`` by the rule whose scores forget each selected worker; steps have ``most`` workers at most."""
+    parts = [f"""{pairs(True)},
+near AS (SELECT step, x AS i, y AS j, d FROM pairs UNION ALL SELECT step, y, x, d FROM pairs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY step, i ORDER BY d, j) AS r, count(*) OVER (PARTITION BY step, i) + 1 AS n FROM near),
+counted AS MATERIALIZED (SELECT step, i, j, d, n FROM ranked WHERE r <= n - {f} - 2),
+left_0 AS MATERIALIZED (SELECT step, i AS worker, sum(d) AS score, max(n) AS n FROM counted GROUP BY step, i)"""]
+    for k in range(most - 2 * f - 2):
+        parts.append(f"""order_{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY step ORDER BY round(score, 9), worker) AS rank, count(*) OVER (PARTITION BY step) AS c FROM left_{k} WHERE {k} < n - {2 * f} - 2),
+pick_{k} AS MATERIALIZED (SELECT step, {k} AS i, pos, avg(val) AS val FROM (SELECT step, unnest(range(len(g)))::INT AS pos, unnest(g) AS val FROM order_{k} JOIN vectors USING (step, worker) WHERE rank <= greatest(1, least(n - {f} - 2 - {k}, c))) GROUP BY step, pos),
+left_{k + 1} AS MATERIALIZED (SELECT o.step, o.worker, o.score - coalesce(c.d, 0) AS score, o.n FROM order_{k} o JOIN order_{k} g ON g.step = o.step AND g.rank = 1 AND o.rank > 1 LEFT JOIN counted c ON c.step = o.step AND c.i = o.worker AND c.j = g.worker)""")
+    every = " UNION ALL ".join(f"SELECT * FROM pick_{k}" for k in range(most - 2 * f - 2))
+    parts.append(f"""picks AS MATERIALIZED ({every}),
+middle AS (SELECT step, pos, list_sort(list(val))[count(*) // 2 + 1] AS mid, count(*) AS t FROM picks GROUP BY step, pos),
+close AS (SELECT p.*, t, row_number() OVER (PARTITION BY step, pos ORDER BY round(abs(val - mid), 9), i) AS r FROM picks p JOIN middle USING (step, pos)),
+result AS (SELECT step, pos, avg(val) AS val FROM close WHERE r <= t - {2 * f} GROUP BY step, pos)""")
+    return ",\n".join(parts)
+
+
 def search(before: str, values: str, keys: str, evaluations: int, last: str) -> str:
     """SQL of the search: ``values`` asks for the values of ``{trials}`` (step, trial); ``last`` reads ``{last}``, the final states."""
     parts = [before, f"trials_0 AS MATERIALIZED (SELECT DISTINCT step, 0.0::DOUBLE AS trial FROM {keys})"]

@@ -52,13 +52,15 @@ query("gar_krum_m1", f"WITH {data.attacked(None, 4)}, {data.rule('krum_m1', 4)}
 query("gar_krum_squared", f"WITH {data.attacked(None, 4)}, {data.rule('krum_squared', 4)} {RESULT}")(lambda s, d: result(rules.krum(cohorts(s, d, 4), 4, variant="squared")))
 query("gar_bulyan", f"WITH {data.attacked('little', 2)}, {data.rule('bulyan', 2)} {RESULT}")(lambda s, d: result(rules.aggregate(attacks.with_attack(cohorts(s, d, 2), "little", 2, factor=1.5), "bulyan", 2)))
 query("gar_brute", f"WITH {data.attacked(None, 4)}, {data.rule('brute', 4)} {RESULT}")(lambda s, d: result(rules.aggregate(cohorts(s, d, 4), "brute", 4)))
-query("gar_bulyan_pruned")(lambda s, d: result(rules.bulyan_pruned(cohorts(s, d, 2), 2)))
+query("gar_brute_squared", f"WITH {data.attacked(None, 4)}, {data.rule('brute_squared', 4)} {RESULT}")(lambda s, d: result(rules.aggregate(cohorts(s, d, 4), "brute", 4, variant="squared")))
+query("gar_bulyan_pruned", f"WITH {data.attacked(None, 2)}, {data.pruned(2, 12)} {RESULT}")(lambda s, d: result(rules.bulyan_pruned(cohorts(s, d, 2), 2)))
 
 FINITE = "result AS (SELECT step, pos, coalesce(v[len(v) // 2 + 1], 0) AS val FROM (SELECT step, pos, coalesce(list_sort(list(val) FILTER (isfinite(val))), []) AS v FROM coords GROUP BY step, pos))"
 query("gar_median_finite", f"WITH {data.attacked('nan', 3)}, {data.coords()}, {FINITE} {RESULT}")(lambda s, d: result(rules.median(attacks.with_attack(cohorts(s, d, 3), "nan", 3), "finite")))
 
 PAIRS = f"WITH {data.attacked(None, 0)}, {data.pairs()} SELECT step, x, y, {R('d')} AS d FROM pairs"
 query("pairwise_distance", PAIRS)(lambda s, d: rules.pairs(cohorts(s, d)).withColumn("d", rounded(F.col("d"))))
+query("pairwise_distance_blocks", PAIRS)(lambda s, d: rules.pairs(cohorts(s, d), blocks=3).withColumn("d", rounded(F.col("d"))))
 query("pairwise_distance_kernel", PAIRS)(lambda s, d: rules.pairs_by_kernel(cohorts(s, d)).withColumn("d", rounded(F.col("d"))))
 
 
@@ -182,7 +184,7 @@ def batch_test_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cycle_batches", "SELECT b AS batch, b % 40 AS source FROM (SELECT unnest(range(300)) AS b)")
 def cycle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(300).select(F.col("id").alias("batch"), F.pmod("id", F.lit(40)).alias("source"))
+    return spark.range(300).select(F.col("id").alias("batch"), training.source_batch(F.col("id"), 40).alias("source"))
 
 
 @query("train_test_split", "SELECT c_custkey, CASE WHEN rn < least(greatest(1, floor(n * 0.8)), n - 1) THEN 'train' ELSE 'test' END AS part FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS rn, count(*) OVER () AS n FROM customer)")

@@ -134,11 +134,30 @@ def test_kernel_is_the_same(spark):
     a = {(r.x, r.y): r.d for r in rules.pairs(frame(spark, vectors)).collect()}
     b = {(r.x, r.y): r.d for r in rules.pairs_by_kernel(frame(spark, vectors)).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
-
-
-def test_pruned_bulyan_without_arbitrary_vectors_is_near_the_mean(spark):
-    found = values(rules.bulyan_pruned(frame(spark, around(0, 0.1, -0.1, 0.2, -0.2, 0.05, 0.15)), 1))
-    assert found == pytest.approx(BASE, abs=0.2)
+    for found in (rules.pairs(frame(spark, vectors), blocks=3), rules.pairs_by_kernel(frame(spark, vectors), 4)):
+        rows = found.collect()
+        assert len(rows) == len(a) and all(a[r.x, r.y] == pytest.approx(r.d) for r in rows)
+
+
+def list_pruned(vectors, f):
+    n, left, out = len(vectors), list(range(len(vectors))), []
+    near = {i: dict(sorted(((j, float(((vectors[i] - vectors[j]) ** 2).sum())) for j in range(n) if j != i), key=lambda x: (x[1], x[0]))[: n - f - 2]) for i in range(n)}
+    for k in range(n - 2 * f - 2):
+        score = {i: round(sum(d for j, d in near[i].items() if j in left), 9) for i in left}
+        order = sorted(left, key=lambda i: (score[i], i))
+        out.append(np.mean([vectors[i] for i in order[: max(1, min(n - f - 2 - k, len(order)))]], axis=0))
+        left.remove(order[0])
+    found = []
+    for column in np.array(out).T:
+        mid = sorted(column)[len(column) // 2]
+        found.append(np.mean(sorted(column, key=lambda v: round(abs(v - mid), 9))[: len(column) - 2 * f]))
+    return found
+
+
+def test_pruned_bulyan_against_lists(spark):
+    for seed, f, n in ((1, 1, 9), (2, 2, 12)):
+        vectors = list(np.random.default_rng(seed).normal(0, 1, (n, 4)).round(3))
+        assert values(rules.bulyan_pruned(frame(spark, vectors), f)) == pytest.approx(list_pruned(vectors, f))
 
 
 def test_attacks(spark):

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from steadfold.__main__ import options_of
 from steadfold.functions import losses
 from steadfold.functions.bounds import RuleError
 from steadfold.operators import experiment, networks, optimizers
@@ -175,3 +176,12 @@ def test_a_grid_reports_what_fails(spark, tmp_path):
     assert [(r.step, r.seeds) for r in found] == [(0, 2), (1, 2)]
     with pytest.raises(RuleError):
         experiment.checked(experiment.Options(real=5))
+
+
+def test_command_line():
+    paths, options = options_of("--train a --test b --results c --steps 7 --rule krum --rule-options m:2 --attack empire --attack-options factor:1.5 negative:true --privacy --clip none --rate 0.5".split())
+    assert (paths.train, paths.results, options.steps, options.rule_options, options.attack_options) == ("a", "c", 7, {"m": 2}, {"factor": 1.5, "negative": True})
+    assert options.privacy and options.clip is None and options.rate == 0.5 and options.workers == 11
+    for wrong in ("--rule none", "--steps x", "--real 9"):
+        with pytest.raises((RuleError, SystemExit)):
+            options_of(["--train", "a", "--test", "b", "--results", "c", *wrong.split()])
