@@ -56,3 +56,17 @@ def running(rows: DataFrame, sums: dict[str, str], *order: Column | str) -> Data
     for (name, column), base in zip(sums.items(), bases, strict=True):
         found = found.withColumn(name, F.col(base) + F.coalesce(F.sum(column).over(own), F.lit(0)))
     return found.drop(part, at, *bases)
+
+
+def within(rows: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``rows`` with their number from 0 among the rows that share all of ``keys``, however many these are.
+
+    Nulls are equal to each other.  Any of a group's rows may come first.
+    """
+    tie, rn, first, *own = unused([*rows.columns, name], "tie", "rn", "first", *(f"own_{k}" for k in keys))
+    placed = numbered(rows.withColumn(tie, F.monotonically_increasing_id()), *keys, tie, name=rn).drop(tie)
+    firsts = placed.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.min(rn).alias(first))
+    same = F.lit(True)
+    for k, o in zip(keys, own, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    return placed.join(firsts, same).withColumn(name, F.col(rn) - F.col(first)).drop(rn, first, *own)

@@ -6,6 +6,7 @@ import atexit
 import functools
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,9 +36,20 @@ def root(spark: SparkSession) -> str:
     return _own(spark.sparkContext.applicationId)
 
 
+_made = threading.local()
+
+
+def made() -> list[str]:
+    """The paths that this thread has named so far, for those that remove them."""
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
 def folder(spark: SparkSession, label: str = "steadfold") -> str:
     """A new path under the shared folder."""
-    return f"{root(spark)}/{label}-{uuid.uuid4().hex}"
+    made().append(f"{root(spark)}/{label}-{uuid.uuid4().hex}")
+    return made()[-1]
 
 
 def drop(spark: SparkSession, path: str) -> None:
