@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,19 +18,8 @@ NOT_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_made = threading.local()
-
-
-def made() -> list[str]:
-    """The paths that this thread has named so far."""
-    if not hasattr(_made, "paths"):
-        _made.paths = []
-    return _made.paths
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    made().append(scratch.folder(spark, label))
-    return made()[-1]
+made = scratch.made
+new_path = scratch.folder
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -16,10 +16,11 @@ source has one.  All draws are hashes of the documents, so reruns agree.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadfold.llm.common import materialize, text_key
+from steadfold.operators import prefix
 from steadfold.sources.names import unused
 
 #: Weights of the sources in code point order, repeating.
@@ -34,10 +35,22 @@ _FIELDS = ("doc_id", "key", "size", "rows", "whole", "source_size", "target", "d
 
 
 def n_words(text: Column) -> Column:
-    """How many runs of characters other than ASCII white space a text has; null has none."""
-    parts = F.split(text, r"[\x20\x09-\x0D]+")
-    ends = F.when(F.element_at(parts, 1) == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(parts) - ends).cast("long")
+    """How many runs of characters other than ASCII white space a text has; null has none.
+
+    Only borders are counted, by replacements, which search bytes: no pattern
+    is matched and no array of words is made.  A run of white space becomes one
+    opening and one closing mark, as those between two spaces cancel out.
+    """
+    spaces = F.coalesce(text.cast("string"), F.lit(""))
+    for other, plain in (("\x01", "x"), ("\x02", "x"), *((c, " ") for c in "\t\n\x0b\x0c\r"), (" ", "\x01\x02"), ("\x02\x01", "")):
+        spaces = F.replace(spaces, F.lit(other), F.lit(plain))
+
+    def count(marked: Column) -> Column:
+        runs = (F.octet_length(marked) - F.octet_length(F.replace(marked, F.lit("\x01\x02"), F.lit("")))) / 2
+        return F.when(marked == "", 0).otherwise(runs + 1 - marked.startswith("\x01").cast("int") - marked.endswith("\x02").cast("int")).cast("long")
+
+    # The text is marked once, as the only element of an array.
+    return F.transform(F.array(spaces), count)[0]
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -45,15 +58,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Ordered by size over weight, a source is full as soon as its share of what
     the fuller ones leave reaches its bound, so the water level is the largest
-    of these shares.  The windows have one row a source; null is the last one.
+    of these shares.  Ranks and sums are taken over ranges, so that sources may
+    be many; null is the last one.  No sources give no rows.
     """
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1))
-    order = Window.orderBy(F.expr(f"{most} * source_size / weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.col("source_size") * most).over(order), F.lit(0))
-    weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(order), F.lit(0))
-    level = ranked.withColumn("share", left / weight)
-    return level.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(most)), F.max("share").over(everything) * F.col("weight")).alias("target"))
+    ranked = prefix.numbered(sizes, F.col("source").asc_nulls_last(), name="rank")
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
+    ordered = prefix.running(ranked, {"full": "source_size", "heavier": "weight"}, F.expr(f"{most} * source_size / weight"), F.col("source").asc_nulls_last())
+    ordered = materialize(ordered, "shares")
+    whole = ordered.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    share = (F.lit(whole.size or 0) - F.col("full") * most) / (F.lit(whole.weight or 1) - F.col("heavier"))
+    level = ordered.agg(F.max(share)).first()[0]
+    return ordered.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(most)), F.lit(level or 0.0) * F.col("weight")).alias("target"))
 
 
 #: One pair.  acc: u (the fractional document), p (its copies), done.  x: the next document.
@@ -157,8 +172,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     one = found.where(F.col(rows) == 1)
     if not chosen.where(F.col(rows) > 1).isEmpty():
         # Rows that are alike share their copies out, the first ones one more.
-        many = found.where(F.col(rows) > 1).withColumn(n, F.row_number().over(Window.partitionBy("doc_id", "source", own).orderBy(rows)))
-        one = one.unionByName(many.withColumn(copies, F.expr(f"`{copies}` div `{rows}` + cast(`{n}` <= `{copies}` % `{rows}` as long)")).drop(n))
+        many = prefix.within(found.where(F.col(rows) > 1), n, "doc_id", "source", own)
+        one = one.unionByName(many.withColumn(copies, F.expr(f"`{copies}` div `{rows}` + cast(`{n}` < `{copies}` % `{rows}` as long)")).drop(n))
     return one.withColumn(n, F.explode(F.expr(f"array_repeat(0, cast(`{copies}` as int))"))).select(*docs.columns)
 
 
@@ -166,3 +181,20 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     each = rows.withColumn("n", F.explode(F.expr("sequence(1L, rows)"))).withColumn("copies", F.expr("copies div rows + cast(n <= copies % rows as long)"))
     return each.select("doc_id", "size", "source_size", "target", F.expr("size * copies").alias("taken"))
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's size and target."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = targets(docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
+    return found.withColumn("target", F.round("target", 3))
+
+
+_WEIGHTS = list(WEIGHTS)
+TARGETS_SQL = rf"""
+WITH s AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, ({_WEIGHTS})[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight FROM s),
+o AS (SELECT *, coalesce(sum({MOST} * source_size) OVER before, 0) AS done, coalesce(sum(weight) OVER before, 0) AS heavier, sum(source_size) OVER () AS size, sum(weight) OVER () AS whole
+  FROM w WINDOW before AS (ORDER BY {MOST} * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT source, source_size, round(least({MOST}.0::DOUBLE * source_size, (SELECT max((size - done) / (whole - heavier)) FROM o) * weight), 3) AS target FROM o
+"""

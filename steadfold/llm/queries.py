@@ -22,7 +22,7 @@ OPERATORS = {
     "line_dedup": "op10_line_dedup",
 }
 #: Further queries of an operator: module, query, the name of its SQL.
-MORE = (("quality_rules", "quality_ablation", "ABLATION_SQL"),)
+MORE = (("quality_rules", "quality_ablation", "ABLATION_SQL"), ("mixing", "mixing_targets", "TARGETS_SQL"))
 
 
 def _module(name: str) -> ModuleType:

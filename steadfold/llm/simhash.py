@@ -11,7 +11,10 @@ missed, unlike with random masks.
 Only distinct fingerprints are compared.  Within a bucket a breadth-first
 search emits the links of a spanning forest, never all pairs.  A bucket of over
 BUCKET fingerprints isn't gathered: its members are hashed again by masks over
-the bits that the bucket leaves free, which is exact for the same reason.
+the bits that the bucket leaves free, which is exact for the same reason.  Such
+a member becomes one row for each table at the next level, of which about half
+the bits that were free still are, so members of large buckets are 15 rows at
+each of at most six levels, and a bucket without free bits has one fingerprint.
 """
 
 from __future__ import annotations
