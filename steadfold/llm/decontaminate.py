@@ -84,17 +84,21 @@ def _hits(bits: np.ndarray, sizes: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            counts, hits = [], []
+            counts, ends, places, widths, shingles = [], [0], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 words = words_of(text)
-                hashes, here = _hashes(words), []
+                hashes = _hashes(words)
                 for k in sizes:
                     found = np.flatnonzero(is_set(bits, _places(_shingle_hashes(hashes, k), cells)))
-                    here += [{"pos": p, "k": k, "shingle": b" ".join(words[p : p + k]).decode()} for p in found.tolist()]
+                    places.append(found.astype(np.int32))
+                    widths.append(np.full(len(found), k, np.int32))
+                    shingles.append(pa.array([b" ".join(words[p : p + k]) for p in found.tolist()], pa.binary()).cast(pa.string()))
                 counts.append(len(words))
-                hits.append(here)
-            kind = pa.list_(pa.struct([("pos", pa.int32()), ("k", pa.int32()), ("shingle", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
+                ends.append(ends[-1] + sum(map(len, places[len(places) - len(sizes) :])))
+            flat = [pa.array(np.concatenate(x) if x else [], pa.int32()) for x in (places, widths)]
+            flat.append(pa.concat_arrays(shingles) if shingles else pa.array([], pa.string()))
+            hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["pos", "k", "shingle"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), hits], ["doc_id", "n_words", "hits"])
 
     return run
 
