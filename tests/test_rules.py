@@ -279,6 +279,13 @@ def test_wide_rows_keep_their_places(spark, adaptive):
             spark.conf.set(k, v)
 
 
+def test_numbers_within_groups(spark):
+    rows = spark.range(1000).selectExpr("if(id < 900, null, id % 3) AS a", "cast(id < 900 AS string) AS b", "id AS n")
+    found = prefix.within(rows, "n", "a", "b").groupBy("a", "b").agg(F.count("*").alias("k"), F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
+    assert sorted((r.k, r.d, r.lo, r.hi) for r in found) == [(33, 33, 0, 32), (33, 33, 0, 32), (34, 34, 0, 33), (900, 900, 0, 899)]
+    assert prefix.within(rows.limit(0), "k", "a").count() == 0
+
+
 def test_training_learns_in_spite_of_attackers(spark):
     random = np.random.default_rng(4)
     x = random.normal(0, 1, (1100, 2))
