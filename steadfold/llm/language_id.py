@@ -133,8 +133,8 @@ def fit(docs: DataFrame) -> Network | None:
 
     Learns from rows with a text and a language that aren't held out, of every
     language at most DOCUMENTS, and so many that all are about SAMPLE, chosen
-    by a hash of the doc_id and the text, and from WINDOWS windows of each at
-    places drawn by a hash.  Windows are cut on the executors, so long texts
+    by a hash of the doc_id and the text, repeated rows once, and from WINDOWS
+    windows of each at places drawn by a hash.  Windows are cut on the executors, so long texts
     don't come here; one count for each language does.
     """
     known = docs.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -148,7 +148,7 @@ def fit(docs: DataFrame) -> Network | None:
     body = F.col("text").cast("binary")
     places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(body, (F.pmod(F.xxhash64("doc_id", k), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1).cast("long")) + 1).cast("int"), F.lit(WINDOW)))
     chosen = known.where(F.pmod(draw, F.lit(1 << 20)) < try_share(share) * (1 << 20)).select("lang", draw.alias("draw"), F.when(F.octet_length("text") <= WINDOW, F.array(body)).otherwise(places).alias("parts"))
-    rows = sorted((r.lang, r.draw, [bytes(p) for p in r.parts]) for r in chosen.orderBy("draw").limit(max(2 * most, 24) * len(counts)).collect())
+    rows = sorted((r.lang, r.draw, [bytes(p) for p in r.parts]) for r in chosen.dropDuplicates(["lang", "draw"]).orderBy("draw").limit(max(2 * most, 24) * len(counts)).collect())
     taken: dict[str, int] = {}
     parts, labels = [], []
     for lang, _, found in rows:
