@@ -58,8 +58,8 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text, F.isnull(text))
 
 
-def bits_for(entries: int, least: int = 20, most: int = 28) -> int:
-    """The size of a bit map, as a power of two, that has 16 cells or more for each entry; within bounds of 128 KB and 32 MB.
+def bits_for(entries: int, least: int = 24, most: int = 28) -> int:
+    """The size of a bit map, as a power of two, that has 16 cells or more for each entry; within bounds of 2 MB and 32 MB.
 
     Beyond the upper bound more cells are set by chance: more rows go on than
     need to, and none is lost.
