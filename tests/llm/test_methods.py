@@ -61,17 +61,18 @@ def test_components(spark):
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_covering_masks_miss_no_pair():
-    masks = simhash.covering_masks(3, 0)
-    assert len(masks) == 15
+@pytest.mark.parametrize("radius", [3, 5])
+def test_covering_masks_miss_no_pair(radius):
+    masks = simhash.covering_masks(radius, 0)
+    assert len(masks) == 2 ** (radius + 1) - 1
     random.seed(1)
     for _ in range(3000):
-        bits = sum(1 << b for b in random.sample(range(64), random.randint(1, 3)))
+        bits = sum(1 << b for b in random.sample(range(64), random.randint(1, radius)))
         assert any(bits & m == 0 for m in masks)
 
 
-@pytest.mark.parametrize("bucket", [2048, 40])
-def test_links_are_those_of_all_pairs(spark, bucket):
+@pytest.mark.parametrize(("bucket", "radius"), [(2048, 3), (40, 3), (12, 3), (60, 5)])
+def test_links_are_those_of_all_pairs(spark, bucket, radius):
     """Also where buckets are so large that they are hashed anew."""
     random.seed(2)
     centre = random.getrandbits(64)
@@ -82,12 +83,12 @@ def test_links_are_those_of_all_pairs(spark, bucket):
     groups = Groups(len(fps))
     for i, a in enumerate(fps):
         for j in range(i):
-            if ((a ^ fps[j]) & (1 << 64) - 1).bit_count() <= 3:
+            if ((a ^ fps[j]) & (1 << 64) - 1).bit_count() <= radius:
                 groups.join(i, j)
-    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), bucket=bucket).collect()
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), radius, bucket).collect()
     at, found = {f: i for i, f in enumerate(fps)}, Groups(len(fps))
     for a, b in links:
-        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
+        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= radius
         found.join(at[a], at[b])
     assert [found.find(i) for i in range(len(fps))] == [groups.find(i) for i in range(len(fps))]
 
@@ -131,6 +132,13 @@ def test_pieces_have_the_ids_of_whole_texts():
         assert np.frombuffer(ids, "<u2").tolist() == loaded.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_are_counted_by_their_borders(spark):
+    random.seed(13)
+    texts = [None, "", " ", "a", " a", "a ", "\x01\x02", "\x02 \x01", "a\x01\x02b c", "\u00a0 \u2003x"] + ["".join(random.choice("ab\x01\x02 \t\n\x0b\x0c\ré中\u00a0\x1c") for _ in range(random.randrange(40))) for _ in range(500)]
+    found = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", mixing.n_words(F.col("text")).alias("n")).collect()
+    assert {r.i: r.n for r in found} == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
+
+
 def test_targets_are_reshared(spark):
     sizes = {"a": 10, "b": 1000, "c": 5, "d": 300, None: 40, "e": 0}
     found = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
@@ -171,6 +179,54 @@ def test_mixture_meets_targets_and_expectations(spark):
     assert sorted(map(tuple, plan)) == sorted(map(tuple, mixing.plan(docs.repartition(7), 3, block=16).collect()))
 
 
+def test_fold_against_a_loop(spark, monkeypatch):
+    """One tier and one block for each source, folded pair by pair with the same draws."""
+    monkeypatch.setattr(mixing, "TIERS", ())
+    monkeypatch.setattr(mixing, "_TIER", "0")
+    random.seed(12)
+    rows = [(i, " ".join(["w"] * random.choice([3, 5, 5, 8, 13])), "ab"[i % 3 > 0]) for i in range(150)] + [(7, "w w w w w", "a"), (7, "w w w w w", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.plan(docs, 3, block=10**6).withColumn("draw", F.xxhash64(F.lit(3), "doc_id", "key")).collect()
+
+    def hashed(*values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else v.to_bytes(8, "little", signed=True), h)
+        return (h & (1 << 52) - 1) / (1 << 52)
+
+    for source in "ab":
+        units, expected = [], {}
+        for r in found:
+            if r.source == source:
+                rate = r.rows * r.target / r.source_size
+                rate = round(rate) if abs(rate - round(rate)) < 1e-9 else rate
+                expected[r.doc_id, r.key] = int(rate)
+                if rate > int(rate):
+                    units.append((-r.size, r.draw, r.key, r.doc_id, rate - int(rate)))
+        now = None
+        for size, draw, key, ident, p in sorted(units):
+            x = (-size, draw, key, ident, p)
+            if now is None:
+                now = x
+                continue
+            s, d, k, i, q = now
+            a, b = min((1 - q) * s, p * x[0]), min(q * s, (1 - p) * x[0])
+            if hashed(d, draw, k, key) * (a + b) < b:
+                if (1 - q) * s <= p * x[0]:
+                    expected[i, k] += 1
+                    now = (*x[:4], p - a / x[0])
+                else:
+                    now = (s, d, k, i, q + a / s)
+            elif q * s <= (1 - p) * x[0]:
+                now = (*x[:4], p + b / x[0])
+            else:
+                now = (s, d, k, i, q - b / s)
+                expected[ident, key] += 1
+        if now:
+            expected[now[3], now[2]] += hashed(now[2], now[1], b"last") < now[4]
+        assert {(r.doc_id, r.key): r.copies for r in found if r.source == source} == expected
+
+
 def test_ledger_ablation(spark):
     words = ["".join(chr(97 + int(c)) for c in str(k)) + "ing" for k in range(30)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["short", " ".join(words), " ".join(f"### {w}" for w in words), "### a"])], "doc_id long, text string")
@@ -237,12 +293,14 @@ def test_lines_against_all_pairs(docs):
     assert found == {d: sorted(v) for d, v in expected.items()}
 
 
-def test_large_buckets_of_lines(spark, monkeypatch):
-    """Blocks of a bucket, compared pair by pair, find the same components."""
-    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+@pytest.mark.parametrize(("block", "large", "loss"), [(8, 2048, 0.03), (8, 20, 0.03), (8, 20, 0.12), (4, 3, 0.3)])
+def test_large_buckets_of_lines(spark, monkeypatch, block, large, loss):
+    """Blocks of a bucket, compared pair by pair, and pivots with prefixes of what they leave over, find the same components."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "LARGE", large)
     random.seed(9)
     base = [f"token{k}" for k in range(40)]
-    rows = [(i, " ".join(w if random.random() > 0.03 else "other" for w in base)) for i in range(80)]
+    rows = [(i, " ".join(w if random.random() > loss else f"other{random.randrange(9)}" for w in base)) for i in range(80)]
     found = {r.doc_id: r.removed for r in line_dedup.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sets = [line_dedup.shingle_sets([t])[0] for _, t in rows]
     groups = Groups(len(rows))
@@ -253,6 +311,30 @@ def test_large_buckets_of_lines(spark, monkeypatch):
     assert found == {i: [] if groups.find(i) == i else [0] for i, _ in rows}
 
 
+def test_pivots_and_prefixes_lose_no_link(spark, monkeypatch):
+    """One bucket with all lines, so that links depend on pivots and prefixes alone."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+    random.seed(10)
+    base = [f"token{k}" for k in range(30)]
+    lines = sorted({" ".join(w if random.random() > loss else f"x{random.randrange(6)}" for w in base) for loss in (0.02, 0.06, 0.1, 0.5) for _ in range(40)})
+    keys = [line_dedup.line_key(x) for x in lines]
+    members = spark.createDataFrame([(key, k) for key in (2, 4) for k in keys], "key long, line binary")
+    bodies = spark.createDataFrame(list(zip(keys, lines, strict=True)), "line binary, body string")
+    links, tasks = line_dedup.large_links(members, bodies)
+    compared = tasks.join(bodies, "line").select("low", "key", "i", "j", "line", "body").repartition("low", "i", "j").sortWithinPartitions("low", "key", "i", "j", "line").mapInArrow(line_dedup._compared, "a binary, b binary")
+    sets, groups, plain = line_dedup.shingle_sets(lines), Groups(len(lines)), Groups(len(lines))
+    at = {k: i for i, k in enumerate(keys)}
+    for a, b in links.union(compared).collect():
+        assert line_dedup.alike(len(np.intersect1d(sets[at[bytes(a)]], sets[at[bytes(b)]])), len(sets[at[bytes(a)]]), len(sets[at[bytes(b)]]))
+        groups.join(at[bytes(a)], at[bytes(b)])
+    for i in range(len(lines)):
+        for j in range(i):
+            if line_dedup.alike(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j])):
+                plain.join(i, j)
+    assert [groups.find(i) for i in range(len(lines))] == [plain.find(i) for i in range(len(lines))]
+    assert len({plain.find(i) for i in range(len(lines))}) > 20
+
+
 def test_intervals(spark):
     changes = spark.sql("SELECT * FROM VALUES ('l', 'E.com', 'remove', 0), ('l', 'e.com', 'add', 1), ('l', 'e.com', 'add', 2), ('l', 'e.com', 'remove', 3), ('l', 'e.com', 'remove', 4), ('l', 'e.com', 'add', 4) AS t(list, entry, action, at)")
     assert sorted(map(tuple, url_filter.validity(changes).collect())) == [("l", "e.com", 1, 3), ("l", "e.com", 4, None)]
@@ -286,7 +368,7 @@ def test_pipeline_against_its_stages(spark, docs):
     net = language_id.fit(docs)
     known = {r.doc_id for r in language_id.predictions(docs, net).where(f"lang_pred <> 'und' AND score >= {language_id.LEAST_SCORE}").collect()}
     kept = docs.where(F.col("doc_id").isin(list(known)))
-    first = {r.component_id for r in simhash.near_duplicates(kept).collect()}
+    first = {r.component_id for r in simhash.near_duplicates(kept, corpus_pipeline.RADIUS).collect()}
     kept = kept.where(F.col("doc_id").isin(list(first)))
     clean = {r.doc_id for r in decontaminate.contamination(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit = 0").collect()}
     kept = kept.where(F.col("doc_id").isin(list(clean)))
