@@ -475,6 +475,13 @@ def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(byte).alias("pos", "byte"))
 
 
+@query("flip_images", f"SELECT vec_id, unnest(range(64))::INT AS pos, unnest(list_transform(flatten(list_transform(range(8), lambda k: list_reverse(embedding[k * 8 + 1 : k * 8 + 8]))), lambda v: {R('v::DOUBLE')})) AS val FROM embeddings")
+def flip_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as images of eight by eight places, left side right."""
+    x = images.flipped(F.col("embedding").cast("array<double>"), 8)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(x).alias("pos", "val")).withColumn("val", rounded(F.col("val")))
+
+
 @query("image_files", "SELECT vec_id, 13 + 64 AS n_bytes, list_sum(list_transform(embedding, lambda v: floor((v::DOUBLE - lo) / (hi - lo) * 255)::INT))::BIGINT AS total FROM (SELECT vec_id, embedding, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings)")
 def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as grey images of eight by eight places: their files' sizes, and the sums of their places."""

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def pnm(values: np.ndarray, width: int, bits: bool = False) -> bytes:
@@ -32,3 +33,14 @@ def images(rows: DataFrame, width: int, bits: bool = False) -> DataFrame:
             yield pd.DataFrame({"id": part["id"], "image": [pnm(x, width, bits) for x in part["x"]]})
 
     return rows.select("id", "x").mapInPandas(run, f"id {dict(rows.dtypes)['id']}, image binary")
+
+
+def flipped(x: Column, width: int) -> Column:
+    """An image of rows of ``width`` values, left side right."""
+    rows = F.transform(F.sequence(F.lit(0), (F.size(x) / width).cast("int") - 1), lambda k: F.reverse(F.slice(x, k * width + 1, F.lit(width))))
+    return F.when(F.size(x) >= width, F.flatten(rows)).otherwise(x)
+
+
+def flipped_at_random(x: Column, width: int, *key: Column | str, seed: int = 0) -> Column:
+    """Half of the images flipped, chosen by a hash of ``key`` and a seed, so that reruns agree."""
+    return F.when(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(2)) == 1, flipped(x, width)).otherwise(x)

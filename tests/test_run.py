@@ -131,6 +131,12 @@ def test_checkpoints_guard_what_is_there(spark, tmp_path):
     assert store.a + store["b"] == 3 and not hasattr(store, "c")
 
 
+def test_flips(spark):
+    rows = spark.range(200).select("id", F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0, 5.0, 6.0))).alias("x"))
+    found = [r.x for r in rows.select(images.flipped_at_random(F.col("x"), 3, "id").alias("x")).collect()]
+    assert 60 < sum(x == [3, 2, 1, 6, 5, 4] for x in found) < 140 and all(x in ([3, 2, 1, 6, 5, 4], [1, 2, 3, 4, 5, 6]) for x in found)
+
+
 def test_images():
     assert images.pnm(np.array([0.0, 1.0, 0.5, 0.25]), 2) == b"P5\n2 2\n255\n" + bytes([0, 255, 127, 63])
     assert images.pnm(np.array([0.0, 1.0] * 5), 10, bits=True) == b"P4\n10 1\n" + bytes([0b01010101, 0b01000000])
