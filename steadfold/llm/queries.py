@@ -20,6 +20,7 @@ OPERATORS = {
     "toxicity": "op8_toxicity",
     "decontaminate": "op9_decontaminate",
     "line_dedup": "op10_line_dedup",
+    "fill_middle": "op12_fill_middle",
 }
 #: Further queries of an operator: module, query, the name of its SQL.
 MORE = (("quality_rules", "quality_ablation", "ABLATION_SQL"), ("mixing", "mixing_targets", "TARGETS_SQL"))
