@@ -21,6 +21,7 @@ OPERATORS = {
     "decontaminate": "op9_decontaminate",
     "line_dedup": "op10_line_dedup",
     "fill_middle": "op12_fill_middle",
+    "centroids": "op13_centroids",
 }
 #: Further queries of an operator: module, query, the name of its SQL.
 MORE = (("quality_rules", "quality_ablation", "ABLATION_SQL"), ("mixing", "mixing_targets", "TARGETS_SQL"))
