@@ -20,6 +20,7 @@ OPERATORS = {
     "toxicity": "op8_toxicity",
     "decontaminate": "op9_decontaminate",
     "line_dedup": "op10_line_dedup",
+    "personal_data": "op11_personal_data",
     "fill_middle": "op12_fill_middle",
     "centroids": "op13_centroids",
 }
