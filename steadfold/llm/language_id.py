@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from steadfold.llm.common import in_slices
+from steadfold.llm.common import in_slices, materialize
 from steadfold.sources.names import unused
 
 UNKNOWN = "und"
@@ -128,39 +128,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+#: Draws are whole numbers below this.
+_DRAWS = 1 << 53
+
+
+def sample(docs: DataFrame) -> DataFrame:
+    """lang, draw and parts (windows of bytes) of the rows that are learned from; of every language one at least.
+
+    Rows that are alike in doc_id and text share their draw, so shares are taken
+    from how many different draws a language has, about, and never leave out
+    its smallest one.  What the shares let through is cut exactly, language by
+    language.
+    """
+    known = docs.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    drawn = known.select("lang", "doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit("sample"), "text"), F.lit(_DRAWS)).alias("draw"))
+    counts = drawn.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n"), F.min("draw").alias("least"))
+    counts = materialize(counts, "languages")
+    most = max(1, min(DOCUMENTS, SAMPLE // max(1, counts.count())))
+    # Languages of few rows take all of them; of the others about half as many again as are needed, twelve at least.
+    bound = F.greatest("least", (F.least(F.lit(1.0), F.lit(max(1.5 * most, 12.0)) / F.col("n")) * _DRAWS).cast("long"))
+    body = F.col("text").cast("binary")
+    places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(body, (F.pmod(F.xxhash64("doc_id", k), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1).cast("long")) + 1).cast("int"), F.lit(WINDOW)))
+    chosen = drawn.join(counts.select(F.col("lang").alias("of"), bound.alias("bound")), F.col("lang") == F.col("of")).where("draw <= bound")
+    once = chosen.select("lang", "draw", F.when(F.octet_length("text") <= WINDOW, F.array(body)).otherwise(places).alias("parts")).groupBy("lang", "draw").agg(F.min("parts").alias("parts"))
+    return once.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("nth") <= most).select("lang", "draw", "parts")
+
+
 def fit(docs: DataFrame) -> Network | None:
     """The network of ``docs`` (doc_id, text, lang), or None where there is nothing to learn from.
 
     Learns from rows with a text and a language that aren't held out, of every
     language at most DOCUMENTS, and so many that all are about SAMPLE, chosen
     by a hash of the doc_id and the text, repeated rows once, and from WINDOWS
-    windows of each at places drawn by a hash.  Windows are cut on the executors, so long texts
-    don't come here; one count for each language does.
+    windows of each at places drawn by a hash.  However many rows are alike, no
+    language is left out.  Windows are cut on the executors, so long texts
+    don't come here.
     """
-    known = docs.where(F.col("text").isNotNull() & (F.length("text") > 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().collect()
-    if not counts:
-        return None
-    most = max(1, min(DOCUMENTS, SAMPLE // len(counts)))
-    # Languages of few rows take all of them; of the others about half as many again as are needed, twelve at least.
-    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, max(1.5 * most, 12) / n))))
-    draw = F.xxhash64("doc_id", F.lit("sample"), "text")
-    body = F.col("text").cast("binary")
-    places = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda k: F.substring(body, (F.pmod(F.xxhash64("doc_id", k), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1).cast("long")) + 1).cast("int"), F.lit(WINDOW)))
-    chosen = known.where(F.pmod(draw, F.lit(1 << 20)) < try_share(share) * (1 << 20)).select("lang", draw.alias("draw"), F.when(F.octet_length("text") <= WINDOW, F.array(body)).otherwise(places).alias("parts"))
-    rows = sorted((r.lang, r.draw, [bytes(p) for p in r.parts]) for r in chosen.dropDuplicates(["lang", "draw"]).orderBy("draw").limit(max(2 * most, 24) * len(counts)).collect())
-    taken: dict[str, int] = {}
-    parts, labels = [], []
-    for lang, _, found in rows:
-        taken[lang] = taken.get(lang, 0) + 1
-        if taken[lang] <= most:
-            parts += found
-            labels += [lang] * len(found)
-    return train(parts, labels)
-
-
-def try_share(share: Column) -> Column:
-    return F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))
+    rows = sorted((r.lang, r.draw, [bytes(p) for p in r.parts]) for r in sample(docs).collect())
+    return train([p for _, _, parts in rows for p in parts], [lang for lang, _, parts in rows for _ in parts])
 
 
 def predict(net: Network | None, texts: list[bytes | None], letters: list[bool]) -> tuple[list[str], list[float]]:

@@ -42,7 +42,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_queries_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     expected = con.sql(queries.oracle_sql()[name])
     found = queries.queries()[name](spark, SF).select(*expected.columns)
