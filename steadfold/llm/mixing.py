@@ -177,10 +177,27 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     return one.withColumn(n, F.explode(F.expr(f"array_repeat(0, cast(`{copies}` as int))"))).select(*docs.columns)
 
 
+#: Rows of a unit that are made from one piece of it.
+PIECE = 1 << 16
+
+
+def shared(rows: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A plan's rows as one row for each of the documents, with its own copies: the first ones have one more.
+
+    A unit of very many equal rows is cut into pieces, which are dealt to all
+    tasks, so that no task makes the rows of more than some pieces.
+    """
+    one = rows.where("rows = 1")
+    many = rows.where("rows > 1").withColumn("piece", F.explode(F.expr(f"sequence(0L, (rows - 1) div {piece})")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = many.repartition(tasks, F.xxhash64("source", "doc_id", "key", "piece"))
+    each = many.withColumn("n", F.explode(F.expr(f"sequence(piece * {piece}, least(rows, (piece + 1) * {piece}) - 1)")))
+    return one.unionByName(each.withColumn("copies", F.expr("copies div rows + cast(n < copies % rows as long)")).drop("piece", "n"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    each = rows.withColumn("n", F.explode(F.expr("sequence(1L, rows)"))).withColumn("copies", F.expr("copies div rows + cast(n <= copies % rows as long)"))
-    return each.select("doc_id", "size", "source_size", "target", F.expr("size * copies").alias("taken"))
+    rows = shared(plan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return rows.select("doc_id", "size", "source_size", "target", F.expr("size * copies").alias("taken"))
 
 
 def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
