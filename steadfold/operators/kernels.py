@@ -5,7 +5,6 @@ They give what the rules of the same names give: see tests.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -59,15 +58,24 @@ def bulyan(g: np.ndarray, f: int) -> np.ndarray:
 
 
 def brute(g: np.ndarray, f: int) -> np.ndarray:
-    """NaN where every subset has a distance that isn't finite; subsets are judged some thousands at a time."""
-    d, best, chosen = distances(g), np.inf, None
+    """NaN where every subset has a distance that isn't finite; either of the two rows farthest apart goes, f levels deep."""
+    d, n = distances(g).round(DIGITS), len(g)
     np.fill_diagonal(d, 0)
-    every = itertools.combinations(range(len(g)), len(g) - f)
-    while len(rows := np.array(list(itertools.islice(every, 4096)))):
-        widest = d[rows[:, :, None], rows[:, None, :]].max(axis=(1, 2)).round(DIGITS)
-        if widest.min() < best:
-            best, chosen = widest.min(), rows[widest.argmin()]
-    return g[chosen].mean(axis=0) if chosen is not None else np.full(g.shape[1], np.nan)
+    level: set[tuple[int, ...]] = {()}
+    best: tuple[float, list[int]] | None = None
+    for k in range(f + 1):
+        below = set()
+        for gone in level:
+            left = [i for i in range(n) if i not in gone]
+            kept = left[: n - f]
+            now = (float(d[np.ix_(kept, kept)].max()), kept)
+            if np.isfinite(now[0]) and (best is None or now < best):
+                best = now
+            if k < f:
+                x, y = np.unravel_index(d[np.ix_(left, left)].argmax(), (len(left), len(left)))
+                below |= {tuple(sorted((*gone, left[x]))), tuple(sorted((*gone, left[y])))}
+        level = below
+    return g[best[1]].mean(axis=0) if best else np.full(g.shape[1], np.nan)
 
 
 KERNELS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {"average": average, "median": median, "krum": krum, "bulyan": bulyan, "brute": brute}

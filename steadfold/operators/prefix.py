@@ -70,3 +70,21 @@ def within(rows: DataFrame, name: str, *keys: str) -> DataFrame:
     for k, o in zip(keys, own, strict=True):
         same = same & F.col(k).eqNullSafe(F.col(o))
     return placed.join(firsts, same).withColumn(name, F.col(rn) - F.col(first)).drop(rn, first, *own)
+
+
+#: Copies of a row that are made from one piece of it.
+PIECE = 1 << 16
+
+
+def multiplied(rows: DataFrame, times: Column, name: str, piece: int = PIECE) -> DataFrame:
+    """``rows``, each as often as ``times`` says, with the copy's number from 0 under ``name``; none where that is 0 or null.
+
+    A row is cut into pieces of so many copies, and these are dealt to all
+    tasks, so that one row with very many copies isn't one task's.
+    """
+    often, part = unused([*rows.columns, name], "often", "part")
+    counted = rows.withColumn(often, times.cast("long")).where(F.col(often) > 0)
+    pieces = counted.withColumn(part, F.explode(F.expr(f"sequence(0L, (`{often}` - 1) div {piece})")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(tasks, F.xxhash64(*rows.columns, part))
+    return dealt.withColumn(name, F.explode(F.expr(f"sequence(`{part}` * {piece}, least(`{often}`, (`{part}` + 1) * {piece}) - 1)"))).drop(often, part)

@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from steadfold.functions import bounds
-from steadfold.functions.vectors import INF, NAN, finite_or_inf, squared_distance
+from steadfold.functions.combinations import choose, members
+from steadfold.functions.vectors import INF, NAN, finite_or_inf, squared_distance, total
+from steadfold.operators import prefix, selection
 
 #: Digits that scores and diameters are ranked by: sums of the same numbers in another order must tie.
 DIGITS = 9
@@ -55,8 +57,14 @@ def lower_median(val: Column) -> Column:
     return F.when(F.max(F.isnan(val)), F.lit(NAN)).otherwise(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {val._jc.toString()})"))
 
 
-def median(rows: DataFrame, variant: str = "lower") -> DataFrame:
-    """Coordinate-wise median.  ``lower``: the lower one, NaN if any value is.  ``finite``: the upper one of finite values, 0 if there is none."""
+def median(rows: DataFrame, variant: str = "lower", by_bits: bool = False) -> DataFrame:
+    """Coordinate-wise median.  ``lower``: the lower one, NaN if any value is.  ``finite``: the upper one of finite values, 0 if there is none.
+
+    With ``by_bits`` no task holds a coordinate's values: they are narrowed down
+    in rounds of counts, for steps of very many workers.
+    """
+    if by_bits:
+        return _median_by_bits(rows, variant)
     coords = long_form(rows).groupBy("step", "pos")
     if variant == "lower":
         return coords.agg(lower_median(F.col("val")).alias("val"))
@@ -64,24 +72,42 @@ def median(rows: DataFrame, variant: str = "lower") -> DataFrame:
     return coords.agg(values.alias("v")).select("step", "pos", F.coalesce(F.get("v", (F.size("v") / 2).cast("int")), F.lit(0.0)).alias("val"))
 
 
-def pairs(rows: DataFrame, squared: bool = False, blocks: int = 1) -> DataFrame:
+def _median_by_bits(rows: DataFrame, variant: str) -> DataFrame:
+    finite = ~F.isnan("val") & (F.abs("val") < INF)
+    used = F.when(finite, F.col("val")) if variant == "finite" else F.col("val")
+    rank = F.floor(F.col("n") / 2) if variant == "finite" else F.floor((F.col("n") - 1) / 2)
+    found = selection.nth(long_form(rows).withColumn("val", used), "val", rank, "step", "pos")
+    val = F.coalesce("val", F.lit(0.0)) if variant == "finite" else F.when(F.col("any_nan"), F.lit(NAN)).otherwise(F.col("val"))
+    return found.select("step", "pos", val.alias("val"))
+
+
+def pairs(rows: DataFrame, squared: bool = False, blocks: int = 1, parts: int = 1) -> DataFrame:
     """(step, x, y, d) for x < y: the distance, infinity where it isn't finite.
 
     Without ``blocks`` a step is one key of the join.  With them its workers
     are dealt into so many blocks by a hash, each pair of blocks is a key, and
     each vector is copied as often as there are blocks: for steps of very many
-    workers.
+    workers.  With ``parts`` vectors are cut into so many parts, which are keys
+    as well; a pair's sums of squares by part are added in their order: for very
+    long vectors.
     """
     a = rows.select("step", F.col("worker").alias("x"), F.col("g").alias("gx"))
     b = rows.select("step", F.col("worker").alias("y"), F.col("g").alias("gy"))
     keys = ["step"]
+    if parts > 1:
+        keys.append("part")
+        cut = lambda g: F.posexplode(F.transform(F.expr(f"sequence(0, {parts - 1})"), lambda k: F.slice(g, (k * F.ceil(F.size(g) / parts) + 1).cast("int"), F.ceil(F.size(g) / parts).cast("int"))))
+        a, b = a.select("step", "x", cut("gx").alias("part", "gx")), b.select("step", "y", cut("gy").alias("part", "gy"))
     if blocks > 1:
         keys += ["bx", "by"]
         every = F.explode(F.expr(f"sequence(0L, {blocks - 1}L)"))
         a = a.withColumn("bx", F.pmod(F.xxhash64("x"), F.lit(blocks))).withColumn("by", every)
         b = b.withColumn("by", F.pmod(F.xxhash64("y"), F.lit(blocks))).withColumn("bx", every)
-    d = squared_distance(F.col("gx"), F.col("gy"))
-    return a.join(b, keys).where("x < y").select("step", "x", "y", finite_or_inf(d if squared else F.sqrt(d)).alias("d"))
+    d, joined = squared_distance(F.col("gx"), F.col("gy")), a.join(b, keys).where("x < y")
+    if parts > 1:
+        sums = joined.select("step", "x", "y", F.struct("part", d.alias("s")).alias("s")).groupBy("step", "x", "y").agg(F.array_sort(F.collect_list("s")).alias("s"))
+        d, joined = total(F.transform("s", lambda v: v["s"])), sums
+    return joined.select("step", "x", "y", finite_or_inf(d if squared else F.sqrt(d)).alias("d"))
 
 
 def pairs_by_kernel(rows: DataFrame, blocks: int = 1) -> DataFrame:
@@ -108,9 +134,9 @@ def pairs_by_kernel(rows: DataFrame, blocks: int = 1) -> DataFrame:
     return dealt.groupBy("step", "i", "j").applyInPandas(distances, f"step {kinds['step']}, x {kinds['worker']}, y {kinds['worker']}, d double")
 
 
-def neighbour_scores(rows: DataFrame, count: Callable[[Column], Column], squared: bool = False) -> DataFrame:
+def neighbour_scores(rows: DataFrame, count: Callable[[Column], Column], squared: bool = False, blocks: int = 1, parts: int = 1) -> DataFrame:
     """(step, worker, score, n, rank): the sum of the ``count(n)`` smallest distances to others; ranks from 1."""
-    near = pairs(rows, squared)
+    near = pairs(rows, squared, blocks, parts)
     both = near.select("step", F.explode(F.array(F.struct(F.col("x").alias("i"), F.col("y").alias("j")), F.struct(F.col("y").alias("i"), F.col("x").alias("j")))).alias("p"), "d").select("step", "p.i", "p.j", "d")
     own = Window.partitionBy("step", "i")
     ranked = both.withColumn("r", F.row_number().over(own.orderBy("d", "j"))).withColumn("n", F.count("*").over(own) + 1)
@@ -118,123 +144,148 @@ def neighbour_scores(rows: DataFrame, count: Callable[[Column], Column], squared
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("step").orderBy(F.round("score", DIGITS), "worker")))
 
 
-def krum_selection(rows: DataFrame, f: int, m: int | None = None, variant: str = "plain") -> DataFrame:
+def krum_selection(rows: DataFrame, f: int, m: int | None = None, variant: str = "plain", blocks: int = 1, parts: int = 1) -> DataFrame:
     """(step, worker, score, rank) of the m workers with the lowest scores; m is n - f - 2 if it isn't given.
 
     ``plain`` sums n - f - 1 distances, ``squared`` n - f - 2 squared ones.
+    ``blocks`` and ``parts`` spread a step over tasks, see ``pairs``.
     """
     squared = variant == "squared"
-    scores = neighbour_scores(rows, lambda n: n - f - (2 if squared else 1), squared)
+    scores = neighbour_scores(rows, lambda n: n - f - (2 if squared else 1), squared, blocks, parts)
     return scores.where(F.col("rank") <= (F.lit(m) if m else F.col("n") - f - 2)).select("step", "worker", "score", "rank")
 
 
-def krum(rows: DataFrame, f: int, m: int | None = None, variant: str = "plain") -> DataFrame:
+def krum(rows: DataFrame, f: int, m: int | None = None, variant: str = "plain", blocks: int = 1, parts: int = 1) -> DataFrame:
     """Multi-krum: the mean of the selected vectors."""
-    chosen = krum_selection(rows, f, m, variant).select("step", "worker")
+    chosen = krum_selection(rows, f, m, variant, blocks, parts).select("step", "worker")
     return average(rows.join(chosen, ["step", "worker"], "left_semi"))
 
 
-def bulyan_candidates(rows: DataFrame, f: int, m: int | None = None) -> DataFrame:
+def bulyan_candidates(rows: DataFrame, f: int, m: int | None = None, blocks: int = 1, parts: int = 1) -> DataFrame:
     """(step, i, pos, val): averages of sliding windows of the ranking, i from 0 to n - 2f - 3.
 
     Scores sum the m smallest distances.  Window i has ranks from i on, min(m, n - f - 2 - i) of them.
     """
     size = lambda n: F.lit(m) if m else n - f - 2
-    scores = neighbour_scores(rows, size)
+    scores = neighbour_scores(rows, size, blocks=blocks, parts=parts)
     i = F.explode(F.expr(f"sequence(0, cast(n as int) - {2 * f} - 3)"))
     windows = scores.select("step", "worker", "rank", "n", i.alias("i")).where((F.col("rank") > F.col("i")) & (F.col("rank") <= F.col("i") + F.least(size(F.col("n")), F.col("n") - f - 2 - F.col("i"))))
     vectors = windows.select("step", "worker", "i").join(rows.select("step", "worker", "g"), ["step", "worker"])
     return vectors.select("step", "i", F.posexplode("g").alias("pos", "val")).groupBy("step", "i", "pos").agg(F.avg("val").alias("val"))
 
 
-def averaged_median(rows: DataFrame, drop: int) -> DataFrame:
-    """(step, i, pos, val) -> (step, pos, val): the mean of the values closest to the lower median, all but ``drop`` of them.
+def averaged_median(rows: DataFrame, drop: int, upper: bool = False) -> DataFrame:
+    """(step, i, pos, val) -> (step, pos, val): the mean of the values closest to the lower median (or the upper one), all but ``drop`` of them.
 
     Of values equally close the one with the smaller i is taken first.  A
     coordinate's values are one array, so they are aggregated once and the rest
     is done within the row.
     """
     values = rows.groupBy("step", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "val"))).alias("v"))
-    middle = F.expr("if(exists(v, x -> isnan(x.val)), double('NaN'), array_sort(transform(v, x -> x.val))[cast((size(v) - 1) / 2 as int)])")
+    middle = F.expr(f"if(exists(v, x -> isnan(x.val)), double('NaN'), array_sort(transform(v, x -> x.val))[cast((size(v) - {0 if upper else 1}) / 2 as int)])")
     near = F.expr(f"slice(array_sort(transform(v, x -> struct(round(abs(x.val - mid), {DIGITS}) AS gap, x.i AS i, x.val AS val))), 1, greatest(size(v) - {drop}, 0))")
     kept = values.withColumn("mid", middle).select("step", "pos", near.alias("near")).where("size(near) > 0")
     return kept.select("step", "pos", (F.aggregate("near", F.lit(0.0), lambda s, x: s + x["val"]) / F.size("near")).alias("val"))
 
 
-def bulyan(rows: DataFrame, f: int, m: int | None = None) -> DataFrame:
+def bulyan(rows: DataFrame, f: int, m: int | None = None, blocks: int = 1, parts: int = 1) -> DataFrame:
     """Selection by neighbour scores, then a trimmed mean around the median of each coordinate."""
-    return averaged_median(bulyan_candidates(rows, f, m), 2 * f)
+    return averaged_median(bulyan_candidates(rows, f, m, blocks, parts), 2 * f)
 
 
-def bulyan_pruned(rows: DataFrame, f: int, m: int | None = None) -> DataFrame:
-    """The variant whose scores forget each selected worker: sequential, so each step is one pandas group.
+def pruned_picks(rows: DataFrame, f: int, m: int | None = None, blocks: int = 1, parts: int = 1) -> DataFrame:
+    """(step, i, worker): the workers of each round of the rule whose scores forget each selected worker.
 
-    Squared distances; a worker's score is the sum over its n - f - 2 closest;
-    of the averages the n - 4f - 2 closest to the upper median are averaged.
+    A worker's score is the sum of its squared distances to its n - f - 2
+    closest.  The scores of a step are the state of a fold: round i takes the
+    workers with the lowest ones, max(1, m - i) of them if so many are left, and
+    then removes the first of them from the scores that it is part of.
     """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("worker")
-        g = np.stack(part["g"].to_numpy())
-        n = len(g)
-        bounds.check("bulyan", n, f, m)
-        most, t = m or n - f - 2, n - 2 * f - 2
-        d = ((g[:, None] - g[None]) ** 2).sum(axis=2)
-        d = np.where(np.isfinite(d), d, np.inf)
-        np.fill_diagonal(d, np.inf)
-        counted = np.zeros((n, n), bool)
-        for i, order in enumerate(np.argsort(d, axis=1, kind="stable")):
-            counted[i, order[: n - f - 2]] = True
-        scores = np.where(counted, d, 0).sum(axis=1)
-        left, picked = list(range(n)), []
-        for k in range(t):
-            order = sorted(left, key=lambda i: (round(scores[i], DIGITS), i))
-            picked.append(g[order[: max(1, min(most - k, len(order)))]].mean(axis=0))
-            gone = order[0]
-            left.remove(gone)
-            for i in left:
-                if counted[i, gone]:
-                    scores[i] -= d[i, gone]
-        found = np.stack(picked)
-        mid = np.sort(found, axis=0)[t // 2]
-        close = np.argsort(np.abs(found - mid).round(DIGITS), axis=0, kind="stable")[: t - 2 * f]
-        val = np.take_along_axis(found, close, axis=0).mean(axis=0)
-        return pd.DataFrame({"step": part["step"].iloc[0], "pos": np.arange(len(val), dtype=np.int32), "val": val})
-
-    return rows.select("step", "worker", "g").groupBy("step").applyInPandas(run, f"step {dict(rows.dtypes)['step']}, pos int, val double")
+    near = pairs(rows, True, blocks, parts)
+    both = near.select("step", "x", "y", "d").unionByName(near.select("step", F.col("y").alias("x"), F.col("x").alias("y"), "d"))
+    own = Window.partitionBy("step", "x")
+    ranked = both.withColumn("r", F.row_number().over(own.orderBy("d", "y"))).withColumn("n", F.count("*").over(own) + 1).where(F.col("r") <= F.col("n") - f - 2)
+    each = ranked.groupBy("step", F.col("x").alias("worker")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("r", F.col("y").alias("j"), "d"))).alias("near"))
+    table = each.groupBy("step").agg(F.max("n").alias("n"), F.collect_list(F.struct("worker", F.expr("aggregate(near, 0D, (s, e) -> s + e.d)").alias("score"), "near")).alias("left"))
+    kinds = dict(each.dtypes)
+    left = f"array<struct<worker: {kinds['worker']}, score: double, near: {kinds['near']}>>"
+    state = f"struct<left: {left}, picks: array<array<{kinds['worker']}>>>"
+    most = m or f"(n - {f} - 2)"
+    fold = f"""aggregate(sequence(0, cast(n as int) - {2 * f} - 3), cast(named_struct('left', left, 'picks', array()) as {state}), (acc, i) ->
+      transform(array(array_sort(transform(acc.left, x -> struct(round(x.score, {DIGITS}) AS key, x.worker AS worker, x.score AS score, x.near AS near)))), o -> cast(named_struct(
+        'left', transform(slice(o, 2, size(o)), x -> struct(x.worker, x.score - coalesce(get(filter(x.near, e -> e.j = o[0].worker), 0).d, 0D) AS score, x.near)),
+        'picks', array_append(acc.picks, transform(slice(o, 1, cast(greatest(1, {most} - i) as int)), x -> x.worker))) as {state}))[0]).picks"""
+    return table.select("step", F.posexplode(F.expr(fold)).alias("i", "picked")).select("step", "i", F.explode("picked").alias("worker"))
+
+
+def bulyan_pruned(rows: DataFrame, f: int, m: int | None = None, blocks: int = 1, parts: int = 1) -> DataFrame:
+    """The variant whose scores forget each selected worker: of the rounds' averages the n - 4f - 2 closest to the upper median are averaged.
+
+    The distances of a step are one row, whose rounds are a fold; all else is keyed by coordinate.
+    """
+    vectors = pruned_picks(rows, f, m, blocks, parts).join(rows.select("step", "worker", "g"), ["step", "worker"])
+    picked = vectors.select("step", "i", F.posexplode("g").alias("pos", "val")).groupBy("step", "i", "pos").agg(F.avg("val").alias("val"))
+    return averaged_median(picked, 2 * f, upper=True)
 
 
 def subsets(sizes: DataFrame, f: int) -> DataFrame:
-    """(n) -> (n, bits): each choice of n - f of n workers as a mask of their places."""
-    every = sizes.select("n", F.explode(F.expr("sequence(0L, shiftleft(1L, cast(n as int)) - 1)")).alias("bits"))
-    return every.where(F.bit_count("bits") == F.col("n") - f)
+    """Rows with ``n`` -> with ``i`` and ``at``: each choice of n - f of n places, from 0, in order, with its rank i.
+
+    A choice is made from its rank alone, so no row knows the others, and a row
+    with very many choices is dealt to all tasks.
+    """
+    k = F.col("n").cast("int") - f
+    every = prefix.multiplied(sizes.where(k >= 0), choose(F.col("n").cast("int"), k), "i")
+    return every.withColumn("at", members(F.col("n").cast("int"), k, F.col("i")))
 
 
-def brute_selection(rows: DataFrame, f: int, variant: str = "plain") -> DataFrame:
+def subset_diameters(rows: DataFrame, f: int, variant: str = "plain") -> DataFrame:
+    """(step, i, workers, diameter) of every subset of n - f workers, exponentially many: what ``brute_selection`` is the minimum of."""
+    sizes = rows.groupBy("step").agg(F.sort_array(F.collect_list("worker")).alias("ids")).withColumn("n", F.size("ids"))
+    near = pairs(rows, variant == "squared").groupBy("step").agg(F.collect_list(F.struct("x", "y", "d")).alias("pairs"))
+    each = subsets(sizes.join(near, "step", "left"), f).withColumn("workers", F.expr("transform(at, k -> ids[k])"))
+    widest = F.expr("aggregate(filter(pairs, p -> array_contains(workers, p.x) AND array_contains(workers, p.y)), 0D, (s, p) -> greatest(s, p.d))")
+    return each.select("step", "i", "workers", widest.alias("diameter"))
+
+
+def brute_selection(rows: DataFrame, f: int, variant: str = "plain", blocks: int = 1, parts: int = 1) -> DataFrame:
     """(step, workers, diameter): the first of the subsets of n - f workers whose largest distance is smallest.
 
     ``squared`` takes squared distances, as ``krum`` does.
 
     The order of subsets is that of their sorted worker numbers.  Subsets with
     a distance that isn't finite are left out; a step without another gives no
-    row.  The number of subsets grows exponentially with the workers of a step.
+    row.
+
+    Subsets aren't listed.  Whatever is narrower than a set must lack one of the
+    two workers that are farthest apart in it, so a tree that removes either of
+    them, f levels deep, has every candidate: 2^(f+1) - 1 nodes a step.  A node
+    that has removed fewer than f removes the largest workers, which gives the
+    first of the subsets under it.  Only the f (n - 1) + 1 largest distances of
+    a step are looked at, as f workers are part of no more than f (n - 1).
     """
-    sizes = rows.groupBy("step").agg(F.sort_array(F.collect_list("worker")).alias("ids")).withColumn("n", F.size("ids"))
-    place = sizes.select("step", F.posexplode("ids").alias("at", "worker"))
-    near = pairs(rows, variant == "squared").join(place.select("step", F.col("worker").alias("x"), F.col("at").alias("ax")), ["step", "x"]).join(place.select("step", F.col("worker").alias("y"), F.col("at").alias("ay")), ["step", "y"])
-    table = near.groupBy("step").agg(F.collect_list(F.struct(F.expr("shiftleft(1L, ax) | shiftleft(1L, ay)").alias("both"), "d")).alias("pairs"))
-    # The pairs of a step are one array, so a subset is judged within its row.
-    choices = subsets(sizes.select("n").distinct(), f)
-    each = sizes.join(table, "step").join(choices, "n")
-    each = each.withColumn("diameter", F.expr("array_max(transform(filter(pairs, p -> (p.both & bits) = p.both), p -> p.d))")).where(F.col("diameter") < INF)
-    each = each.withColumn("workers", F.expr("filter(ids, (w, i) -> (shiftright(bits, i) & 1) = 1)"))
-    best = each.groupBy("step").agg(F.min(F.struct(F.round("diameter", DIGITS).alias("key"), "workers", "diameter")).alias("b"))
+    sizes = rows.groupBy("step").agg(F.sort_array(F.collect_list("worker")).alias("ids"))
+    near = pairs(rows, variant == "squared", blocks, parts).withColumn("key", F.round("d", DIGITS))
+    far = near.withColumn("r", F.row_number().over(Window.partitionBy("step").orderBy(F.desc("key"), "x", "y"))).join(sizes.select("step", F.size("ids").alias("n")), "step").where(F.col("r") <= f * (F.col("n") - 1) + 1)
+    edges = far.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("r", "key", "d", "x", "y"))).alias("far"))
+    kind = dict(rows.dtypes)["worker"]
+    clear = "filter(far, e -> NOT array_contains({gone}, e.x) AND NOT array_contains({gone}, e.y))"
+    # Nodes as the sets of what they have removed, level by level: those of the level, and all so far.
+    level = f"""flatten(transform(acc.now, gone -> transform(slice({clear.format(gone="gone")}, 1, 1), e -> array(array_append(gone, e.x), array_append(gone, e.y)))))"""
+    state = f"struct<now: array<array<{kind}>>, every: array<array<{kind}>>>"
+    root = f"cast(array(array()) as array<array<{kind}>>)"
+    tree = f"aggregate(sequence(1, {f}), named_struct('now', {root}, 'every', {root}), (acc, k) -> transform(array(flatten({level})), now -> cast(named_struct('now', now, 'every', concat(acc.every, now)) as {state}))[0]).every" if f else root
+    nodes = sizes.join(edges, "step").select("step", "ids", "far", F.explode(F.expr(tree)).alias("gone"))
+    kept = nodes.withColumn("workers", F.expr(f"slice(filter(ids, w -> NOT array_contains(gone, w)), 1, size(ids) - {f})"))
+    inside = "filter(far, e -> array_contains(workers, e.x) AND array_contains(workers, e.y))"
+    judged = kept.select("step", "workers", F.expr(f"aggregate({inside}, cast(null as double), (s, e) -> greatest(s, e.d))").alias("diameter")).where(F.col("diameter") < INF)
+    best = judged.groupBy("step").agg(F.min(F.struct(F.round("diameter", DIGITS).alias("key"), "workers", "diameter")).alias("b"))
     return best.select("step", "b.workers", "b.diameter")
 
 
-def brute(rows: DataFrame, f: int, variant: str = "plain") -> DataFrame:
+def brute(rows: DataFrame, f: int, variant: str = "plain", blocks: int = 1, parts: int = 1) -> DataFrame:
     """Minimum-diameter averaging: the mean of the selected subset."""
-    chosen = brute_selection(rows, f, variant).select("step", F.explode("workers").alias("worker"))
+    chosen = brute_selection(rows, f, variant, blocks, parts).select("step", F.explode("workers").alias("worker"))
     return average(rows.join(chosen, ["step", "worker"], "left_semi"))
 
 
@@ -254,11 +305,44 @@ RULES: dict[str, Callable[[DataFrame, int], DataFrame]] = {
 }
 
 
-def register(name: str, rule: Callable[[DataFrame, int], DataFrame]) -> None:
-    """Add a rule of one's own; a name that is taken is refused."""
+#: What a rule selects, (step, worker), for those that average some of the vectors; None where it takes all.
+SELECTIONS: dict[str, Callable[[DataFrame, int], DataFrame] | None] = {
+    "average": None,
+    "krum": krum_selection,
+    "brute": lambda rows, f, **options: brute_selection(rows, f, **options).select("step", F.explode("workers").alias("worker")),
+}
+
+
+def register(name: str, rule: Callable[[DataFrame, int], DataFrame], check: Callable[[int, int, int | None], str | None] | None = None, bound: Callable[[Column, Column], Column] | None = None, selection: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+    """Add a rule of one's own; a name that is taken is refused.
+
+    ``check`` takes (n, f, m) and says what is wrong with them, or nothing;
+    ``bound`` makes a column of n and f; ``selection`` gives the (step, worker)
+    that the rule averages, from which its influence follows.
+    """
     if name in RULES:
         raise bounds.RuleError(f"there is a rule named {name} already")
-    RULES[name] = rule
+    RULES[name], bounds.CHECKS[name] = rule, check
+    if bound:
+        bounds.BOUNDS[name] = bound
+    if selection:
+        SELECTIONS[name] = selection
+
+
+def unregister(name: str) -> None:
+    """Take a rule of one's own away again."""
+    if name not in bounds.CHECKS:
+        raise bounds.RuleError(f"{name} was not registered")
+    for known in (RULES, bounds.CHECKS, bounds.BOUNDS, SELECTIONS):
+        known.pop(name, None)
+
+
+def influence_of(rows: DataFrame, rule: str, f: int, **options: object) -> DataFrame:
+    """(step, influence) of a rule by name; one that doesn't average some of the vectors has none."""
+    if rule not in SELECTIONS:
+        raise bounds.RuleError(f"{rule} has no influence")
+    select = SELECTIONS[rule]
+    return influence(rows, select(rows, f, **options) if select else None)
 
 
 def aggregate(rows: DataFrame, rule: str, f: int = 0, checked: bool = True, **options: object) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Where a search begins, its first step, by how much steps grow and shrink, and its evaluations.
@@ -90,3 +90,18 @@ def judged_columns() -> dict[str, Column]:
         "stride": F.col("stride") * F.when(growing, F.lit(GROWTH)).otherwise(F.lit(SHRINKAGE)),
         "growing": growing,
     }
+
+
+def maxima(rows: DataFrame, of: Callable[[Column], Column], evaluations: int = EVALUATIONS) -> DataFrame:
+    """``rows`` with ``best``, the place found for ``of``, a column made of a trial's place and of columns of ``rows``.
+
+    Every row has a search of its own, and all trials are in one plan, without a shuffle.
+    """
+    helpers = {*State._fields, "trial", "value"}
+    if helpers & set(rows.columns):
+        raise ValueError(f"columns of a search can't be named {', '.join(sorted(helpers & set(rows.columns)))}")
+    state = rows.withColumn("value", of(F.lit(ORIGIN))).withColumns(first_columns())
+    for _ in range(evaluations - 1):
+        tried = state.withColumn("trial", place_column())
+        state = tried.withColumn("value", of(F.col("trial"))).withColumns(judged_columns())
+    return state.select(*rows.columns, "best")

@@ -68,6 +68,13 @@ def privacy_sigma(clip: float, batch: int, epsilon: float, delta: float) -> floa
     return 2 * clip / batch * math.sqrt(2 * math.log(1.25 / delta)) / epsilon
 
 
+def privacy_deviation(clip: float, batch: Column, epsilon: Column, delta: float) -> Column:
+    """The same for batches and epsilons of a table; null where an epsilon isn't within 0 and 1."""
+    if not 0 < delta < 1:
+        raise RuleError("delta must be within 0 and 1")
+    return F.when((epsilon > 0) & (epsilon < 1), 2 * clip / batch * math.sqrt(2 * math.log(1.25 / delta)) / epsilon)
+
+
 def with_noise(rows: DataFrame, sigma: float, seed: int) -> DataFrame:
     """Gaussian noise on every coordinate, drawn from hashes, so that a task that runs again draws the same."""
     uniform = lambda i, salt: (F.pmod(F.xxhash64("step", "worker", i, F.lit(seed), F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from steadfold.functions import losses
-from steadfold.functions.bounds import BOUNDS, bound
+from steadfold.functions.bounds import bound
 from steadfold.functions.vectors import clipped, flattened, l1_norm, norm, rounded, sigmoid, unflattened
 from steadfold.operators import attacks, experiment, metrics, networks, optimizers, prefix, rules, search, training
 from steadfold.plans import data
@@ -55,6 +55,31 @@ query("gar_brute", f"WITH {data.attacked(None, 4)}, {data.rule('brute', 4)} {RES
 query("gar_brute_squared", f"WITH {data.attacked(None, 4)}, {data.rule('brute_squared', 4)} {RESULT}")(lambda s, d: result(rules.aggregate(cohorts(s, d, 4), "brute", 4, variant="squared")))
 query("gar_bulyan_pruned", f"WITH {data.attacked(None, 2)}, {data.pruned(2, 12)} {RESULT}")(lambda s, d: result(rules.bulyan_pruned(cohorts(s, d, 2), 2)))
 
+query("krum_blocks", f"WITH {data.attacked(None, 4)}, {data.rule('krum', 4)} {RESULT}")(lambda s, d: result(rules.krum(cohorts(s, d, 4), 4, blocks=2, parts=3)))
+query("bulyan_blocks", f"WITH {data.attacked('little', 2)}, {data.rule('bulyan', 2)} {RESULT}")(lambda s, d: result(rules.bulyan(attacks.with_attack(cohorts(s, d, 2), "little", 2, factor=1.5), 2, blocks=3, parts=2)))
+query("brute_blocks", f"WITH {data.attacked(None, 4)}, {data.rule('brute', 4)} {RESULT}")(lambda s, d: result(rules.brute(cohorts(s, d, 4), 4, blocks=2, parts=5)))
+
+ONE_STEP = "vectors AS (SELECT 0 AS step, vec_id AS worker, embedding::DOUBLE[] AS g, false AS is_byz FROM embeddings)"
+
+
+@query("krum_one_step", f"WITH {ONE_STEP}, {data.scores('n - 51')} SELECT step, worker, {R('score')} AS score, rank::INT AS rank FROM scores WHERE rank <= n - 52")
+def krum_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as one step, whose distances are spread over blocks of workers and parts of vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("step"), F.col("vec_id").alias("worker"), F.col("embedding").cast("array<double>").alias("g"))
+    return rules.krum_selection(rows, 50, blocks=4, parts=4).withColumn("score", rounded(F.col("score")))
+
+
+PRICES = "coords AS (SELECT 0 AS step, unnest(range(3))::INT AS pos, unnest([l_extendedprice, l_quantity, l_discount]) AS val FROM lineitem)"
+
+
+def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of lineitem as one step of very many workers."""
+    return table(spark, sf_dir, "lineitem").select(F.lit(0).alias("step"), F.col("l_orderkey").alias("worker"), F.array("l_extendedprice", "l_quantity", "l_discount").alias("g"))
+
+
+query("median_by_bits", f"WITH {PRICES} SELECT step, pos, {R('quantile_disc(val, 0.5)')} AS val FROM coords GROUP BY step, pos")(lambda s, d: result(rules.median(priced(s, d), by_bits=True)))
+query("median_finite_by_bits", f"WITH {PRICES} SELECT step, pos, {R('list_sort(list(val))[count(*) // 2 + 1]')} AS val FROM coords GROUP BY step, pos")(lambda s, d: result(rules.median(priced(s, d), "finite", by_bits=True)))
+
 FINITE = "result AS (SELECT step, pos, coalesce(v[len(v) // 2 + 1], 0) AS val FROM (SELECT step, pos, coalesce(list_sort(list(val) FILTER (isfinite(val))), []) AS v FROM coords GROUP BY step, pos))"
 query("gar_median_finite", f"WITH {data.attacked('nan', 3)}, {data.coords()}, {FINITE} {RESULT}")(lambda s, d: result(rules.median(attacks.with_attack(cohorts(s, d, 3), "nan", 3), "finite")))
 
@@ -104,24 +129,53 @@ share("influence_average", ", picked AS (SELECT * FROM vectors)", lambda rows: N
 share("influence_krum", f", {data.scores('n - 5')}, picked AS (SELECT v.* FROM vectors v JOIN scores s USING (step, worker) WHERE s.rank <= n - 6)", lambda rows: rules.krum_selection(rows, 4))
 share("influence_brute", f", {data.brute(4)}, picked AS (SELECT v.* FROM vectors v JOIN chosen USING (step) WHERE list_contains(workers, worker))", lambda rows: rules.brute_selection(rows, 4).select("step", F.explode("workers").alias("worker")))
 
+LABELLED = "vectors AS (SELECT label AS step, vec_id AS worker, embedding::DOUBLE[] AS g, false AS is_byz FROM embeddings)"
+LARGE_BRUTE = f"""WITH {LABELLED}, {data.pairs()},
+far AS MATERIALIZED (SELECT step, x, y, d FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY d DESC) AS r, count(*) OVER (PARTITION BY step) AS c FROM pairs) WHERE r <= 2 * sqrt(2 * c) + 3),
+gone AS (SELECT a.step, a.worker AS u, b.worker AS w FROM vectors a JOIN vectors b ON a.step = b.step AND a.worker < b.worker),
+each AS (SELECT g.step, u, w, max(round(d, 9)) AS diameter FROM gone g JOIN far p ON p.step = g.step AND x <> u AND x <> w AND y <> u AND y <> w GROUP BY g.step, u, w),
+chosen AS (SELECT step, u, w, diameter FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY diameter, u DESC, w DESC) AS r FROM each) WHERE r = 1)
+SELECT v.step, worker, {R('diameter')} AS diameter FROM vectors v JOIN chosen c ON c.step = v.step AND worker <> u AND worker <> w"""
+
+
+@query("brute_large_steps", LARGE_BRUTE)
+def brute_large_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a label's embeddings, too many to list all subsets of; which workers stay without the two that are farthest out."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("step"), F.col("vec_id").alias("worker"), F.col("embedding").cast("array<double>").alias("g"))
+    found = rules.brute_selection(rows, 2, blocks=2)
+    return found.select("step", F.explode("workers").alias("worker"), rounded(F.col("diameter")).alias("diameter"))
+
+
+SUBSETS = f"""WITH {data.attacked(None, 0)}, {data.pairs()}, counts AS (SELECT step, count(*)::BIGINT AS n FROM vectors GROUP BY step),
+masks AS (SELECT n, list_filter(range(n), lambda w: (bits >> w) & 1 = 1) AS l, bits FROM (SELECT n, unnest(range(1 << n)) AS bits FROM (SELECT DISTINCT n FROM counts)) WHERE bit_count(bits) = n - 3),
+ranked AS (SELECT n, bits, l, row_number() OVER (PARTITION BY n ORDER BY l) - 1 AS i FROM masks)"""
+
+
 NEIGHBOURS = "(n - f + f * (n + f * (n - f - 2) - 2) / (n - 2 * f - 2))"
 BOUND_SQL = {"median": "1 / sqrt(n - f)", "krum": f"1 / sqrt(2 * {NEIGHBOURS})", "bulyan": f"1 / sqrt(2 * {NEIGHBOURS})", "brute": "(n - f) / (sqrt(8) * f)"}
-GRID = "grid AS (SELECT n::DOUBLE AS n, unnest(range(1, (n - 3) // 4 + 1))::DOUBLE AS f FROM (SELECT unnest(range(7, 52)) AS n))"
+GRID = "grid AS (SELECT label, c::DOUBLE AS n, unnest(range(1, (c - 3) // 4 + 1))::DOUBLE AS f FROM (SELECT label, count(*) AS c FROM embeddings GROUP BY label))"
 
 
-@query("bounds", f"WITH {GRID} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, n::BIGINT AS n, f::BIGINT AS f, {R(v)} AS bound FROM grid" for k, v in BOUND_SQL.items()))
+@query("bounds", f"WITH {GRID} " + " UNION ALL ".join(f"SELECT label, '{k}' AS rule, n::BIGINT AS n, f::BIGINT AS f, {R(v)} AS bound FROM grid" for k, v in BOUND_SQL.items()))
 def bounds_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(7, 52).select(F.col("id").alias("n"), F.explode(F.expr("sequence(1L, (id - 3) div 4)")).alias("f"))
-    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), rounded(bound(r, F.col("n"), F.col("f"))).alias("bound")) for r in BOUNDS)))
-    return grid.select("n", "f", each.alias("b")).select("b.rule", "n", "f", "b.bound")
+    """Of steps of a label's embeddings each: the bounds of all rules for every f that they allow."""
+    sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    grid = sizes.select("label", "n", F.explode(F.expr("sequence(1L, (n - 3) div 4)")).alias("f"))
+    each = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), rounded(bound(r, F.col("n"), F.col("f"))).alias("bound")) for r in BOUND_SQL)))
+    return grid.select("label", "n", "f", each.alias("b")).select("label", "b.rule", "n", "f", "b.bound")
 
 
-@query("combinations", "SELECT n, i - 1 AS i, members FROM (SELECT n, row_number() OVER (PARTITION BY n ORDER BY l) AS i, array_to_string(l, ',') AS members FROM (SELECT n, list_filter(range(n), lambda w: (bits >> w) & 1 = 1) AS l FROM (SELECT n, unnest(range(1 << n)) AS bits FROM (SELECT unnest(range(4, 13)) AS n)) WHERE bit_count(bits) = n - 3))")
+@query("combinations", f"{SUBSETS} SELECT step, i, array_to_string(l, ',') AS members FROM counts JOIN ranked USING (n)")
 def combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = rules.subsets(spark.range(4, 13).withColumnRenamed("id", "n"), 3)
-    members = F.expr("filter(sequence(0L, n - 1), w -> (shiftright(bits, cast(w as int)) & 1) = 1)")
-    order = Window.partitionBy("n").orderBy("l")
-    return every.select("n", members.alias("l")).select("n", (F.row_number().over(order) - 1).cast("long").alias("i"), F.array_join("l", ",").alias("members"))
+    """Every choice of all but three places of each step's workers, by its rank."""
+    every = rules.subsets(cohorts(spark, sf_dir).groupBy("step").agg(F.count("*").alias("n")), 3)
+    return every.select("step", "i", F.array_join(F.col("at").cast("array<string>"), ",").alias("members"))
+
+
+@query("subset_diameters", f"{SUBSETS} SELECT step, i, {R('max(d)')} AS diameter FROM counts JOIN ranked USING (n) JOIN pairs USING (step) WHERE (bits >> x) & 1 = 1 AND (bits >> y) & 1 = 1 GROUP BY step, i")
+def subset_diameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What minimum-diameter averaging takes the smallest of, for all subsets."""
+    return rules.subset_diameters(cohorts(spark, sf_dir), 3).select("step", "i", rounded(F.col("diameter")).alias("diameter"))
 
 
 # Attacks
@@ -144,19 +198,15 @@ for _rule in ("average", "median", "krum", "bulyan", "brute"):
 query("attack_searched", data.searched("empire", "krum", 3, 8, f"SELECT m.step, (k + i)::INT AS worker, pos, {R('avg + best * way')} AS val FROM ways m JOIN {{last}} USING (step) JOIN counted USING (step), range(3) AS r(i)"))(lambda s, d: made(attacks.with_attack(cohorts(s, d, 3), "empire", 3, factor=-8, defence="krum")))
 query("attack_auto_rounds", data.searched("bulyan_all", "median", 3, 6, f"SELECT step, -({R('best')}) AS factor, {R('top')} AS gain FROM {{last}}", -1))(lambda s, d: (a := attacks.auto_in_rounds(cohorts(s, d, 3).where("NOT is_byz"), "bulyan", 3, 3, "median", 6, True, "all")).select("step", *(rounded(a[c]).alias(c) for c in ("factor", "gain"))))
 
-TOPS = "SELECT n_nationkey AS step, n_nationkey * 0.37::DOUBLE + 0.1::DOUBLE AS t FROM nation"
+TOPS = "SELECT s_suppkey AS step, abs(s_acctbal) / 100 AS t FROM supplier"
 
 
-@query("line_maximize", "WITH RECURSIVE " + data.search(f"tops AS ({TOPS})", "SELECT step, -(trial - t) * (trial - t) AS value FROM {trials} JOIN tops USING (step)", "tops", 40, f"SELECT step AS nation, {R('t')} AS top, {R('best')} AS found FROM {{last}} JOIN tops USING (step)"))
+@query("line_maximize", "WITH RECURSIVE " + data.search(f"tops AS ({TOPS})", "SELECT step, -(trial - t) * (trial - t) AS value FROM {trials} JOIN tops USING (step)", "tops", 24, f"SELECT step AS supplier, {R('t')} AS top, {R('best')} AS found FROM {{last}} JOIN tops USING (step)"))
 def line_maximize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search on parabolas, one for each nation: the places found come near the tops."""
-
-    def found(parts):
-        for part in parts:
-            yield part.assign(found=[search.maximum(lambda x, t=t: -((x - t) ** 2), 40) for t in part["top"]])
-
-    tops = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), (F.col("n_nationkey") * F.lit(0.37) + F.lit(0.1)).alias("top"))
-    return tops.mapInPandas(found, "nation int, top double, found double").select("nation", rounded(F.col("top")).alias("top"), rounded(F.col("found")).alias("found"))
+    """The search on parabolas, one for each supplier, all in columns: the places found come near the tops."""
+    tops = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), (F.abs("s_acctbal") / 100).alias("at"))
+    found = search.maxima(tops, lambda trial: -(trial - F.col("at")) * (trial - F.col("at")), 24)
+    return found.select("supplier", rounded(F.col("at")).alias("top"), rounded(F.col("best")).alias("found"))
 
 
 # Rules against attacks
@@ -182,9 +232,11 @@ def batch_test_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(500).select(F.col("id").alias("batch"), training.test_cursor(table(spark, sf_dir, "customer").count(), 100, F.col("id")).alias("start"))
 
 
-@query("cycle_batches", "SELECT b AS batch, b % 40 AS source FROM (SELECT unnest(range(300)) AS b)")
+@query("cycle_batches", "SELECT event_id AS batch, event_id % ((n + 99) // 100) AS source FROM events, (SELECT count(*) AS n FROM customer)")
 def cycle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(300).select(F.col("id").alias("batch"), training.source_batch(F.col("id"), 40).alias("source"))
+    """Which batch of 100 customers each event takes, if events take them one after another."""
+    batches_ = -(-table(spark, sf_dir, "customer").count() // 100)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("batch"), training.source_batch(F.col("event_id"), batches_).alias("source"))
 
 
 @query("train_test_split", "SELECT c_custkey, CASE WHEN rn < least(greatest(1, floor(n * 0.8)), n - 1) THEN 'train' ELSE 'test' END AS part FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS rn, count(*) OVER () AS n FROM customer)")
@@ -224,10 +276,15 @@ def gradient_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.long_form(rows).withColumn("val", rounded(F.col("val")))
 
 
-@query("privacy_sigma", f"SELECT e / 10.0 AS epsilon, b AS batch, {R('2 * 5.0 / b * sqrt(2 * ln(1.25 / 0.5)) / (e / 10.0)')} AS sigma FROM (SELECT unnest(range(1, 10))::DOUBLE AS e), (SELECT unnest([10, 25, 50, 100, 250, 500])::BIGINT AS b)")
+SIGMA = R("2 * 5.0::DOUBLE / batch * sqrt(2 * ln(1.25::DOUBLE / 0.5::DOUBLE)) / epsilon")
+
+
+@query("privacy_sigma", f"WITH {data.SAMPLES}, sizes AS (SELECT step, worker, count(*) AS batch FROM samples GROUP BY step, worker) SELECT step, worker, epsilon, batch, {SIGMA} AS sigma FROM sizes, (SELECT unnest([0.1, 0.2, 0.5])::DOUBLE AS epsilon)")
 def privacy_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(e / 10.0, b, round(training.privacy_sigma(5.0, b, e / 10.0, 0.5), 6)) for e, b in product(range(1, 10), (10, 25, 50, 100, 250, 500))]
-    return spark.createDataFrame(rows, "epsilon double, batch long, sigma double")
+    """The deviation of the noise on each worker's gradient, whose batch is all of its samples of a step."""
+    sizes = samples(spark, sf_dir).groupBy("step", "worker").agg(F.count("*").alias("batch"))
+    each = sizes.withColumn("epsilon", F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.5)))))
+    return each.withColumn("sigma", rounded(training.privacy_deviation(5.0, F.col("batch"), F.col("epsilon"), 0.5)))
 
 
 @query("privacy_noise")
@@ -237,9 +294,11 @@ def privacy_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.long_form(training.with_noise(rows, 0.5, 1)).groupBy("step").agg(F.avg("val").alias("mean"), F.stddev_samp("val").alias("dev"))
 
 
-@query("lr_schedule", f"SELECT step, {R('0.01 / (step // 50 * 50 / 500.0::DOUBLE + 1)')} AS lr FROM (SELECT unnest(range(3000)) AS step)")
+@query("lr_schedule", f"SELECT step, {R('0.01 / (step // 50 * 50 / 500.0::DOUBLE + 1)')} AS lr, n FROM (SELECT o_orderkey // 11 AS step, count(*) AS n FROM orders GROUP BY ALL)")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(3000).select(F.col("id").alias("step"), rounded(training.learning_rate(F.col("id"), 0.01, 500, 50)).alias("lr"))
+    """The rate at each step, if eleven orders are a step."""
+    steps = table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 11").alias("step")).agg(F.count("*").alias("n"))
+    return steps.withColumn("lr", rounded(training.learning_rate(F.col("step"), 0.01, 500, 50)))
 
 
 @query("sgd_step", f"WITH {data.attacked(None, 0)}, {data.rule('average', 0)} SELECT step, pos, {R('0.01 * pos - 0.05 * (0.9 * 0.02 * pos + val + 0.001 * 0.01 * pos)')} AS val FROM result")
@@ -533,12 +592,13 @@ def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bin", rounded(F.col("lo")).alias("lo"), rounded(F.col("hi")).alias("hi"), "n")
 
 
-@query("experiment_grid", "SELECT d[1] AS gar, d[2] AS attack, epsilon, batch, seed FROM (SELECT unnest([['average', 'nan'], ['krum', 'little'], ['brute', 'empire']]) AS d), (SELECT unnest([0.0, 0.1, 0.2, 0.5])::DOUBLE AS epsilon), (SELECT unnest([10, 25, 50, 100, 250, 500]) AS batch), (SELECT unnest(range(1, 6))::INT AS seed)")
+@query("experiment_grid", "SELECT DISTINCT event_type AS name, user_id % 5 AS seed, d[1] AS gar, d[2] AS attack, epsilon, batch FROM events, (SELECT unnest([['average', 'nan'], ['krum', 'little'], ['brute', 'empire']]) AS d), (SELECT unnest([0.0, 0.1, 0.2, 0.5])::DOUBLE AS epsilon), (SELECT unnest([10, 25, 50, 100, 250, 500]) AS batch)")
 def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """72 settings of 5 seeds each."""
-    pairs = spark.createDataFrame([("average", "nan"), ("krum", "little"), ("brute", "empire")], "gar string, attack string")
+    """72 settings for each kind of event and each of its seeds."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("user_id") % 5).alias("seed")).distinct()
+    pairs = F.explode(F.array(*(F.struct(F.lit(g).alias("gar"), F.lit(a).alias("attack")) for g, a in (("average", "nan"), ("krum", "little"), ("brute", "empire")))))
     each = lambda values: F.explode(F.array(*map(F.lit, values)))
-    return pairs.withColumn("epsilon", each((0.0, 0.1, 0.2, 0.5))).withColumn("batch", each((10, 25, 50, 100, 250, 500))).withColumn("seed", each(range(1, 6)))
+    return rows.select("name", "seed", pairs.alias("p")).select("name", "seed", "p.*").withColumn("epsilon", each((0.0, 0.1, 0.2, 0.5))).withColumn("batch", each((10, 25, 50, 100, 250, 500)))
 
 
 PARSED = """SELECT event_id, split_part(w, ':', 1) AS key, CASE WHEN lower(v) IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 'int' WHEN regexp_full_match(v, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN 'float' ELSE 'str' END AS kind, v AS value
