@@ -3,8 +3,8 @@
 A step is three small jobs: the honest vectors are written, the rule's result
 comes to the driver, and so does the step's row of the study log.  Parameters
 and what the optimizer remembers stay on the driver.  Logs are written in parts,
-each under the step that it begins with, together with a checkpoint, so a run
-that was stopped goes on from its last part and no row is there twice.
+which are committed together with a checkpoint, so a run that was stopped goes
+on from its last commit and no row is there twice.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from steadfold.functions.vectors import clipped
 from steadfold.operators import attacks, metrics, networks, optimizers, rules, training
 from steadfold.sources import runs, scratch
 from steadfold.sources.checkpoint import Checkpoint
+from steadfold.sources.commits import Commits
 from steadfold.sources.dataset import Batches
 
 
@@ -168,45 +169,65 @@ class _Run:
         return found.right / found.all
 
 
+#: Settings that a run may go on with changed.
+FREE = ("steps",)
+
+
+def _same_settings(folder: str, options: Options, kept: dict) -> None:
+    now = json.loads(json.dumps(asdict(options)))
+    other = sorted(k for k in now if k not in FREE and now[k] != kept.get(k))
+    if other:
+        raise RuleError(f"{folder} has a run with other settings: {', '.join(f'{k} is {kept.get(k)!r} there, not {now[k]!r}' for k in other)}")
+
+
 def run(train: Batches, test: Batches, width: int, options: Options, folder: str | None = None, stop: Callable[[int], bool] | None = None) -> Result:
     """Train, evaluating before every ``evaluate_every``-th step and after the last one.
 
     ``train`` and ``test`` have x (arrays of ``width`` doubles) and y.  With a
-    ``folder`` the settings, the logs, the times and a checkpoint are written
-    there, and a run that has a checkpoint there goes on from it.  ``stop`` is
-    asked before each step; a path ``stop`` in the folder stops the run too.
+    ``folder`` the settings are written there, and at each evaluation what the
+    logs have since the last one, with a checkpoint: one commit, see
+    ``sources.commits``, so a run that dies at any time goes on from the last
+    commit, and each row is there once.  A run with other settings than the
+    folder's, but for the number of steps, is refused.  ``stop`` is asked before
+    each step; a path ``stop`` in the folder stops the run too.
     """
-    spark, state, study, evaluation, begun = train.placed.sparkSession, _Run(train, test, width, options), [], [], 0
-    if folder and runs.exists(spark, f"{folder}/checkpoint"):
-        kept = Checkpoint().load(spark, f"{folder}/checkpoint").restore("run")
-        begun, state.params = kept["step"], kept["params"]
+    spark, state, study, evaluation, step, judged = train.placed.sparkSession, _Run(train, test, width, options), [], [], 0, -1
+    commits = Commits(spark, folder) if folder else None
+    last = commits.last() if commits else None
+    if last:
+        _same_settings(folder, options, last["settings"])
+        kept = Checkpoint().load(spark, f"{folder}/{last['checkpoint']}").restore("run")
+        step, judged, state.params = int(kept["step"]), int(kept["judged"]), kept["params"]
         state.optimizer.memory, state.optimizer.rate = kept["memory"], kept["rate"]
     elif folder:
         runs.write_json(spark, asdict(options), f"{folder}/config.json")
-    part, step = begun, begun
+    written = [0, 0]
 
     def flush() -> None:
-        nonlocal part
-        if folder and (step > part or not step):
-            for name, rows, schema in (("study", study, runs.STUDY), ("eval", evaluation, runs.EVAL)):
-                here = [r for r in rows if r[0] >= part]
-                runs.write(spark.createDataFrame(here, schema).coalesce(1), f"{folder}/{name}/{part:08d}", "overwrite")
-            Checkpoint().snapshot("run", {"step": step, "params": state.params, "memory": state.optimizer.memory, "rate": state.optimizer.rate}).save(spark, f"{folder}/checkpoint", True)
-        part = step
+        if not commits or [len(study), len(evaluation)] == written:
+            return
+        parts: dict[str, object] = {"settings": asdict(options), "step": step, "checkpoint": commits.place("checkpoint")}
+        for k, (name, rows, schema) in enumerate((("study", study, runs.STUDY), ("eval", evaluation, runs.EVAL))):
+            if rows[written[k] :]:
+                parts[name] = commits.place(name)
+                runs.write(spark.createDataFrame(rows[written[k] :], schema).coalesce(1), f"{folder}/{parts[name]}")
+        now = {"step": step, "judged": judged, "params": state.params, "memory": state.optimizer.memory, "rate": state.optimizer.rate}
+        Checkpoint().snapshot("run", now).save(spark, f"{folder}/{parts['checkpoint']}")
+        commits.commit(parts)
+        written[:] = len(study), len(evaluation)
+        commits.forget("checkpoint", 2)
 
     every = options.evaluate_every
     while True:
         ended = options.steps > 0 and step >= options.steps
-        if every > 0 and step % every == 0:
-            if step > part:
-                flush()
+        if every > 0 and step % every == 0 and step > judged:
+            flush()
             evaluation.append((step, state.accuracy(step // every)))
+            judged = step
         if ended or stop and stop(step) or folder and runs.exists(spark, f"{folder}/stop"):
             break
         study.append(state.step(step))
         step += 1
-    if folder and evaluation and evaluation[-1][0] == step and step == part:
-        runs.write(spark.createDataFrame(evaluation[-1:], runs.EVAL).coalesce(1), f"{folder}/eval/{part:08d}", "overwrite")
     flush()
     if folder:
         runs.write_json(spark, state.seconds, f"{folder}/perfs.json")

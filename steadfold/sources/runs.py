@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from steadfold.functions.bounds import BOUNDS
+from steadfold.sources.commits import Commits
 
 STUDY = "step long, datapoints long, loss_avg double, l2_origin double, honest_dev double, attack_dev double, honest_norm double, attack_norm double, defense_norm double, honest_max double, attack_max double, defense_max double, cos_hon_att double, cos_hon_def double, cos_att_def double"
 EVAL = "step long, accuracy double"
@@ -21,8 +22,8 @@ def write(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).option("sep", "\t").option("header", False).csv(path)
 
 
-def read(spark: SparkSession, path: str, schema: str = STUDY) -> DataFrame:
-    """A log, a file or a folder of parts; lines that begin with # are headers."""
+def read(spark: SparkSession, path: str | list[str], schema: str = STUDY) -> DataFrame:
+    """A log, a file or a folder of parts, or several of them; lines that begin with # are headers."""
     return spark.read.option("sep", "\t").option("comment", "#").option("recursiveFileLookup", True).schema(schema).csv(path)
 
 
@@ -43,8 +44,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 class Session:
     """A run's folder: its settings, and its study and evaluation logs by step.
 
-    What can't be read is left out with a warning; ``data`` has what there is,
-    a step that only one log has included.
+    Of a folder with commits only what they name is read.  What can't be read is
+    left out with a warning; ``data`` has what there is, a step that only one
+    log has included.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -61,6 +63,9 @@ class Session:
         self.data = join_session(*found) if len(found) == 2 else found[0] if found else None
 
     def _log(self, name: str, schema: str) -> DataFrame | None:
+        if exists(self.spark, f"{self.folder}/commits"):
+            paths = Commits(self.spark, self.folder).paths(name)
+            return read(self.spark, paths, schema) if paths else self.spark.createDataFrame([], schema)
         if exists(self.spark, f"{self.folder}/{name}"):
             return read(self.spark, f"{self.folder}/{name}", schema)
         warnings.warn(f"{self.folder}: there is no {name} log", stacklevel=3)

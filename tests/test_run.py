@@ -1,5 +1,6 @@
 """Networks, optimizers, batches, checkpoints, and runs that are stopped and go on."""
 
+import dataclasses
 import warnings
 
 import numpy as np
@@ -10,7 +11,7 @@ from steadfold.__main__ import options_of
 from steadfold.functions import losses
 from steadfold.functions.bounds import RuleError
 from steadfold.operators import experiment, networks, optimizers
-from steadfold.sources import checkpoint, dataset, images, runs
+from steadfold.sources import checkpoint, commits, dataset, images, runs
 
 
 @pytest.mark.parametrize(("network", "loss"), [(networks.full(4, 5, 3), "nll"), (networks.conv(10, (2, 3), 3, 4, 3), "nll"), (networks.MODELS["logit"](16, 2), "mse"), (networks.MODELS["linear"](16), "mse")])
@@ -171,6 +172,59 @@ def test_a_run_goes_on_where_it_was(spark, tmp_path):
         assert runs.Session(spark, f"file://{tmp_path}/none").data is None and len(said) == 3
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", [1, 3, 4])
+def test_a_run_may_die_between_any_two_writes(spark, tmp_path, monkeypatch, at):
+    """The at-th write, from the settings on, is the last one that is begun; then the run goes on, and every row is there once."""
+    train, test = _sets(spark)
+    options = experiment.Options(steps=2, workers=3, declared=0, rule="average", rate=1.0, evaluate_every=1, test_repeat=1, batch=5)
+    left = [at]
+
+    def dying(of):
+        def write(*args, **named):
+            left[0] -= 1
+            if left[0] == -1:
+                if at % 2:
+                    of(*args, **named)  # killed behind a write, or before it
+                raise Killed
+            return of(*args, **named)
+
+        return write
+
+    folder = f"file://{tmp_path}/run"
+    with monkeypatch.context() as m:
+        for owner, name in ((experiment.runs, "write"), (experiment.runs, "write_json"), (experiment.Checkpoint, "save"), (experiment.Commits, "commit"), (experiment.Commits, "forget")):
+            m.setattr(owner, name, dying(getattr(owner, name)))
+        with pytest.raises(Killed):
+            experiment.run(train, test, 2, options, folder)
+    done = experiment.run(train, test, 2, options, folder)
+    found = runs.Session(spark, folder).data.orderBy("step").collect()
+    assert [(r.step, r.datapoints is None, r.accuracy is None) for r in found] == [(0, False, False), (1, False, False), (2, True, False)]
+    again = experiment.run(train, test, 2, options, folder)
+    assert not again.study and not again.evaluation and again.params == pytest.approx(done.params)
+    assert runs.Session(spark, folder).data.count() == 3
+    more = experiment.run(train, test, 2, dataclasses.replace(options, steps=3), folder) if at == 4 else None
+    assert more is None or [r[0] for r in more.study] == [2]
+    with pytest.raises(RuleError, match="rate"):
+        experiment.run(train, test, 2, dataclasses.replace(options, rate=2.0), folder)
+
+
+def test_commits(spark, tmp_path):
+    kept = commits.Commits(spark, f"file://{tmp_path}/log")
+    assert kept.numbers() == [] and kept.last() is None and kept.paths("a") == []
+    for k in range(3):
+        runs.write(spark.createDataFrame([(k, 0.5)], runs.EVAL), f"{kept.folder}/{(part := kept.place('a'))}")
+        assert kept.commit({"a": part, "n": k}) == k
+    runs.write(spark.createDataFrame([(9, 0.5)], runs.EVAL), f"{kept.folder}/{kept.place('a')}")  # never committed
+    (tmp_path / "log" / "commits" / ".half").write_text("{")
+    assert sorted(r.step for r in runs.read(spark, kept.paths("a"), runs.EVAL).collect()) == [0, 1, 2] and kept.last()["n"] == 2
+    kept.forget("a", 1)
+    assert [runs.exists(spark, p) for p in kept.paths("a")] == [False, False, True]
+
+
 def test_a_grid_reports_what_fails(spark, tmp_path):
     train, test = _sets(spark)
     base = experiment.Options(steps=1, workers=3, declared=0, batch=5, test_repeat=1, evaluate_every=1)
