@@ -70,6 +70,11 @@ class Options:
     def honest(self) -> int:
         return self.workers - self.real
 
+    @property
+    def by_columns(self) -> bool:
+        """Whether the model is a formula over columns, which any loss can train, or a network."""
+        return self.model in training.OUTPUTS and not self.model_options
+
 
 def checked(options: Options) -> Options:
     """Raise RuleError for settings that no run can have."""
@@ -77,8 +82,10 @@ def checked(options: Options) -> Options:
         raise RuleError("real workers that are arbitrary can't be more than declared ones, nor these more than all, and one must be honest")
     if options.rule not in rules.RULES or options.attack not in attacks.ATTACKS:
         raise RuleError(f"no rule {options.rule} or no attack {options.attack}")
-    if options.model not in networks.MODELS or options.optimizer not in optimizers.OPTIMIZERS or options.loss not in networks.OUTPUT_LOSSES:
-        raise RuleError(f"no model {options.model}, no optimizer {options.optimizer}, or no loss {options.loss}")
+    if options.model not in networks.MODELS or options.optimizer not in optimizers.OPTIMIZERS:
+        raise RuleError(f"no model {options.model}, or no optimizer {options.optimizer}")
+    if options.by_columns and not losses.named(options.loss).trainable or not options.by_columns and options.loss not in networks.OUTPUT_LOSSES:
+        raise RuleError(f"{options.model} can't be trained with {options.loss}")
     return options
 
 
@@ -94,7 +101,7 @@ class _Run:
     def __init__(self, train: Batches, test: Batches, width: int, options: Options) -> None:
         self.train, self.test, self.options, self.spark = train, test, checked(options), train.placed.sparkSession
         o = options
-        self.by_columns = o.model in ("linear", "logit") and o.loss == "mse" and not o.model_options
+        self.by_columns = o.by_columns
         self.network = networks.MODELS[o.model](**({"inputs": width} | o.model_options if o.model in ("linear", "logit") else o.model_options))
         self.params = optimizers.initial(self.network.shapes, o.initial, "zeros", o.seed)
         more = {"momentum": o.momentum, "dampening": o.dampening} if o.optimizer == "sgd" else {}
@@ -104,16 +111,14 @@ class _Run:
         self.seconds = dict.fromkeys(("grad", "aggr", "eval"), 0.0)
 
     def output(self) -> Column:
-        model = losses.logit if self.options.model == "logit" else losses.linear
-        return model(F.col("x"), F.array(*map(F.lit, self.params[:-1].tolist())), F.lit(float(self.params[-1])))
+        return training.outputs(self.params, self.options.model)[0]
 
     def honest(self, step: int) -> DataFrame:
         """(step, worker, g, loss) of the honest workers, before noise; worker i has batch step * honest + i."""
         o = self.options
         samples = self.train.spread(step * o.honest, o.honest).select(F.lit(step).cast("long").alias("step"), F.col("slot").cast("int").alias("worker"), "x", "y")
         if self.by_columns:
-            loss = samples.withColumn("p", self.output()).groupBy("step", "worker").agg(losses.mse(F.col("p"), F.col("y")).alias("loss"))
-            found = training.gradients(samples, self.params, o.model).join(loss, ["step", "worker"])
+            found = training.gradients(samples, self.params, o.model, o.loss)
         else:
             found = networks.gradients(samples, self.network, self.params, o.loss)
         if o.l1 or o.l2:

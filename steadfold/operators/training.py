@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from steadfold.functions import slopes
 from steadfold.functions.bounds import RuleError
-from steadfold.functions.losses import linear, logit
+from steadfold.functions.losses import Loss, linear, named
+from steadfold.functions.slopes import Formula
 from steadfold.functions.vectors import NAN
 from steadfold.operators.prefix import numbered
-from steadfold.operators.rules import aggregate, wide_form
+from steadfold.operators.rules import aggregate
 
 
 def split_point(n: int, share: float) -> int:
@@ -52,13 +55,58 @@ def source_batch(batch: Column, batches: int) -> Column:
     return F.pmod(batch, F.lit(batches))
 
 
-def gradients(samples: DataFrame, params: np.ndarray, model: str) -> DataFrame:
-    """(step, worker, x, y) -> (step, worker, g): of the mean squared error of ``linear`` or ``logit``; the bias is last."""
-    w, b = F.array(*(F.lit(float(v)) for v in params[:-1])), F.lit(float(params[-1]))
-    out = (logit if model == "logit" else linear)(F.col("x"), w, b)
-    slope = (F.col("p") - F.col("y")) * (F.col("p") * (1 - F.col("p")) if model == "logit" else F.lit(1.0))
-    each = samples.withColumn("p", out).select("step", "worker", slope.alias("s"), F.posexplode(F.concat("x", F.array(F.lit(1.0)))).alias("pos", "v"))
-    return wide_form(each.groupBy("step", "worker", "pos").agg((2 * F.avg(F.col("s") * F.col("v"))).alias("val")), "step", "worker")
+#: Models as formulas: the outputs of what the weights make of a sample, one number for each class.
+OUTPUTS: dict[str, Callable[[list[Formula]], list[Formula]]] = {
+    "linear": lambda z: z,
+    "logit": lambda z: [slopes.sigmoid(x) for x in z],
+    "softmax": lambda z: [x - slopes.log_sum_exp(z) for x in z],
+}
+
+
+def _sums(params: np.ndarray, classes: int) -> list[Column]:
+    """What each class's weights and bias make of ``x``."""
+    each = np.asarray(params, float).reshape(classes, -1)
+    return [linear(F.col("x"), F.array(*map(F.lit, w[:-1].tolist())), F.lit(float(w[-1]))) for w in each]
+
+
+def outputs(params: np.ndarray, model: str, classes: int = 1) -> list[Column]:
+    """The outputs of a model for ``x``, one for each class; ``softmax`` gives logarithms."""
+    return [o.column() for o in OUTPUTS[model]([slopes.known(z) for z in _sums(params, classes)])]
+
+
+def gradients(samples: DataFrame, params: np.ndarray, model: str, loss: str | Loss = "mse", classes: int = 1) -> DataFrame:
+    """(step, worker, x, y) -> (step, worker, g, loss): of any loss that can be trained with, by its name, as a sum, or as such.
+
+    ``linear`` and ``logit`` have one output, ``softmax`` the logarithms of
+    ``classes`` probabilities, for a target that counts classes from 0.  A
+    class's bias comes behind its weights, and classes one after the other.  A
+    sample's slopes by the sums of its classes come from the loss's own formula;
+    what is left is a product with x, and a mean.
+    """
+    loss = named(loss) if isinstance(loss, str) else loss
+    if model not in OUTPUTS or not loss.trainable:
+        raise RuleError(f"no model {model}, or no formula of the loss to train with")
+    names = [f"z{k}" for k in range(classes)]
+    z = [slopes.known(F.col(n)) for n in names]
+    out = OUTPUTS[model](z)
+    whole = reduce(lambda a, b: a + b, (w * term(out, F.col("y")) for w, term in loss.terms)) if loss.terms else slopes.number(0)
+    summed = samples.select("step", "worker", "x", "y", *(c.alias(n) for c, n in zip(_sums(params, classes), names, strict=True)))
+    sloped = summed.select("step", "worker", F.concat("x", F.array(F.lit(1.0))).alias("x"), whole.column().alias("loss"), F.array(*(whole.slope(v).column() for v in z)).alias("s"))
+    each = sloped.select("step", "worker", "loss", F.posexplode(F.flatten(F.transform("s", lambda s: F.transform("x", lambda x: s * x)))).alias("pos", "v"))
+    means = each.groupBy("step", "worker", "pos").agg(F.avg("v").alias("val"), F.avg("loss").alias("loss"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "val")))
+    found = means.groupBy("step", "worker").agg(F.transform(ordered, lambda x: x["val"]).alias("g"), F.min_by("loss", "pos").alias("loss"))
+    more, by = penalty(np.asarray(params, float), loss)
+    if not loss.penalties:
+        return found
+    return found.withColumn("g", F.zip_with("g", F.array(*map(F.lit, by.tolist())), lambda a, b: a + b)).withColumn("loss", F.col("loss") + more)
+
+
+def penalty(params: np.ndarray, loss: Loss) -> tuple[float, np.ndarray]:
+    """What a loss's penalties come to, and their slopes; those of the norm at zero are zero."""
+    size = float(np.linalg.norm(params))
+    parts = {"l1": (float(np.abs(params).sum()), np.sign(params)), "l2": (size, params / size if size else np.zeros_like(params))}
+    return sum(w * parts[k][0] for w, k in loss.penalties), sum((w * parts[k][1] for w, k in loss.penalties), np.zeros_like(params))
 
 
 def privacy_sigma(clip: float, batch: int, epsilon: float, delta: float) -> float:
@@ -94,7 +142,7 @@ def sgd(params: np.ndarray, velocity: np.ndarray, grad: np.ndarray, rate: float,
     return params - rate * velocity, velocity
 
 
-def train(samples: DataFrame, width: int, steps: int, rule: str = "average", f: int = 0, rate: float = 0.01, momentum: float = 0.9, clip: float | None = None, sigma: float = 0.0, seed: int = 0, model: str = "logit", attack: Callable[[DataFrame], DataFrame] | None = None) -> tuple[np.ndarray, pd.DataFrame]:
+def train(samples: DataFrame, width: int, steps: int, rule: str = "average", f: int = 0, rate: float = 0.01, momentum: float = 0.9, clip: float | None = None, sigma: float = 0.0, seed: int = 0, model: str = "logit", attack: Callable[[DataFrame], DataFrame] | None = None, loss: str | Loss = "mse") -> tuple[np.ndarray, pd.DataFrame]:
     """Train on (step, worker, x, y): the parameters, and a log (step, l2_origin, defense_norm).
 
     One job a step; the driver holds the parameters and a vector as long.
@@ -104,7 +152,7 @@ def train(samples: DataFrame, width: int, steps: int, rule: str = "average", f:
     origin = params = np.zeros(width + 1)
     velocity, log = np.zeros(width + 1), []
     for step in range(steps):
-        grads = gradients(samples.where(F.col("step") == step), params, model)
+        grads = gradients(samples.where(F.col("step") == step), params, model, loss).drop("loss")
         grads = grads if clip is None else grads.withColumn("g", clipped(F.col("g"), clip))
         grads = with_noise(grads, sigma, seed) if sigma else grads
         result = aggregate(attack(grads) if attack else grads, rule, f, checked=step == 0)

@@ -16,7 +16,7 @@ from steadfold.operators import attacks, experiment, metrics, networks, optimize
 from steadfold.plans import data
 from steadfold.plans.data import PARAMS, cohorts, logs, samples, table
 from steadfold.sources import dataset, images, libsvm, runs, scratch
-from steadfold.streaming import batches
+from steadfold.streaming import batches, numbers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,14 +259,53 @@ def grad_sql(out: str, slope: str) -> str:
 SELECT step, worker, pos, {R('2 * avg(s * v)')} AS val FROM (SELECT step, worker, s, unnest(range(5))::INT AS pos, unnest(x) AS v FROM s) GROUP BY step, worker, pos"""
 
 
-def grad(spark: SparkSession, sf_dir: str, model: str) -> DataFrame:
-    found = training.gradients(samples(spark, sf_dir), np.array(PARAMS), model)
+def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples whose target is the place of the flag among A, N and R."""
+    lines = table(spark, sf_dir, "lineitem")
+    x = F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, F.col("l_discount") * 10, F.col("l_tax") * 10)
+    return lines.select((F.col("l_orderkey") % 5).alias("step"), (F.col("l_partkey") % data.WORKERS).cast("int").alias("worker"), x.alias("x"), (F.instr(F.lit("ANR"), F.col("l_returnflag")) - 1).alias("y"))
+
+
+def grad(spark: SparkSession, sf_dir: str, model: str, loss: str = "mse") -> DataFrame:
+    found = training.gradients(samples(spark, sf_dir), np.array(PARAMS), model, loss)
     return found.select("step", "worker", F.posexplode("g").alias("pos", "val")).withColumn("val", rounded(F.col("val")))
 
 
 query("grad_linear_mse", grad_sql(LINEAR, "p - y"))(lambda s, d: grad(s, d, "linear"))
 query("grad_logit_mse", grad_sql(f"1 / (1 + exp(-({LINEAR})))", "(p - y) * p * (1 - p)"))(lambda s, d: grad(s, d, "logit"))
 
+LOGIT = f"1 / (1 + exp(-({LINEAR})))"
+ENTROPY = "-(y / p - (1 - y) / (1 - p)) * p * (1 - p) / 2"
+query("grad_logit_bce", grad_sql(LOGIT, ENTROPY))(lambda s, d: grad(s, d, "logit", "bce"))
+query("grad_linear_huber", grad_sql(LINEAR, "CASE WHEN abs(p - y) <= 1 THEN p - y ELSE sign(p - y) END / 2"))(lambda s, d: grad(s, d, "linear", "huber"))
+query("grad_linear_bcewithlogits", grad_sql(LINEAR, "(1 / (1 + exp(-p)) - y) / 2"))(lambda s, d: grad(s, d, "linear", "bcewithlogits"))
+query("grad_linear_softmargin", grad_sql(LINEAR, "-y / (1 + exp(p * y)) / 2"))(lambda s, d: grad(s, d, "linear", "softmargin"))
+SIZE = f"sqrt({' + '.join(f'({w})::DOUBLE * ({w})::DOUBLE' for w in PARAMS)})"
+COMPOSED = grad_sql(LOGIT, f"(0.5::DOUBLE * 2 * (p - y) - 2 * (y / p - (1 - y) / (1 - p))) * p * (1 - p) / 2").replace(R("2 * avg(s * v)"), "2 * avg(s * v)")
+query("grad_composed", f"SELECT step, worker, pos, {R(f'val + 0.01 * sign(w) + 0.1 * w / {SIZE}')} AS val FROM ({COMPOSED}), (SELECT {list(PARAMS)}::DOUBLE[] AS params), LATERAL (SELECT params[pos + 1] AS w)")(lambda s, d: grad(s, d, "logit", "0.5*mse + 2*bce + 0.01*l1 + 0.1*l2"))
+
+#: Weights of three classes over four features, a bias behind each.
+CLASSES = tuple(round(0.1 * ((7 * i) % 11 - 5), 1) for i in range(15))
+FLAGGED = f"""WITH {data.SAMPLES.replace("CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "(strpos('ANR', l_returnflag) - 1)")},
+z AS (SELECT step, worker, list_append(x, 1.0::DOUBLE) AS x, y, [{", ".join(f"list_dot_product(list_append(x, 1.0::DOUBLE), {list(CLASSES[5 * k : 5 * k + 5])}::DOUBLE[])" for k in range(3))}] AS z FROM samples),
+s AS (SELECT *, ln(list_sum(list_transform(z, lambda v: exp(v)))) AS whole FROM z)"""
+
+
+@query("grad_softmax_nll", f"{FLAGGED} SELECT step, worker, (5 * k + pos)::INT AS pos, {R('avg((exp(z[k + 1] - whole) - (k = y)::INT) * x[pos + 1])')} AS val FROM s, range(3) AS r(k), range(5) AS q(pos) GROUP BY step, worker, k, pos")
+def grad_softmax_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes by the flag of an order's line."""
+    rows = flagged(spark, sf_dir)
+    found = training.gradients(rows, np.array(CLASSES), "softmax", "nll", 3)
+    return found.select("step", "worker", F.posexplode("g").alias("pos", "val")).withColumn("val", rounded(F.col("val")))
+
+
+@query("grad_loss_crossentropy", f"{FLAGGED} SELECT step, worker, {R('avg(whole - z[y + 1])')} AS loss FROM s GROUP BY step, worker")
+def grad_loss_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss that comes with a gradient, of the sums themselves instead of logarithms of probabilities."""
+    found = training.gradients(flagged(spark, sf_dir), np.array(CLASSES), "linear", "crossentropy", 3)
+    return found.select("step", "worker", rounded(F.col("loss")).alias("loss"))
+
+
 L2 = "sqrt(list_dot_product(g, g))"
 
 
@@ -613,9 +652,30 @@ def parse_keyval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Streams
 
-query("stream_aggregate", f"WITH {data.attacked(None, 0)}, {data.rule('median', 0)} {RESULT}")(lambda s, d: result(batches.aggregated_events(s, d)))
+query("stream_aggregate", f"WITH {data.attacked(None, 0)}, {data.rule('median', 0)} {RESULT}")(lambda s, d: result(batches.aggregated(cohorts(s, d).select("step", "worker", "g"), scratch.folder(s))))
 
 WINDOWS = f"""WITH buckets AS (SELECT ts::DATE AS day, user_id % 16 AS worker, count(*) AS n, avg(value) AS v FROM events GROUP BY ALL)
 SELECT strftime(day, '%Y-%m-%d') AS day, sum(n)::BIGINT AS n, {R('avg(v)')} AS mean, {R('quantile_disc(v, 0.5)')} AS median FROM buckets GROUP BY day"""
-query("stream_window_average", WINDOWS)(lambda s, d: batches.windowed_events(s, d).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("median")).alias("median")))
-query("stream_sgd", data.trained(4, "median", 0, 0.5, 0.9, None, "logit", f"SELECT step::BIGINT AS batch, {R('grad_norm')} AS grad_norm FROM log"))(lambda s, d: batches.streamed_training(s, d).withColumn("grad_norm", rounded(F.col("grad_norm"))))
+query("stream_window_average", WINDOWS)(lambda s, d: batches.windowed_stream(table(s, d, "events"), scratch.folder(s)).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", rounded(F.col("mean")).alias("mean"), rounded(F.col("median")).alias("median")))
+STREAMED = {"fast": batches.Settings("median", 0, 0.5, 0.9), "slow": batches.Settings("average", 0, 0.1, 0.0)}
+TRAINED = " UNION ALL ".join(f"SELECT * FROM ({data.trained(5, o.rule, o.f, o.rate, o.momentum, None, o.model, f'''SELECT '{k}' AS run, step::BIGINT AS step, {R('grad_norm')} AS grad_norm FROM log''')})" for k, o in STREAMED.items())
+
+
+@query("stream_sgd", TRAINED)
+def stream_sgd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of logistic regression over the steps of lineitem, a step a micro-batch."""
+    folder = scratch.folder(spark)
+    stream = numbers.by_step(samples(spark, sf_dir), folder, 5)
+    return batches.train_on(stream, folder, 4, STREAMED).select("run", "step", rounded(F.col("grad_norm")).alias("grad_norm"))
+
+
+ORDERED = "SELECT row_number() OVER (ORDER BY (o_orderkey * 7919 + 13) % 1000003, o_orderkey) - 1 AS rn, o_orderkey, count(*) OVER () AS n FROM orders"
+
+
+@query("stream_batches", f"WITH o AS ({ORDERED}) SELECT b AS batch, o_orderkey FROM o, range(60) AS r(b) WHERE ((rn - b * 40) % n + n) % n < 40")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty batches of forty orders as a stream, over the end of the table if it is that short."""
+    folder, orders = scratch.folder(spark), table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919 + 13) % 1000003).alias("key"))
+    stream = numbers.sampled(dataset.Batches(orders, 40, "key", "o_orderkey"), folder, 60, per=20).select("batch", "o_orderkey")
+    numbers.until_done(stream, folder, "append", lambda w: w.format("parquet").option("path", f"{folder}/out"))
+    return spark.read.schema("batch long, o_orderkey long").parquet(f"{folder}/out")

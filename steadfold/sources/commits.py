@@ -58,7 +58,7 @@ class Commits:
 
     def parts(self, number: int) -> dict[str, object]:
         """What a commit has made known."""
-        lines = self.spark.read.option("wholetext", True).text(self._file(number)).collect()
+        lines = self.spark.read.text(self._file(number), wholetext=True).collect()
         return json.loads(lines[0].value)
 
     def last(self) -> dict[str, object] | None:

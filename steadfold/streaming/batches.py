@@ -1,22 +1,20 @@
-"""Rules over streams: micro-batches as steps, or windows of event time as steps."""
+"""Rules over streams: micro-batches as steps, windows of event time as steps, and training with keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from steadfold.operators import rules, training
-from steadfold.plans import data
-from steadfold.sources import scratch
-
-
-def stream_of(rows: DataFrame, folder: str, files: int) -> DataFrame:
-    """Rows written as files and read as a stream, one file a micro-batch."""
-    rows.repartition(files).write.parquet(f"{folder}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+from steadfold.operators import kernels, rules, training
+from steadfold.sources.dataset import Batches
+from steadfold.streaming import numbers
 
 
 def each_batch(stream: DataFrame, folder: str, act: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -24,11 +22,13 @@ def each_batch(stream: DataFrame, folder: str, act: Callable[[DataFrame, int], N
     stream.writeStream.foreachBatch(act).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
-def aggregated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median of each micro-batch of cohorts: (step, pos, val).  A step's rows come in one batch, since files are split by step."""
-    folder = scratch.folder(spark)
-    rows = data.cohorts(spark, sf_dir).select("step", "worker", "g")
-    rows.repartition(8, "step").write.parquet(f"{folder}/in")
+def aggregated(rows: DataFrame, folder: str, files: int = 8) -> DataFrame:
+    """Median of each step of (step, worker, g), from files that are read one a micro-batch: (step, pos, val).
+
+    A step's rows come in one batch, since files are split by step.
+    """
+    spark = rows.sparkSession
+    rows.repartition(files, "step").write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     each_batch(stream, folder, lambda part, number: rules.median(part).write.mode("overwrite").parquet(f"{folder}/out/batch={number}"))
     return spark.read.parquet(f"{folder}/out").select("step", "pos", "val")
@@ -56,57 +56,94 @@ def windowed(events: DataFrame, width: str = "1 day", late: str = "1 hour", work
     return ruled(bucketed(events, width, late, workers))
 
 
-def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All windows of the events, the newest too: each batch writes the complete result, and the last one is that of the whole input."""
-    folder = scratch.folder(spark)
-    events = data.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value").orderBy("ts")
-    stream = bucketed(stream_of(events, folder, 1))
+def windowed_stream(events: DataFrame, folder: str, batches: int = 8, last: int | None = None, width: str = "1 day", late: str = "1 hour", workers: int = 16) -> DataFrame:
+    """The same from a stream of the events in the order of time, in so many batches, as far as batch ``last``.
+
+    Each batch writes the buckets that it has changed, and those behind the
+    watermark leave the state.  The newest version of each bucket is what all
+    batches together come to, the open windows included.  A query that was
+    stopped goes on from its batch.
+    """
+    spark = events.sparkSession
+    placed = Batches(events.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "value"), 0, "ts", "user_id", "value", name="events")
+    placed.size = -(-placed.n // batches)
+    stream = numbers.numbers(spark, folder, placed.n, placed.size, batches if last is None else last, wraps=False)
+    rows = placed.placed
+    buckets = bucketed(stream.join(rows, stream["place"] == rows["rn"]).select("ts", "user_id", "value"), width, late, workers)
 
     def act(part: DataFrame, number: int) -> None:
-        part.write.mode("overwrite").parquet(f"{folder}/buckets/batch={number}")  # the stream's plan runs once a batch
-        ruled(spark.read.schema(part.schema).parquet(f"{folder}/buckets/batch={number}")).write.mode("overwrite").parquet(f"{folder}/out")
+        part.write.mode("overwrite").parquet(f"{folder}/buckets/batch={number}")
+
+    numbers.until_done(buckets, folder, "update", lambda w: w.foreachBatch(act))
+    changed = spark.read.schema(T.StructType([*buckets.schema, T.StructField("batch", T.LongType())])).parquet(f"{folder}/buckets")
+    newest = changed.groupBy("start", "worker").agg(F.max_by(F.struct("n", "value"), "batch").alias("b"))
+    return ruled(newest.select("start", "worker", "b.*"))
 
-    each_batch(stream, folder, act, "complete")
-    return spark.read.schema("start timestamp, n long, mean double, median double").parquet(f"{folder}/out")
 
+@dataclass(frozen=True)
+class Settings:
+    """Of one run of streamed training: a rule with its number of arbitrary workers, and the optimizer's rate and momentum."""
 
-def in_order(rows: DataFrame, folder: str, key: str, values: list[int]) -> DataFrame:
-    """Rows written as one file for each value of ``key``, one after another, and read as a stream in that order."""
-    for value in values:
-        rows.where(F.col(key) == value).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    rule: str = "median"
+    f: int = 0
+    rate: float = 0.5
+    momentum: float = 0.9
+    model: str = "logit"
 
 
-STATE = "pos int, param double, velocity double, grad double"
+class Trainer(StatefulProcessor):
+    """Training steps whose parameters and velocity are a run's state.
+
+    A run's rows come in parts of some thousands, of which only sums by worker
+    are kept, so a step may have any number of rows.
+    """
 
+    def __init__(self, width: int, settings: dict[str, Settings]) -> None:
+        self.width, self.settings = width, settings
 
-def train_on(stream: DataFrame, folder: str, width: int, rate: float, momentum: float, rule: str = "median", f: int = 0, model: str = "logit") -> DataFrame:
-    """Training whose steps are the stream's micro-batches of (worker, x, y): (batch, grad_norm) of all so far.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("weights", "params array<double>, velocity array<double>, step long")
 
-    A batch starts from the parameters and velocities that the one before it
-    has left in ``folder``, beside the stream's checkpoint, and writes its own
-    there.  So a query that was stopped goes on with them, and a batch that
-    runs again gives the same.
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        o, kept = self.settings[key[0]], self.state.get() if self.state.exists() else None
+        params, velocity = (np.array(kept[k]) for k in (0, 1)) if kept else (np.zeros(self.width + 1), np.zeros(self.width + 1))
+        step, sums, counts = kept[2] if kept else 0, {}, {}
+        for part in rows:
+            x = np.column_stack([np.stack(part["x"].to_numpy()), np.ones(len(part))])
+            out = x @ params
+            out = 1 / (1 + np.exp(-out)) if o.model == "logit" else out
+            slope = 2 * (out - part["y"].to_numpy()) * (out * (1 - out) if o.model == "logit" else 1.0)
+            for worker, own in part.groupby("worker").indices.items():
+                sums[worker] = sums.get(worker, 0) + slope[own] @ x[own]
+                counts[worker] = counts.get(worker, 0) + len(own)
+        grad = kernels.KERNELS[o.rule](np.stack([sums[w] / counts[w] for w in sorted(sums)]), o.f)
+        params, velocity = training.sgd(params, velocity, grad, o.rate, o.momentum, first=step == 0)
+        self.state.update((params.tolist(), velocity.tolist(), step + 1))
+        yield pd.DataFrame({"run": [key[0]], "step": [step], "grad_norm": [float(np.linalg.norm(grad))], "params": [params.tolist()]})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STEPS = "run string, step long, grad_norm double, params array<double>"
+
+
+def train_on(stream: DataFrame, folder: str, width: int, settings: dict[str, Settings]) -> DataFrame:
+    """Training whose steps are the stream's micro-batches of (worker, x, y), of several runs in one query: (run, step, grad_norm, params) of all steps so far.
+
+    Every run sees every batch.  A run's parameters and velocity are keyed
+    state, which the checkpoint holds, so a query that was stopped goes on with
+    them, and a batch that runs again gives the same.  Results are appended to
+    ``folder/out``, each step once.
     """
     spark = stream.sparkSession
-
-    def act(part: DataFrame, number: int) -> None:
-        params, velocity = np.zeros(width + 1), np.zeros(width + 1)
-        if number:
-            for r in spark.read.schema(STATE).parquet(f"{folder}/state/batch={number - 1}").collect():
-                params[r.pos], velocity[r.pos] = r.param, r.velocity
-        found = rules.aggregate(training.gradients(part.withColumn("step", F.lit(0)), params, model), rule, f, checked=False)
-        grad = np.array([r.val for r in found.orderBy("pos").select("val").collect()] or [0.0] * (width + 1))
-        params, velocity = training.sgd(params, velocity, grad, rate, momentum, first=number == 0)
-        rows = [(i, float(params[i]), float(velocity[i]), float(grad[i])) for i in range(width + 1)]
-        spark.createDataFrame(rows, STATE).coalesce(1).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-
-    each_batch(stream, folder, act)
-    states = spark.read.schema(f"{STATE}, batch long").parquet(f"{folder}/state")
-    return states.groupBy("batch").agg(F.sqrt(F.sum(F.col("grad") * F.col("grad"))).alias("grad_norm"))
-
-
-def streamed_training(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regression by medians over workers, on four batches of lineitem."""
-    folder, rows = scratch.folder(spark), data.samples(spark, sf_dir).where("step < 4")
-    return train_on(in_order(rows, folder, "step", [0, 1, 2, 3]), folder, 4, 0.5, 0.9)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        rows = stream.select(F.explode(F.array(*map(F.lit, settings))).alias("run"), "worker", "x", "y")
+        found = rows.groupBy("run").transformWithStateInPandas(Trainer(width, settings), STEPS, "Append", "None")
+        numbers.until_done(found, folder, "append", lambda w: w.format("parquet").option("path", f"{folder}/out"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(STEPS).parquet(f"{folder}/out")
