@@ -74,28 +74,35 @@ def outputs(params: np.ndarray, model: str, classes: int = 1) -> list[Column]:
     return [o.column() for o in OUTPUTS[model]([slopes.known(z) for z in _sums(params, classes)])]
 
 
-def gradients(samples: DataFrame, params: np.ndarray, model: str, loss: str | Loss = "mse", classes: int = 1) -> DataFrame:
-    """(step, worker, x, y) -> (step, worker, g, loss): of any loss that can be trained with, by its name, as a sum, or as such.
+def gradients_of(samples: DataFrame, sums: list[Column], model: str, loss: Loss, *keys: str) -> DataFrame:
+    """(keys, x, y, ...) -> (keys, g, loss), of the samples' part of a loss, by the sums that the weights make of ``x``.
 
-    ``linear`` and ``logit`` have one output, ``softmax`` the logarithms of
-    ``classes`` probabilities, for a target that counts classes from 0.  A
-    class's bias comes behind its weights, and classes one after the other.  A
-    sample's slopes by the sums of its classes come from the loss's own formula;
-    what is left is a product with x, and a mean.
+    A sample's slopes by its sums come from the loss's own formula; what is left
+    is a product with x, and a mean.
     """
-    loss = named(loss) if isinstance(loss, str) else loss
     if model not in OUTPUTS or not loss.trainable:
         raise RuleError(f"no model {model}, or no formula of the loss to train with")
-    names = [f"z{k}" for k in range(classes)]
+    names = [f"z{k}" for k in range(len(sums))]
     z = [slopes.known(F.col(n)) for n in names]
     out = OUTPUTS[model](z)
     whole = reduce(lambda a, b: a + b, (w * term(out, F.col("y")) for w, term in loss.terms)) if loss.terms else slopes.number(0)
-    summed = samples.select("step", "worker", "x", "y", *(c.alias(n) for c, n in zip(_sums(params, classes), names, strict=True)))
-    sloped = summed.select("step", "worker", F.concat("x", F.array(F.lit(1.0))).alias("x"), whole.column().alias("loss"), F.array(*(whole.slope(v).column() for v in z)).alias("s"))
-    each = sloped.select("step", "worker", "loss", F.posexplode(F.flatten(F.transform("s", lambda s: F.transform("x", lambda x: s * x)))).alias("pos", "v"))
-    means = each.groupBy("step", "worker", "pos").agg(F.avg("v").alias("val"), F.avg("loss").alias("loss"))
+    summed = samples.select(*keys, "x", "y", *(c.alias(n) for c, n in zip(sums, names, strict=True)))
+    sloped = summed.select(*keys, F.concat("x", F.array(F.lit(1.0))).alias("x"), whole.column().alias("loss"), F.array(*(whole.slope(v).column() for v in z)).alias("s"))
+    each = sloped.select(*keys, "loss", F.posexplode(F.flatten(F.transform("s", lambda s: F.transform("x", lambda x: s * x)))).alias("pos", "v"))
+    means = each.groupBy(*keys, "pos").agg(F.avg("v").alias("val"), F.avg("loss").alias("loss"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "val")))
-    found = means.groupBy("step", "worker").agg(F.transform(ordered, lambda x: x["val"]).alias("g"), F.min_by("loss", "pos").alias("loss"))
+    return means.groupBy(*keys).agg(F.transform(ordered, lambda x: x["val"]).alias("g"), F.min_by("loss", "pos").alias("loss"))
+
+
+def gradients(samples: DataFrame, params: np.ndarray, model: str, loss: str | Loss = "mse", classes: int = 1) -> DataFrame:
+    """(step, worker, x, y) -> (step, worker, g, loss): of any loss that can be trained with, by its name, as a sum, or as such.
+
+    ``linear`` and ``logit`` have one output, ``softmax`` the logarithms of
+    ``classes`` probabilities, for a target that counts classes from 0.  A
+    class's bias comes behind its weights, and classes one after the other.
+    """
+    loss = named(loss) if isinstance(loss, str) else loss
+    found = gradients_of(samples, _sums(params, classes), model, loss, "step", "worker")
     more, by = penalty(np.asarray(params, float), loss)
     if not loss.penalties:
         return found

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from steadfold.functions import losses
 from steadfold.functions.bounds import bound
 from steadfold.functions.vectors import clipped, flattened, l1_norm, norm, rounded, sigmoid, unflattened
-from steadfold.operators import attacks, experiment, metrics, networks, optimizers, prefix, rules, search, training
+from steadfold.operators import attacks, experiment, grid, metrics, networks, optimizers, prefix, rules, search, training
 from steadfold.plans import data
 from steadfold.plans.data import PARAMS, cohorts, logs, samples, table
 from steadfold.sources import dataset, images, libsvm, runs, scratch
@@ -390,23 +390,28 @@ def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("step", "datapoints", *(rounded(F.col(c)).alias(c) for c in ("loss_avg", "l2_origin", "honest_norm", "defense_norm", "accuracy")))
 
 
-@query("grid_over_seeds")
-def grid_over_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two settings with two seeds each, run and averaged: (name, step, seeds, accuracy)."""
-    rows = samples(spark, sf_dir).select("x", "y").distinct()
-    sets: dict[int, tuple] = {}
+GRID_RULES = (("average", 0), ("median", 0), ("krum", 2))
+GRID_RUNS = [grid.Setting(f"{rule}-{rate}", seed, rule, f, rate=rate) for rule, f in GRID_RULES for rate in (0.5, 0.1) for seed in (0, 1)]
 
-    def batches(options: experiment.Options) -> tuple:
-        if options.seed not in sets:
-            sets[options.seed] = dataset.datasets(rows, 0.8, options.batch, options.test_batch, seed=options.seed)
-        return sets[options.seed]
 
-    settings, base = [{"rule": "average"}, {"rule": "median"}], experiment.Options(steps=2, evaluate_every=1, rate=1.0, declared=0)
-    folder = scratch.folder(spark, "grid")
-    done = experiment.grid(lambda o: batches(o)[0], lambda o: batches(o)[1], 4, base, settings, folder, (1, 2))
-    if any(state != "done" for _, _, state in done):
-        raise RuntimeError(str(done))
-    return experiment.averaged(spark, folder, settings, (1, 2), "accuracy").select("name", "step", "seeds", "accuracy_avg")
+def grid_sql() -> str:
+    """Each run of the grid on its own: (name, seed, step, loss, grad_norm, l2_origin) as ``runs``."""
+    parts = []
+    for o in GRID_RUNS:
+        one = data.trained(4, o.rule, o.f, o.rate, o.momentum, None, o.model, f"SELECT '{o.name}' AS name, {o.seed}::BIGINT AS seed, step::BIGINT AS step, grad_norm, l2_origin FROM log")
+        parts.append(f"SELECT * FROM ({one.replace('l_orderkey % 5', f'(l_orderkey + {o.seed}) % 5')})")
+    return f"WITH runs AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+def gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve runs over lineitem at once: three rules, two rates, and two orders of the steps."""
+    lines = samples(spark, sf_dir).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = lines.withColumn("step", (F.col("step") + F.col("seed")) % 5)
+    return grid.train(rows, 4, 4, GRID_RUNS, scratch.folder(spark, "grid"))
+
+
+query("grid_in_one_plan", f"{grid_sql()} SELECT name, seed, step, {R('grad_norm')} AS grad_norm, {R('l2_origin')} AS l2_origin FROM runs")(lambda s, d: gridded(s, d).select("name", F.col("seed").cast("long").alias("seed"), "step", rounded(F.col("grad_norm")).alias("grad_norm"), rounded(F.col("l2_origin")).alias("l2_origin")))
+query("grid_over_seeds", f"{grid_sql()} SELECT name, step, count(*) AS seeds, {R('avg(grad_norm)')} AS grad_norm_avg, {R('stddev_pop(grad_norm)')} AS grad_norm_err FROM runs GROUP BY name, step")(lambda s, d: runs.over_seeds(gridded(s, d), "grad_norm", by=("name",)).select("name", "step", "seeds", rounded(F.col("grad_norm_avg")).alias("grad_norm_avg"), rounded(F.col("grad_norm_err")).alias("grad_norm_err")))
 
 
 # Statistics

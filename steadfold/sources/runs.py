@@ -126,10 +126,10 @@ def epoch(datapoints: Column, dataset: str) -> Column:
     return datapoints / F.lit(float(size)) if size else F.lit(None).cast("double")
 
 
-def over_seeds(rows: DataFrame, *columns: str, key: str = "step") -> DataFrame:
-    """Mean and population deviation of each column by step, over rows in which none of them is null or NaN."""
+def over_seeds(rows: DataFrame, *columns: str, key: str = "step", by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean and population deviation of each column by step (and ``by``), over rows in which none of them is null or NaN."""
     known = rows.dropna(subset=list(columns))
-    return known.groupBy(key).agg(F.count("*").alias("seeds"), *(x for c in columns for x in (F.avg(c).alias(f"{c}_avg"), F.stddev_pop(c).alias(f"{c}_err"))))
+    return known.groupBy(*by, key).agg(F.count("*").alias("seeds"), *(x for c in columns for x in (F.avg(c).alias(f"{c}_avg"), F.stddev_pop(c).alias(f"{c}_err"))))
 
 
 def band(rows: DataFrame, x: str, y: str, err: str, series: str) -> DataFrame:
