@@ -10,6 +10,14 @@ words, weighted by IDF over all documents, must stand at their places.
 
 The base phrases are templates too: their only key phrase is all of them.
 
+Licences are also found with words changed, left out or put in between.  A full
+text is cut into segments of SEGMENT words, and its key phrases are segments
+too; each has an anchor of its own, its rarest word, and must stand whole.  A
+segment's shift is where the text would begin by it.  Segments whose shifts lie
+in two neighbouring stretches, each as long as an eighth of the text, belong
+together: if they have at least EDITED of the text's weight, and a key phrase
+that no other text has is among them, the text is there.
+
 Two narrow passes: one counts in how many documents each word of the templates
 is, the other finds and verifies within each row.  Nothing but these counts is
 shuffled, and the index is one constant, as long as TEMPLATES.
@@ -26,6 +34,8 @@ from pyspark.sql import functions as F
 from steadfold.llm.common import LOWER, NOT_WORD, UPPER
 
 SHARE = 0.5
+#: Words of a segment, and the share of a text's weight that its segments must have.
+SEGMENT, EDITED = 5, 0.4
 
 #: Label, base, text, mandatory key phrases.
 TEMPLATES = (
@@ -132,6 +142,38 @@ def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
     return found.pop("", 0), found
 
 
+def _segments() -> list[dict]:
+    """Of each full text: its segments and key phrases, with their places in it, and how far shifts may lie apart.
+
+    Phrases that another text has too don't tell them apart, and are left out if there are others.
+    """
+    found, every = [], [f" {' '.join(words_of(text))} " for _, text, _ in TEXTS]
+    for t, (label, text, phrases) in enumerate(TEXTS):
+        of = words_of(text)
+        phrases = [p for p in phrases if sum(f" {p} " in other for other in every) == 1] or phrases
+        cuts = [*range(0, max(1, len(of) - SEGMENT + 1), SEGMENT), len(of)]
+        parts = [(a, of[a:b], False) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for phrase in map(str.split, phrases):
+            parts.append((next(i for i in range(len(of)) if of[i : i + len(phrase)] == phrase), phrase, True))
+        found += [{"text": t, "label": label, "seg": k, "offset": a, "words": w, "key": key, "band": max(8, -(-len(of) // 8))} for k, (a, w, key) in enumerate(parts)]
+    return found
+
+
+SEGMENTS = _segments()
+_SEGMENT_KIND = "array<struct<text: int, seg: int, offset: int, words: array<string>, key: boolean, band: int, anchor: string, at: int, weight: double>>"
+
+
+def segments(total: int, df: dict[str, int]) -> tuple[list[dict], list[float]]:
+    """The segments with their anchors and weights, and the weight of each whole text; key phrases have none."""
+    entries, whole = [], [0.0] * len(TEXTS)
+    for s in SEGMENTS:
+        _, anchor, at = min((df.get(w, 0), w, i) for i, w in enumerate(s["words"]))
+        weight = 0.0 if s["key"] else sum(idf(total, df.get(w, 0)) for w in s["words"])
+        whole[s["text"]] += weight
+        entries.append({k: s[k] for k in ("text", "seg", "offset", "words", "key", "band")} | {"anchor": anchor, "at": at, "weight": weight})
+    return entries, whole
+
+
 def idf(total: int, df: int) -> float:
     return math.log((total + 1) / (df + 1)) + 1
 
@@ -153,30 +195,43 @@ def scan(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     ``spans`` has the found templates: template, label, start (a word from 0),
-    share.  ``score`` is the highest share of any template at any place of its
-    anchor, and 0 without an anchor.  Null and empty texts have no words: zero
+    share; full texts that are found by their segments are templates of their
+    own, behind the others, and one on a border of stretches is there twice.
+    ``score`` is the highest share of any template at any place of its anchor,
+    or of a text's segments, and 0 without any.  Null and empty texts have no words: zero
     counts, null places, empty labels, no spans.  Repeated rows each get their
     row; a null doc_id is kept; an empty table gives an empty result.
     """
     total, df = frequencies(docs)
-    anchors = sorted({min((df.get(of[i], 0), of[i]) for i in key)[1] for _, _, of, key in INDEX})
+    parts, wholes = segments(total, df)
+    anchors = sorted({min((df.get(of[i], 0), of[i]) for i in key)[1] for _, _, of, key in INDEX} | {s["anchor"] for s in parts})
     rows = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("lead", F.expr("int(w[0] = '')"))
     places = F.filter(F.transform("w", lambda x, i: F.when(x.isin(anchors), F.struct(x.alias("w"), i.alias("pos")))), lambda h: h.isNotNull())
     count = F.expr("size(w) - lead - int(size(w) > 1 AND w[size(w) - 1] = '')").cast("long")
-    rows = rows.select("doc_id", "w", "lead", count.alias("n_words"), places.alias("hits"), index(total, df).alias("templates"))
+    rows = rows.select("doc_id", "w", "lead", count.alias("n_words"), places.alias("hits"), index(total, df).alias("templates"), F.from_json(F.lit(json.dumps(parts)), _SEGMENT_KIND).alias("segments"))
     # A posting counts where the document has its word at its place; get() is null before the first word and after the last.
     there = "filter(t.postings, p -> get(w, h.pos - t.at + p.place) <=> p.w)"
     tried = f"""flatten(transform(hits, h -> transform(filter(templates, t -> t.anchor = h.w), t ->
       transform(array({there}), here -> named_struct('template', t.template, 'label', t.label, 'base', t.base, 'start', h.pos - t.at - lead,
         'share', round(aggregate(here, 0D, (s, p) -> s + p.idf) / t.whole, 6), 'keys', t.keys = size(filter(here, p -> p.key))))[0])))"""
-    rows = rows.select("doc_id", "n_words", F.expr(tried).alias("tried"))
+    whole_segments = """flatten(transform(hits, h -> transform(filter(segments, s -> s.anchor = h.w AND h.pos >= s.at AND slice(w, h.pos - s.at + 1, size(s.words)) = s.words),
+      s -> named_struct('text', s.text, 'bucket', cast(floor((h.pos - s.at - lead - s.offset) / s.band) as int), 'seg', s.seg, 'key', s.key, 'weight', s.weight, 'start', h.pos - s.at - lead))))"""
+    rows = rows.select("doc_id", "n_words", F.expr(tried).alias("tried"), F.expr(whole_segments).alias("parts"))
+    labelled = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(x).alias("whole")) for (label, _, _), x in zip(TEXTS, wholes, strict=True)))
+    # Parts are asked for by their stretch and the one behind it; a segment that stands there twice counts once.
+    near = "filter(parts, e -> e.text = b.text AND (e.bucket = b.bucket OR e.bucket = b.bucket + 1))"
+    edited = f"""transform(array_distinct(flatten(transform(parts, e -> array(named_struct('text', e.text, 'bucket', e.bucket), named_struct('text', e.text, 'bucket', e.bucket - 1))))), b ->
+      transform(array({near}), n -> named_struct('template', {len(INDEX)} + b.text, 'label', texts[b.text].label, 'start', array_min(transform(n, e -> e.start)),
+        'share', round(aggregate(array_distinct(transform(n, e -> named_struct('seg', e.seg, 'weight', e.weight))), 0D, (s, e) -> s + e.weight) / texts[b.text].whole, 6), 'key', exists(n, e -> e.key)))[0])"""
+    rows = rows.withColumn("texts", labelled).withColumn("edited", F.expr(edited))
     rows = rows.withColumn("found", F.expr(f"filter(tried, x -> x.keys AND x.share >= {SHARE})")).withColumn("places", F.expr("transform(filter(found, x -> x.base), x -> x.start)"))
+    again = f"filter(edited, x -> x.key AND x.share >= {EDITED})"
     labels = lambda of: F.expr(f"array_join(array_sort(array_distinct(transform({of}, x -> x.label))), ',')")
     return rows.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"),
-        labels("filter(found, x -> x.base)").alias("base_labels"), labels("found").alias("labels"),
-        F.coalesce(F.expr("array_max(transform(tried, x -> x.share))"), F.lit(0.0)).alias("score"),
-        F.expr("array_sort(transform(found, x -> named_struct('template', x.template, 'label', x.label, 'start', x.start, 'share', x.share)))").alias("spans"),
+        labels("filter(found, x -> x.base)").alias("base_labels"), labels(f"concat(transform(found, x -> named_struct('label', x.label)), transform({again}, x -> named_struct('label', x.label)))").alias("labels"),
+        F.coalesce(F.expr("array_max(concat(transform(tried, x -> x.share), transform(edited, x -> x.share)))"), F.lit(0.0)).alias("score"),
+        F.expr(f"array_sort(concat(transform(found, x -> named_struct('template', x.template, 'label', x.label, 'start', x.start, 'share', x.share)), transform({again}, x -> named_struct('template', x.template, 'label', x.label, 'start', x.start, 'share', x.share))))").alias("spans"),
     )
 
 
@@ -185,9 +240,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VALUES = ", ".join(f"({t}, '{label}', {base}, '{w}', {i}, {i in key})" for t, (label, base, of, key) in enumerate(INDEX) for i, w in enumerate(of))
+_PARTS = ", ".join(f"({s['text']}, '{s['label']}', {s['seg']}, {s['offset']}, {s['key']}, {s['band']}, {len(s['words'])}, {i}, '{w}')" for s in SEGMENTS for i, w in enumerate(s["words"]))
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^{NOT_WORD}]+') AS words FROM documents),
 postings(template, label, base, w, place, key) AS (VALUES {_VALUES}),
+parts(text, label, seg, off, key, band, size, place, w) AS (VALUES {_PARTS}),
 everywhere AS (SELECT rid, i - 1 AS pos, words[i] AS w FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
 hits AS MATERIALIZED (SELECT rid, pos, w FROM everywhere WHERE w IN (SELECT w FROM postings)),
 df AS (SELECT w, count(DISTINCT rid) AS df FROM hits GROUP BY w),
@@ -204,8 +261,16 @@ e AS (
          min(start) FILTER (complete AND share >= {SHARE} AND base) AS first_word, max(start) FILTER (complete AND share >= {SHARE} AND base) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (complete AND share >= {SHARE} AND base) AS base_labels,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (complete AND share >= {SHARE}) AS labels, max(share) AS score
-  FROM starts GROUP BY rid)
+  FROM starts GROUP BY rid),
+segs AS (SELECT h.rid, p.text, p.seg, any_value(p.key) AS key, floor((h.pos - p.place - any_value(p.off)) / any_value(p.band)) AS bucket, sum(idf) AS weight
+  FROM hits h JOIN parts p ON p.w = h.w JOIN vocabulary v ON v.w = h.w GROUP BY h.rid, p.text, p.seg, h.pos - p.place HAVING count(*) = any_value(p.size)),
+wholes AS (SELECT text, any_value(label) AS label, sum(idf) AS whole FROM parts JOIN vocabulary USING (w) WHERE NOT key GROUP BY text),
+stretches AS (SELECT DISTINCT rid, text, seg, key, bucket, CASE WHEN key THEN 0 ELSE weight END AS weight FROM (SELECT rid, text, seg, key, weight, bucket FROM segs UNION ALL SELECT rid, text, seg, key, weight, bucket - 1 FROM segs)),
+edited AS (SELECT rid, text, bucket, any_value(label) AS label, round(sum(weight) / any_value(whole), 6) AS share, bool_or(key) AS key FROM (SELECT DISTINCT ON (rid, text, bucket, seg) * FROM stretches) JOIN wholes USING (text) GROUP BY rid, text, bucket),
+x AS (SELECT rid, list(DISTINCT label) FILTER (key AND share >= {EDITED}) AS labels, max(share) AS share FROM edited GROUP BY rid)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
-       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
-FROM d LEFT JOIN e USING (rid)
+       coalesce(base_labels, '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(CASE WHEN e.labels IS NULL THEN [] ELSE string_split(e.labels, ',') END, coalesce(x.labels, [])))), ',') AS labels,
+       greatest(coalesce(score, 0), coalesce(x.share, 0))::DOUBLE AS score
+FROM d LEFT JOIN e USING (rid) LEFT JOIN x USING (rid)
 """
