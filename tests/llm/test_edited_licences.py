@@ -49,5 +49,5 @@ def test_stretches_are_bounded(spark):
     words = scan.words_of(text)
     half = len(words) // 2
     rows = [(n, " ".join([*words[:half], *["zq"] * n, *words[half:]])) for n in (0, 5, 5000)]
-    score = {r.doc_id: r.score for r in scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert score[0] == 1 and score[5] > 0.9 and score[5000] < 0.7
+    share = {r.doc_id: max((x.share for x in r.spans if x.template >= len(scan.INDEX) and x.label == label), default=0) for r in scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert share[0] == 1 and share[5] > 0.9 and share[5000] < 0.7
