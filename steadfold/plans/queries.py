@@ -15,7 +15,7 @@ from steadfold.functions.vectors import clipped, flattened, l1_norm, norm, round
 from steadfold.operators import attacks, experiment, grid, metrics, networks, optimizers, prefix, rules, search, training
 from steadfold.plans import data
 from steadfold.plans.data import PARAMS, cohorts, logs, samples, table
-from steadfold.sources import dataset, images, libsvm, runs, scratch
+from steadfold.sources import commits, dataset, images, libsvm, runs, scratch
 from steadfold.streaming import batches, numbers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -456,8 +456,13 @@ def study_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("checkpoint_roundtrip", f"WITH {data.attacked(None, 0)}, {data.rule('average', 0)} {RESULT}")
 def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result(rules.average(cohorts(spark, sf_dir))).write.mode("errorifexists").parquet(path := scratch.folder(spark))
-    return spark.read.parquet(path)
+    """Aggregates as parts that a commit makes known; one that none has named isn't read."""
+    found, kept = result(rules.average(cohorts(spark, sf_dir))), commits.Commits(spark, scratch.folder(spark, "commits"))
+    for k in range(2):
+        found.where(F.col("step") % 2 == k).write.parquet(f"{kept.folder}/{(part := kept.place('aggregates'))}")
+        kept.commit({"aggregates": part})
+    found.limit(5).write.parquet(f"{kept.folder}/{kept.place('aggregates')}")
+    return spark.read.parquet(*kept.paths("aggregates"))
 
 
 @query("scalar_avg_dev", f"SELECT c_nationkey, {R('avg(c_acctbal)')} AS mean, {R('stddev_samp(c_acctbal)')} AS dev FROM customer GROUP BY c_nationkey")
@@ -572,10 +577,10 @@ def normalize_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("minmax_scale", "SELECT vec_id, unnest(range(64))::INT AS pos, unnest(list_transform(embedding, lambda v: floor((v::DOUBLE - lo) / (hi - lo) * 255)::INT)) AS byte FROM (SELECT vec_id, embedding, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings)")
 def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's coordinates as bytes between its smallest and largest, as an image is written."""
-    e = F.col("embedding").cast("array<double>")
-    byte = F.transform(e, lambda v: F.floor((v - F.array_min(e)) / (F.array_max(e) - F.array_min(e)) * 255).cast("int"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(byte).alias("pos", "byte"))
+    """Each vector as an image of eight by eight places, and the places that are read from it."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    found = images.decoded(images.images(rows, 8).select(F.col("id").alias("path"), F.col("image").alias("content")))
+    return found.select(F.col("path").alias("vec_id"), F.posexplode("x").alias("pos", "byte"))
 
 
 @query("flip_images", f"SELECT vec_id, unnest(range(64))::INT AS pos, unnest(list_transform(flatten(list_transform(range(8), lambda k: list_reverse(embedding[k * 8 + 1 : k * 8 + 8]))), lambda v: {R('v::DOUBLE')})) AS val FROM embeddings")
