@@ -118,26 +118,62 @@ def judge(captures: DataFrame, changes: DataFrame) -> DataFrame:
     return out.select("page_id", "host", F.coalesce("n_entries", F.lit(0)).cast("long").alias("n_entries"), F.coalesce("lists", F.lit("")).alias("lists"), F.col("best.entry").alias("entry"), F.col("best.start").alias("since"))
 
 
+#: The names of the lists that ``drawn_changes`` deals entries to, and of 16 hosts, first folders and pages so many are listed.
+LISTS, SHARES = ("adult", "malware", "spam", "tracking"), (1, 2, 4)
+
+
+def drawn_changes(pages: DataFrame) -> DataFrame:
+    """A list that grows with the pages, (list, entry, action, at): of their hosts, first folders and pages some, by the MD5 of the entry.
+
+    An entry is added on a day of 2024 that its hash draws; about half of them
+    are removed later, and half of those added again.  Entries of ``CHANGES``
+    aren't drawn.
+    """
+    rows = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host IS NOT NULL")
+    kinds = F.array(F.struct(F.col("host").alias("entry"), F.lit(SHARES[0]).alias("share")), F.struct(F.concat("host", F.regexp_extract("path", "^/[^/]+", 0)).alias("entry"), F.lit(SHARES[1]).alias("share")), F.struct(F.concat("host", F.rtrim("path", F.lit("/"))).alias("entry"), F.lit(SHARES[2]).alias("share")))
+    each = rows.select(F.explode(kinds).alias("k")).select("k.*").groupBy("entry").agg(F.min("share").alias("share"))
+    digit = lambda k: F.conv(F.substring(F.md5(F.col("entry").cast("binary")), k, 1), 16, 10).cast("int")
+    chosen = each.where((digit(2) < F.col("share")) & ~F.col("entry").isin([e.rstrip("/") for _, e, _, _ in CHANGES]))
+    first = F.date_add(F.lit("2024-01-01").cast("date"), 16 * digit(3) + digit(4))
+    second = F.date_add(first, 20 + 4 * digit(6))
+    third = F.date_add(second, 10 + digit(8))
+    change = lambda action, day, fits: F.when(fits, F.struct(F.lit(action).alias("action"), day.cast("timestamp").alias("at")))
+    changes = F.array(change("add", first, F.lit(True)), change("remove", second, digit(5) < 8), change("add", third, (digit(5) < 8) & (digit(7) < 8)))
+    name = F.get(F.array(*map(F.lit, LISTS)), digit(1) % len(LISTS)).alias("list")
+    return chosen.select(name, "entry", F.explode(F.filter(changes, lambda c: c.isNotNull())).alias("c")).select("list", "entry", "c.action", "c.at")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages have no fetch time; page_id modulo 366 is taken as the day of 2024 on which each was fetched."""
+    """Pages have no fetch time; page_id modulo 366 is taken as the day of 2024 on which each was fetched.  The list is ``CHANGES`` and one drawn from the pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     captures = pages.select("page_id", "url", F.expr("timestamp '2024-01-01 12:00:00' + make_dt_interval(cast(page_id % 366 as int))").alias("fetched_at"))
     values = ", ".join(f"('{a}', '{b}', '{c}', timestamp '{d} 00:00:00')" for a, b, c, d in CHANGES)
-    rows = judge(captures, spark.sql(f"SELECT * FROM VALUES {values} AS c(list, entry, action, at)"))
+    rows = judge(captures, spark.sql(f"SELECT * FROM VALUES {values} AS c(list, entry, action, at)").unionByName(drawn_changes(pages)))
     return rows.select("page_id", "host", "n_entries", "lists", "entry", F.date_format("since", "yyyy-MM-dd").alias("since"), (F.col("n_entries") > 0).alias("blocked"))
 
 
 _VALUES = ", ".join(f"('{a}', rtrim('{b}', '/'), '{c}', DATE '{d}')" for a, b, c, d in CHANGES)
 SQL = rf"""
-WITH changes(list, entry, action, changed) AS (VALUES {_VALUES}),
-spans AS (
-  SELECT list, entry, changed AS start, next FROM (
-    SELECT *, lead(changed) OVER (PARTITION BY list, entry ORDER BY changed) AS next FROM changes) WHERE action = 'add'),
-p AS (
+WITH p AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, page_id, url, DATE '2024-01-01' + (page_id % 366)::INTEGER AS day,
          nullif(regexp_replace(regexp_replace(regexp_extract(lower(url), '^\s*[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.*(:[0-9]*)?$', ''), '') AS host,
          regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path
   FROM pages),
+every AS (
+  SELECT entry, min(share) AS share FROM (
+    SELECT host AS entry, {SHARES[0]} AS share FROM p UNION ALL SELECT host || regexp_extract(path, '^/[^/]+', 0), {SHARES[1]} FROM p UNION ALL SELECT host || rtrim(path, '/'), {SHARES[2]} FROM p)
+  WHERE entry IS NOT NULL GROUP BY entry),
+digits AS (SELECT entry, share, list_transform(range(1, 9), lambda k: ('0x' || substr(md5(entry), k, 1))::INT) AS d FROM every),
+drawn AS (
+  SELECT {list(LISTS)}[d[1] % {len(LISTS)} + 1] AS list, entry, d, DATE '2024-01-01' + (16 * d[3] + d[4]) AS first, DATE '2024-01-01' + (16 * d[3] + d[4] + 20 + 4 * d[6]) AS second,
+         DATE '2024-01-01' + (16 * d[3] + d[4] + 30 + 4 * d[6] + d[8]) AS third
+  FROM digits WHERE d[2] < share AND entry NOT IN (SELECT rtrim(e, '/') FROM (VALUES {_VALUES}) AS f(l, e, a, c))),
+changes(list, entry, action, changed) AS (
+  SELECT * FROM (VALUES {_VALUES}) UNION ALL SELECT list, entry, 'add', first FROM drawn UNION ALL SELECT list, entry, 'remove', second FROM drawn WHERE d[5] < 8
+  UNION ALL SELECT list, entry, 'add', third FROM drawn WHERE d[5] < 8 AND d[7] < 8),
+spans AS (
+  SELECT list, entry, changed AS start, next FROM (
+    SELECT *, lead(changed) OVER (PARTITION BY list, entry ORDER BY changed) AS next FROM changes) WHERE action = 'add'),
 m AS (
   SELECT rid, s.* FROM p JOIN spans s
     ON (host = split_part(entry, '/', 1) OR ends_with(host, '.' || split_part(entry, '/', 1)))
