@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from steadfold.operators import prefix
 from steadfold.operators.training import split_point
 from steadfold.sources import scratch
+from steadfold.sources.names import unused
+
+
+def _placed(rows: DataFrame, order: tuple[Column | str, ...], place: str, name: str) -> DataFrame:
+    """``rows`` with their places, written once."""
+    placed = prefix.numbered(rows, *order, name=place)
+    placed.write.parquet(path := scratch.folder(rows.sparkSession, name))
+    return rows.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 class Batches:
@@ -23,11 +31,11 @@ class Batches:
     """
 
     def __init__(self, rows: DataFrame, size: int, *order: Column | str, seed: int = 0, wraps: bool = True, name: str = "rows") -> None:
-        spark, columns = rows.sparkSession, rows.columns
-        order = order or (F.xxhash64(F.lit(seed), *columns),)
-        placed = prefix.numbered(rows, *order, name="rn")
-        placed.write.parquet(path := scratch.folder(spark, name))
-        self.placed, self.columns, self.name, self.wraps = spark.read.schema(placed.schema).parquet(path), columns, name, wraps
+        order = order or (F.xxhash64(F.lit(seed), *rows.columns),)
+        self._take(_placed(rows, order, "rn", name), rows.columns, size, wraps, name)
+
+    def _take(self, placed: DataFrame, columns: list[str], size: int, wraps: bool, name: str) -> None:
+        self.placed, self.columns, self.name, self.wraps = placed, columns, name, wraps
         self.n = self.placed.count()
         if not self.n:
             raise ValueError(f"{name} has no rows to take batches from")
@@ -59,10 +67,14 @@ class Batches:
 
 
 def datasets(rows: DataFrame, share: float, size: int, test_size: int, *order: Column | str, seed: int = 0) -> tuple[Batches, Batches]:
-    """A training and a testing set from one table, cut at a share or a number of its rows."""
-    columns = rows.columns
-    order = order or (F.xxhash64(F.lit(seed), *columns),)
-    placed = prefix.numbered(rows, *order, name="place_of_all")
-    at = split_point(placed.count(), share)
-    train, test = placed.where(F.col("place_of_all") < at), placed.where(F.col("place_of_all") >= at)
-    return Batches(train, size, "place_of_all", name="train"), Batches(test, test_size, "place_of_all", wraps=False, name="test")
+    """A training and a testing set from one table, cut at a share or a number of its rows; both read the one place where these are written."""
+    order = order or (F.xxhash64(F.lit(seed), *rows.columns),)
+    (place,) = unused([*rows.columns, "rn"], "place")
+    placed = _placed(rows, order, place, "rows")
+    at, found = split_point(placed.count(), share), []
+    for kept, first, many, wraps, name in ((F.col(place) < at, 0, size, True, "train"), (F.col(place) >= at, at, test_size, False, "test")):
+        own = Batches.__new__(Batches)
+        rn = F.col(place) - first if first else F.col(place)
+        own._take(placed.where(kept).select(*rows.columns, rn.alias("rn")), rows.columns, many, wraps, name)
+        found.append(own)
+    return found[0], found[1]

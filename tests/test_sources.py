@@ -9,9 +9,9 @@ from steadfold.streaming import batches
 
 
 def test_libsvm(spark):
-    rows = spark.createDataFrame([("1 1:0.5 3:-2",), ("-1",), ("0 2:1e3",)], "line string")
+    rows = spark.createDataFrame([("1 1:0.5 3:-2",), ("-1",), ("0 2:1e3",), ("1 3:1 2:5 3:2 9:9 0:4",)], "line string")
     found = [tuple(r.r) for r in rows.select(libsvm.parse(F.col("line"), 3).alias("r")).collect()]
-    assert found == [(1.0, [0.5, 0.0, -2.0]), (0.0, [0.0, 0.0, 0.0]), (0.0, [0.0, 1000.0, 0.0])]
+    assert found == [(1.0, [0.5, 0.0, -2.0]), (0.0, [0.0, 0.0, 0.0]), (0.0, [0.0, 1000.0, 0.0]), (1.0, [0.0, 5.0, 2.0])]
 
 
 def test_log_with_a_header(spark, tmp_path):
