@@ -26,6 +26,10 @@ from steadfold.operators import prefix, selection
 
 #: Digits that scores and diameters are ranked by: sums of the same numbers in another order must tie.
 DIGITS = 9
+#: Steps of over MANY workers have their distances folded where they are computed, in blocks of about BLOCK workers.
+MANY, BLOCK = 256, 2048
+#: Squared distances below this share of what they are the difference of are computed from the vectors' differences.
+CANCELLED = 1e-2
 
 
 def long_form(rows: DataFrame) -> DataFrame:
@@ -134,13 +138,109 @@ def pairs_by_kernel(rows: DataFrame, blocks: int = 1) -> DataFrame:
     return dealt.groupBy("step", "i", "j").applyInPandas(distances, f"step {kinds['step']}, x {kinds['worker']}, y {kinds['worker']}, d double")
 
 
+def _wide(rows: DataFrame, blocks: int, parts: int) -> bool:
+    """Whether a step that is to be spread has over MANY workers, which is one small job; a smaller one's pairs are few."""
+    return (blocks > 1 or parts > 1) and (rows.groupBy("step").count().agg(F.max("count")).first()[0] or 0) > MANY
+
+
+def _by_blocks(rows: DataFrame, blocks: int) -> DataFrame:
+    """(step, worker, g, n, own, i, j): each row for each pair of blocks i <= j that its own one is part of.
+
+    There are ``blocks`` blocks, or more in steps of so many workers that each has about BLOCK.
+    """
+    rows = rows.select("step", "worker", "g").where("step IS NOT NULL AND worker IS NOT NULL")
+    sized = rows.join(rows.groupBy("step").agg(F.count("*").alias("n")), "step")
+    many = F.greatest(F.lit(blocks), F.ceil(F.col("n") / BLOCK)).cast("int")
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("worker"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
+    return dealt.select("step", "worker", "g", "n", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _spread(dealt: DataFrame, task: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A task for each pair of blocks; their number of partitions is fixed, as few bytes are much work here."""
+    many = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(many, "step", "i", "j").groupBy("step", "i", "j").applyInPandas(task, schema)
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` to all of ``b``, by a matrix product; by differences where little or nothing finite is left of it."""
+    with np.errstate(all="ignore"):
+        lengths = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+        squares = lengths - 2 * (a @ b.T)
+        again = ~(squares > CANCELLED * lengths)
+        for k in np.flatnonzero(again.any(axis=1)):
+            near = np.flatnonzero(again[k])
+            squares[k, near] = ((b[near] - a[k]) ** 2).sum(axis=1)
+    return squares
+
+
+def _halves(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """A task's workers and vectors, of its one block and of its other, which is the same one if it has but one; a missing vector is NaN."""
+    part = part.sort_values("worker")
+    width = max(1, *(0 if g is None else len(g) for g in part["g"]))
+    g = np.stack([np.full(width, NAN) if g is None else np.asarray(g, float) for g in part["g"]])
+    first, workers, same = (part["own"] == part["i"]).to_numpy(), part["worker"].to_numpy(), bool(part["i"].iloc[0] == part["j"].iloc[0])
+    return workers[first], g[first], workers[first if same else ~first], g[first if same else ~first], same
+
+
+def _distances(a: np.ndarray, b: np.ndarray, squared: bool, parts: int) -> np.ndarray:
+    """Of all rows of ``a`` to all of ``b``, infinity where they aren't finite; squares of parts are added in their order."""
+    width = -(-a.shape[1] // parts)
+    squares = np.zeros((len(a), len(b)))
+    for k in range(0, a.shape[1], width):
+        squares += _squares(a[:, k : k + width], b[:, k : k + width])
+    d = squares if squared else np.sqrt(squares)
+    d[~np.isfinite(d)] = INF
+    return d
+
+
+def _scores_by_blocks(rows: DataFrame, count: Callable[[Column], Column], squared: bool, blocks: int, parts: int) -> DataFrame:
+    """(step, worker, score, n): a task gives a sum of distances for each of its workers, and those that may be among the largest of all.
+
+    What is left out of a sum is never part of it, so large distances take no
+    digits from it.  If fewer are summed than left out, a task gives the
+    smallest ones instead.
+    """
+    dealt = _by_blocks(rows, blocks).withColumn("take", F.least(count(F.col("n")), F.col("n") - 1).cast("long")).where("take > 0").withColumn("drop", F.col("n") - 1 - F.col("take"))
+
+    def folded(part: pd.DataFrame) -> pd.DataFrame:
+        x, a, y, b, same = _halves(part)
+        take, drop = int(part["take"].iloc[0]), int(part["drop"].iloc[0])
+        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+        d, found = _distances(a, b, squared, parts), []
+        if same:
+            d = d[~np.eye(len(d), dtype=bool)].reshape(len(d), max(len(d) - 1, 0))
+        for workers, own, block in ((x, d, j),) if same else ((x, d, j), (y, d.T, i)):
+            n = own.shape[1]
+            if not len(workers) or not n:
+                continue
+            cut = min(take, n) if take < drop else n - min(drop, n)
+            own = np.partition(own, cut, axis=1) if 0 < cut < n else own
+            rest, values = (np.zeros(len(own)), own[:, :cut]) if take < drop else (own[:, :cut].sum(axis=1), own[:, cut:])
+            found.append(pd.DataFrame({"step": part["step"].iloc[0], "worker": workers, "block": block, "rest": rest, "values": list(values), "n": part["n"].iloc[0], "take": take, "drop": drop}))
+        return pd.concat(found) if found else pd.DataFrame(columns=["step", "worker", "block", "rest", "values", "n", "take", "drop"])
+
+    kinds = dict(rows.dtypes)
+    each = _spread(dealt, folded, f"step {kinds['step']}, worker {kinds['worker']}, block int, rest double, values array<double>, n long, take long, drop long")
+    whole = each.groupBy("step", "worker").agg(F.array_sort(F.collect_list(F.struct("block", "rest", "values"))).alias("v"), *(F.max(c).alias(c) for c in ("n", "take", "drop")))
+    whole = whole.withColumn("values", F.array_sort(F.flatten(F.transform("v", lambda x: x["values"]))))
+    summed = F.slice("values", F.lit(1), F.when(F.col("take") < F.col("drop"), F.col("take")).otherwise(F.size("values") - F.col("drop")).cast("int"))
+    return whole.select("step", "worker", (total(F.transform("v", lambda x: x["rest"])) + total(summed)).alias("score"), "n")
+
+
 def neighbour_scores(rows: DataFrame, count: Callable[[Column], Column], squared: bool = False, blocks: int = 1, parts: int = 1) -> DataFrame:
-    """(step, worker, score, n, rank): the sum of the ``count(n)`` smallest distances to others; ranks from 1."""
-    near = pairs(rows, squared, blocks, parts)
-    both = near.select("step", F.explode(F.array(F.struct(F.col("x").alias("i"), F.col("y").alias("j")), F.struct(F.col("y").alias("i"), F.col("x").alias("j")))).alias("p"), "d").select("step", "p.i", "p.j", "d")
-    own = Window.partitionBy("step", "i")
-    ranked = both.withColumn("r", F.row_number().over(own.orderBy("d", "j"))).withColumn("n", F.count("*").over(own) + 1)
-    scores = ranked.where(F.col("r") <= count(F.col("n"))).groupBy("step", F.col("i").alias("worker")).agg(F.sum("d").alias("score"), F.max("n").alias("n"))
+    """(step, worker, score, n, rank): the sum of the ``count(n)`` smallest distances to others; ranks from 1.
+
+    With ``blocks`` or ``parts`` no pair leaves the task that computes it, once
+    steps are large: what a worker's sums need is told block by block.
+    """
+    if _wide(rows, blocks, parts):
+        scores = _scores_by_blocks(rows, count, squared, blocks, parts)
+    else:
+        near = pairs(rows, squared, blocks, parts)
+        both = near.select("step", F.explode(F.array(F.struct(F.col("x").alias("i"), F.col("y").alias("j")), F.struct(F.col("y").alias("i"), F.col("x").alias("j")))).alias("p"), "d").select("step", "p.i", "p.j", "d")
+        own = Window.partitionBy("step", "i")
+        ranked = both.withColumn("r", F.row_number().over(own.orderBy("d", "j"))).withColumn("n", F.count("*").over(own) + 1)
+        scores = ranked.where(F.col("r") <= count(F.col("n"))).groupBy("step", F.col("i").alias("worker")).agg(F.sum("d").alias("score"), F.max("n").alias("n"))
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("step").orderBy(F.round("score", DIGITS), "worker")))
 
 

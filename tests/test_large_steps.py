@@ -139,3 +139,37 @@ def test_search_in_rows(spark):
     assert {r["at"]: r.best for r in rows.collect()} == pytest.approx({t: search.maximum(lambda x, t=t: -((x - t) ** 2), 20) for t in tops})
     with pytest.raises(ValueError, match="top"):
         search.maxima(rows.withColumn("top", F.lit(1)).drop("best"), lambda x: x)
+
+
+def folded_distances(g, take, squared=False):
+    with np.errstate(all="ignore"):
+        d = np.stack([((g - x) ** 2).sum(axis=1) for x in g])
+    d = np.where(np.isfinite(d), d if squared else np.sqrt(d), np.inf)
+    return [np.sort(np.delete(row, i))[:take].sum() for i, row in enumerate(d)]
+
+
+@pytest.mark.parametrize(("take", "squared"), [(-51, False), (7, True), (0, False)])
+def test_scores_of_large_steps(spark, take, squared):
+    rng, want, rows = np.random.default_rng(9), {}, []
+    for step, n in enumerate((700, 300, 40, 1)):
+        g = rng.normal(step * 1e6, 1, (n, 5))
+        if n > 100:
+            g[3], g[4], g[5], g[6:20] = np.nan, 1e200, np.inf, g[20]
+        rows += [(step, w * 2, None if step == 0 and w == 3 else x.tolist()) for w, x in enumerate(g)]
+        count = take + n if take < 0 else take or n - 1
+        want |= {(step, w * 2): s for w, s in enumerate(folded_distances(g, count, squared) if 0 < count and n > 1 else ())}
+    frame = spark.createDataFrame(rows, SCHEMA)
+    count = (lambda n: n + take) if take < 0 else lambda n: F.lit(take) if take else n - 1
+    for blocks, parts in ((3, 2), (1, 5)):
+        found = rules.neighbour_scores(frame, count, squared, blocks, parts).collect()
+        assert {(r.step, r.worker): r.score for r in found} == pytest.approx(want, rel=1e-12) and len(found) == len(want)
+        for step in {s for s, _ in want}:
+            order = sorted((round(r.score, 9), r.worker, r["rank"]) for r in found if r.step == step)
+            assert [x[2] for x in order] == list(range(1, len(order) + 1))
+
+
+def test_scores_of_one_large_step_in_time(spark):
+    frame = spark.range(8000).select(F.lit(0).alias("step"), F.col("id").cast("int").alias("worker"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.sin(F.col("id") * 7 + k * k)).alias("g"))
+    since = time.time()
+    assert rules.krum_selection(frame, 50, blocks=4, parts=4).count() == 8000 - 52
+    assert time.time() - since < 60
