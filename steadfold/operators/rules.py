@@ -227,6 +227,32 @@ def _scores_by_blocks(rows: DataFrame, count: Callable[[Column], Column], square
     return whole.select("step", "worker", (total(F.transform("v", lambda x: x["rest"])) + total(summed)).alias("score"), "n")
 
 
+def _far_by_blocks(rows: DataFrame, most: int, squared: bool, blocks: int, parts: int) -> DataFrame:
+    """(step, x, y, d) for x < y: of each pair of blocks those pairs that are among the ``most`` farthest ones of either worker."""
+
+    def farthest(part: pd.DataFrame) -> pd.DataFrame:
+        x, a, y, b, same = _halves(part)
+        d = _distances(a, b, squared, parts)
+        if same:
+            np.fill_diagonal(d, -1)
+        far = np.zeros(d.shape, bool)
+        for own, mark in ((d, far), (d.T, far.T)):
+            if own.size:
+                np.put_along_axis(mark, np.argpartition(own, max(own.shape[1] - most, 0), axis=1)[:, -most:], True, axis=1)
+        i, j = np.nonzero(np.triu(far | far.T, 1) if same else far)
+        width, s = -(-a.shape[1] // parts), np.zeros(len(i))
+        with np.errstate(all="ignore"):
+            for at in range(0, len(i), 4096):
+                here = slice(at, at + 4096)
+                for k in range(0, a.shape[1], width):
+                    s[here] += ((a[i[here], k : k + width] - b[j[here], k : k + width]) ** 2).sum(axis=1)
+        s = s if squared else np.sqrt(s)
+        return pd.DataFrame({"step": part["step"].iloc[0], "x": np.minimum(x[i], y[j]), "y": np.maximum(x[i], y[j]), "d": np.where(np.isfinite(s), s, INF)})
+
+    kinds = dict(rows.dtypes)
+    return _spread(_by_blocks(rows, blocks), farthest, f"step {kinds['step']}, x {kinds['worker']}, y {kinds['worker']}, d double")
+
+
 def neighbour_scores(rows: DataFrame, count: Callable[[Column], Column], squared: bool = False, blocks: int = 1, parts: int = 1) -> DataFrame:
     """(step, worker, score, n, rank): the sum of the ``count(n)`` smallest distances to others; ranks from 1.
 
@@ -362,10 +388,13 @@ def brute_selection(rows: DataFrame, f: int, variant: str = "plain", blocks: int
     them, f levels deep, has every candidate: 2^(f+1) - 1 nodes a step.  A node
     that has removed fewer than f removes the largest workers, which gives the
     first of the subsets under it.  Only the f (n - 1) + 1 largest distances of
-    a step are looked at, as f workers are part of no more than f (n - 1).
+    a step are looked at, as f workers are part of no more than f (n - 1).  Of a
+    worker that isn't removed f distances at most are to workers that are, so
+    with ``blocks`` or ``parts`` the f + 1 largest of each are enough.
     """
     sizes = rows.groupBy("step").agg(F.sort_array(F.collect_list("worker")).alias("ids"))
-    near = pairs(rows, variant == "squared", blocks, parts).withColumn("key", F.round("d", DIGITS))
+    near = _far_by_blocks(rows, f + 1, variant == "squared", blocks, parts) if _wide(rows, blocks, parts) else pairs(rows, variant == "squared", blocks, parts)
+    near = near.withColumn("key", F.round("d", DIGITS))
     far = near.withColumn("r", F.row_number().over(Window.partitionBy("step").orderBy(F.desc("key"), "x", "y"))).join(sizes.select("step", F.size("ids").alias("n")), "step").where(F.col("r") <= f * (F.col("n") - 1) + 1)
     edges = far.groupBy("step").agg(F.array_sort(F.collect_list(F.struct("r", "key", "d", "x", "y"))).alias("far"))
     kind = dict(rows.dtypes)["worker"]
@@ -376,9 +405,11 @@ def brute_selection(rows: DataFrame, f: int, variant: str = "plain", blocks: int
     root = f"cast(array(array()) as array<array<{kind}>>)"
     tree = f"aggregate(sequence(1, {f}), named_struct('now', {root}, 'every', {root}), (acc, k) -> transform(array(flatten({level})), now -> cast(named_struct('now', now, 'every', concat(acc.every, now)) as {state}))[0]).every" if f else root
     nodes = sizes.join(edges, "step").select("step", "ids", "far", F.explode(F.expr(tree)).alias("gone"))
-    kept = nodes.withColumn("workers", F.expr(f"slice(filter(ids, w -> NOT array_contains(gone, w)), 1, size(ids) - {f})"))
-    inside = "filter(far, e -> array_contains(workers, e.x) AND array_contains(workers, e.y))"
-    judged = kept.select("step", "workers", F.expr(f"aggregate({inside}, cast(null as double), (s, e) -> greatest(s, e.d))").alias("diameter")).where(F.col("diameter") < INF)
+    kept = nodes.withColumn("left", F.expr("filter(ids, w -> NOT array_contains(gone, w))"))
+    # Those removed are f, so they are looked through and not all that stay; as a variable they are found once a node.
+    removed = f"concat(gone, slice(left, size(ids) - {f} + 1, {f}))"
+    widest = f"transform(array({removed}), out -> aggregate({clear.format(gone='out')}, cast(null as double), (s, e) -> greatest(s, e.d)))[0]"
+    judged = kept.select("step", F.expr(f"slice(left, 1, size(ids) - {f})").alias("workers"), F.expr(widest).alias("diameter")).where(F.col("diameter") < INF)
     best = judged.groupBy("step").agg(F.min(F.struct(F.round("diameter", DIGITS).alias("key"), "workers", "diameter")).alias("b"))
     return best.select("step", "b.workers", "b.diameter")
 

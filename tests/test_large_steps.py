@@ -173,3 +173,21 @@ def test_scores_of_one_large_step_in_time(spark):
     since = time.time()
     assert rules.krum_selection(frame, 50, blocks=4, parts=4).count() == 8000 - 52
     assert time.time() - since < 60
+
+
+@pytest.mark.parametrize("f", [1, 2])
+def test_minimum_diameter_of_large_steps(spark, f):
+    rng, rows, vectors = np.random.default_rng(f), [], {}
+    for step, n in enumerate((3000, 3000, 50)):
+        g = rng.normal(0, 1, (n, 4)) if step else rng.integers(0, 40, (n, 4)).astype(float)
+        g[7], g[n - 3] = (np.nan, g[9]) if step == 1 else (g[8] * 9, g[9] - 60)
+        vectors[step] = g
+        rows += [(step, w, x.tolist()) for w, x in enumerate(g)]
+    since = time.time()
+    found = rules.brute_selection(spark.createDataFrame(rows, SCHEMA), f, blocks=2, parts=2).collect()
+    assert time.time() - since < 60
+    assert len(found) == 3
+    for r in found:
+        g = vectors[r.step]
+        assert len(r.workers) == len(g) - f and np.allclose(kernels.brute(g, f), g[r.workers].mean(axis=0), rtol=1e-12)
+        assert r.diameter == pytest.approx(max(np.sqrt(((g[r.workers] - x) ** 2).sum(axis=1)).max() for x in g[r.workers]), rel=1e-12)
