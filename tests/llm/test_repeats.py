@@ -1,5 +1,6 @@
 """Very many rows that are alike: none of them may meet in one array or one task, and no language may go missing."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from steadfold.llm import language_id, line_dedup, mixing
@@ -45,3 +46,30 @@ def test_mixing_of_many_equal_rows(spark):
     assert found["a"].most - rows.where("source = 'a'").agg(F.min("copies")).first()[0] <= 1 and max(found["a"].most, found["b"].most) <= 3
     small = spark.createDataFrame([("s", 1, 5, 2, 10, 7, 30, 30.0)], "source string, doc_id long, key long, size long, rows long, copies long, source_size long, target double")
     assert sorted(r.copies for r in mixing.shared(small, piece=3).collect()) == [0] * 3 + [1] * 7
+
+
+def test_shingles_of_a_bucket_that_repeats_are_taken_once(monkeypatch):
+    bodies = [f"line {k % 150} of many, whose words are {k % 150 * 7919 % 1009} and {k % 150 * 104729 % 997}" + " again" * (k // 150) for k in range(300)]
+    keys = [line_dedup.line_key(x) for x in bodies]
+    rows = [(5, 2 * b, 0, 0, k, x) for b in range(12) for k, x in sorted(zip(keys, bodies, strict=True))]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["low", "key", "i", "j", "line", "body"])
+    taken, sets_of = [], line_dedup.shingle_sets
+    monkeypatch.setattr(line_dedup, "shingle_sets", lambda lines, *more: (taken.extend(lines), sets_of(lines, *more))[1])
+    links = [x for found in line_dedup._compared(iter([batch])) for x in zip(*(c.to_pylist() for c in found.columns), strict=True)]
+    sets = [set(s.tolist()) for s in sets_of(bodies)]
+    assert sorted(taken) == sorted(bodies)
+    near = {frozenset((keys[i], keys[j])) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert links and {frozenset(x) for x in links} <= near
+
+    def parts(edges):
+        above = {k: k for k in keys}
+        for a, b in edges:
+            old, new = above[a], above[b]
+            above = {k: new if v == old else v for k, v in above.items()}
+        groups = {}
+        for k, v in above.items():
+            groups.setdefault(v, set()).add(k)
+        return sorted(map(sorted, groups.values()))
+
+    assert parts(links) == parts(map(tuple, near))
